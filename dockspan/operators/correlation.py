@@ -87,7 +87,7 @@ def _inversions(
     blocks = places.withColumn("_b", F.shiftright(F.col("_px") - 1, block_bits))
     fields = ", ".join(f"{places.schema[c].name} {places.schema[c].dataType.simpleString()}" for c in group)
 
-    def within(keys, pdf: pd.DataFrame) -> pd.DataFrame:
+    def within(keys: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         found = count_inversions(pdf.sort_values("_px")["_py"].to_numpy())
         return pd.DataFrame([[*keys[:-1], found]], columns=[*group, "inversions"])
 

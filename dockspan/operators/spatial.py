@@ -100,23 +100,32 @@ def bounding_box(atoms: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def inside_box(
-    atoms: DataFrame, boxes: DataFrame, keys: Sequence[str], margin: float
+    atoms: DataFrame, boxes: DataFrame, keys: Sequence[str], margin: float, cell: float = 8.0
 ) -> DataFrame:
-    """Pairs of an atom and a box of equal ``keys`` that strictly contains it."""
+    """Pairs of an atom and a box of equal ``keys`` that strictly contains it.
+
+    The widened boxes are cut into grid cells and joined with atoms cell by
+    cell; an atom lies in one cell, so each pair appears once. Box columns
+    other than the limits are added to the atom's columns.
+    """
+    axes = ("x", "y", "z")
+    extra = [c for c in boxes.columns if c not in keys and c[:4] not in ("min_", "max_")]
+    covered = boxes
+    for axis, name in zip(axes, CELL):
+        first = F.floor((F.col(f"min_{axis}") - margin) / cell)
+        last = F.floor((F.col(f"max_{axis}") + margin) / cell)
+        covered = covered.withColumn(name, F.explode(F.sequence(first, last)))
+    if fits_broadcast(boxes, BROADCAST_ROWS // 100):
+        covered = F.broadcast(covered)
+    gridded = atoms.select(
+        "*", *[F.floor(F.col(a) / cell).alias(n) for a, n in zip(axes, CELL)]
+    )
     tests = [
         (F.col(a) > F.col(f"min_{a}") - margin) & (F.col(a) < F.col(f"max_{a}") + margin)
-        for a in ("x", "y", "z")
+        for a in axes
     ]
-    extra = [c for c in boxes.columns if c not in keys and c[:4] not in ("min_", "max_")]
     return (
-        attach_many(atoms, boxes, keys)
+        gridded.join(covered, [*keys, *CELL])
         .filter(tests[0] & tests[1] & tests[2])
         .select(*atoms.columns, *extra)
     )
-
-
-def attach_many(rows: DataFrame, lookup: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Equi-join with several lookup rows per key; small lookups are broadcast."""
-    if fits_broadcast(lookup):
-        lookup = F.broadcast(lookup)
-    return rows.join(lookup, list(keys))

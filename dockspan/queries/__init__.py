@@ -1,4 +1,4 @@
 """All registered queries."""
 
-from dockspan.queries import evaluation, scoring  # noqa: F401
+from dockspan.queries import evaluation, models, scoring, spatial  # noqa: F401
 from dockspan.queries.registry import ORACLES, QUERIES  # noqa: F401
