@@ -4,15 +4,23 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
+
+
+def _sql_literal(value) -> str:
+    if value is None:
+        return "NULL"
+    if isinstance(value, bool):
+        return str(value).upper()
+    if isinstance(value, str):
+        return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    return f"{value!r}D" if isinstance(value, float) else repr(value)
 
 
 def literal_table(spark: SparkSession, rows: Iterable[Sequence], schema: str) -> DataFrame:
-    """A table of literals that the optimizer knows the size of."""
-    names = [part.split()[0] for part in schema.split(",")]
-    types = [part.split()[1] for part in schema.split(",")]
-    structs = [
-        F.struct(*[F.lit(v).cast(t).alias(n) for v, n, t in zip(row, names, types)])
-        for row in rows
-    ]
-    return spark.range(1).select(F.inline(F.array(*structs)))
+    """A table of literals, which the optimizer knows the size of."""
+    fields = [part.split() for part in schema.split(",")]
+    values = ", ".join("(" + ", ".join(map(_sql_literal, row)) + ")" for row in rows)
+    casts = ", ".join(f"CAST({name} AS {kind}) AS {name}" for name, kind in fields)
+    names = ", ".join(name for name, _ in fields)
+    return spark.sql(f"SELECT {casts} FROM VALUES {values} AS t({names})")

@@ -50,7 +50,7 @@ class Forest:
 
 def load_forest(nodes: DataFrame, max_nodes: int = MAX_NODES) -> Forest:
     """Bring one model's node table to the driver after checking its size."""
-    if nodes.select(F.lit(1)).limit(max_nodes + 1).count() > max_nodes:
+    if nodes.count() > max_nodes:
         raise ValueError(f"a forest of more than {max_nodes} nodes cannot be broadcast")
     pdf = nodes.select(*NODE_SCHEMA.fieldNames()).toPandas()
     pdf = pdf.sort_values(["tree", "node"]).reset_index(drop=True)

@@ -38,12 +38,12 @@ def with_geometry(rings: DataFrame, points: str = "points") -> DataFrame:
     """
     p = F.col(points)
     n = F.size(p)
-    means = [
-        (
-            F.aggregate(p, F.lit(0.0), lambda s, q, a=axis: s + q[a]) / n
-        ).alias(axis)
-        for axis in ("x", "y", "z")
-    ]
+
+    def mean(axis: str) -> Column:
+        total = F.aggregate(p, F.lit(0.0), lambda s, q: s + q[axis])
+        return (total / n).alias(axis)
+
+    means = [mean(axis) for axis in "xyz"]
     second = F.when(n >= 5, 2).otherwise(1)
     third = F.when(n >= 5, 4).when(n == 4, 3).otherwise(2)
     centred = rings.filter(n >= 3).select(

@@ -3,14 +3,18 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from itertools import product
 
 from pyspark.sql import DataFrame, functions as F
 
 from dockspan.functions import vectors as V
 from dockspan.operators.sizing import BROADCAST_ROWS, fits_broadcast
 
-CELL = ["_cx", "_cy", "_cz"]
-NEIGHBOURS = 27
+MOVES = list(product((-1, 0, 1), repeat=3))
+# A cell number is a weighted sum of the steps along the axes, so a neighbour's
+# number differs by a constant. Far-apart cells that share a number only add
+# candidates, which the exact test removes.
+AXIS_WEIGHTS = {"x": 2**40, "y": 2**20, "z": 1}
 # Candidate pairs one task should test for one grid cell.
 CELL_PAIRS = 20_000_000
 
@@ -34,59 +38,70 @@ def distance_join(
 ) -> DataFrame:
     """All pairs of equal ``keys`` closer than ``radius`` (or at it, if ``inclusive``).
 
-    Both sides are put on a grid of ``radius``-wide cells and the right side is
-    copied to its 27 neighbour cells, so that the join is an equi-join on
-    ``(keys, cell)`` followed by the exact test. Pass the smaller side right:
-    while its copies fit a broadcast the left side is not shuffled at all.
-    Otherwise both are shuffled, and cells with many candidate pairs are cut
-    into parts: each left row goes to one part, each right row to all of them.
-    Columns other than ``keys`` must differ between the two sides.
+    Both sides are put on a grid of ``radius``-wide cells and one side looks
+    into its 27 neighbour cells, so that the join is an equi-join on
+    ``(keys, cell)`` followed by the exact test. Pass the smaller side right.
+    While it fits a broadcast the left side looks around and is not shuffled at
+    all. Otherwise the right side is copied to its neighbour cells, both are
+    shuffled, and cells with many candidate pairs are cut into parts: each left
+    row goes to one part, each right row to all of them. Columns other than
+    ``keys`` must differ between the two sides.
     """
-    axes = ("x", "y", "z")
-    gridded = left.select(
-        "*",
-        *[
-            F.floor(F.col(f"{left_prefix}{a}") / radius).alias(c)
-            for a, c in zip(axes, CELL)
-        ],
-    )
-    copies = right
-    for axis, cell in zip(axes, CELL):
-        around = F.explode(F.array(*[F.lit(i).cast("bigint") for i in (-1, 0, 1)]))
-        copies = copies.select("*", around.alias("_step")).select(
-            *copies.columns,
-            (F.floor(F.col(f"{right_prefix}{axis}") / radius) + F.col("_step")).alias(cell),
-        )
-    on = [*keys, *CELL]
-    if fits_broadcast(right, max_broadcast_rows // NEIGHBOURS):
-        copies = F.broadcast(copies)
+    on = [*keys, "_cell"]
+    if fits_broadcast(right, max_broadcast_rows):
+        near_left = _gridded(left, left_prefix, radius, around=True)
+        near_right = F.broadcast(_gridded(right, right_prefix, radius))
     else:
-        gridded, copies, on = _cut_crowded_cells(gridded, copies, on, max_cell_pairs)
+        near_left = _gridded(left, left_prefix, radius)
+        near_right = _gridded(right, right_prefix, radius, around=True)
+        if _may_be_crowded(near_left, _gridded(right, right_prefix, radius), on, max_cell_pairs):
+            near_left, near_right, on = _cut_crowded_cells(
+                near_left, near_right, on, max_cell_pairs
+            )
     gap = V.distance(V.vec(left_prefix), V.vec(right_prefix))
     near = gap <= radius if inclusive else gap < radius
     kept = [*left.columns, *[c for c in right.columns if c not in keys]]
-    return gridded.join(copies, on).filter(near).select(*kept, gap.alias(name))
+    return near_left.join(near_right, on).filter(near).select(*kept, gap.alias(name))
+
 
+def _gridded(df: DataFrame, prefix: str, radius: float, around: bool = False) -> DataFrame:
+    """Add the grid cell of each point, or a row for each of the 27 cells around it."""
+    cell = sum(F.floor(F.col(prefix + a) / radius) * w for a, w in AXIS_WEIGHTS.items())
+    if not around:
+        return df.withColumn("_cell", cell)
+    steps = [sum(d * w for d, w in zip(move, AXIS_WEIGHTS.values())) for move in MOVES]
+    at = df.withColumn("_at", cell)
+    cells = F.explode(F.array(*[F.col("_at") + s for s in steps]))
+    return at.select(*df.columns, cells.alias("_cell"))
 
-def _cut_crowded_cells(gridded, copies, on, max_cell_pairs):
-    load = gridded.groupBy(*on).agg(F.count(F.lit(1)).alias("_l")).join(
-        copies.groupBy(*on).agg(F.count(F.lit(1)).alias("_r")), on
+
+def _may_be_crowded(left, right, on, max_cell_pairs) -> bool:
+    """Whether the fullest cells could give more candidate pairs than allowed."""
+    fullest = [
+        side.groupBy(*on).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n").alias("n"))
+        for side in (left, right)
+    ]
+    most = fullest[0].unionAll(fullest[1]).agg(
+        F.coalesce(F.product(F.coalesce("n", F.lit(0))), F.lit(0.0))
+    )
+    return len(MOVES) * most.first()[0] > max_cell_pairs
+
+
+def _cut_crowded_cells(left, right, on, max_cell_pairs):
+    load = left.groupBy(*on).agg(F.count(F.lit(1)).alias("_l")).join(
+        right.groupBy(*on).agg(F.count(F.lit(1)).alias("_r")), on
     )
     # At most (all candidate pairs / max_cell_pairs) rows.
     crowded = load.filter(F.col("_l") * F.col("_r") > max_cell_pairs).select(
         *on, F.ceil(F.col("_l") * F.col("_r") / max_cell_pairs).cast("int").alias("_parts")
     )
-    if crowded.limit(1).count() == 0:
-        return gridded, copies, on
     if fits_broadcast(crowded):
         crowded = F.broadcast(crowded)
     parts = F.coalesce("_parts", F.lit(1))
-    part_of_row = F.pmod(F.xxhash64(*[F.col(c) for c in gridded.columns]), parts).cast("int")
-    spread = gridded.join(crowded, on, "left").select(
-        *gridded.columns, part_of_row.alias("_part")
-    )
-    repeated = copies.join(crowded, on, "left").select(
-        *copies.columns, F.explode(F.sequence(F.lit(0), parts - 1)).alias("_part")
+    part_of_row = F.pmod(F.xxhash64(*[F.col(c) for c in left.columns]), parts).cast("int")
+    spread = left.join(crowded, on, "left").select(*left.columns, part_of_row.alias("_part"))
+    repeated = right.join(crowded, on, "left").select(
+        *right.columns, F.explode(F.sequence(F.lit(0), parts - 1)).alias("_part")
     )
     return spread, repeated, [*on, "_part"]
 
@@ -109,23 +124,24 @@ def inside_box(
     other than the limits are added to the atom's columns.
     """
     axes = ("x", "y", "z")
+    cells = ["_cx", "_cy", "_cz"]
     extra = [c for c in boxes.columns if c not in keys and c[:4] not in ("min_", "max_")]
     covered = boxes
-    for axis, name in zip(axes, CELL):
+    for axis, name in zip(axes, cells):
         first = F.floor((F.col(f"min_{axis}") - margin) / cell)
         last = F.floor((F.col(f"max_{axis}") + margin) / cell)
         covered = covered.withColumn(name, F.explode(F.sequence(first, last)))
     if fits_broadcast(boxes, BROADCAST_ROWS // 100):
         covered = F.broadcast(covered)
     gridded = atoms.select(
-        "*", *[F.floor(F.col(a) / cell).alias(n) for a, n in zip(axes, CELL)]
+        "*", *[F.floor(F.col(a) / cell).alias(n) for a, n in zip(axes, cells)]
     )
     tests = [
         (F.col(a) > F.col(f"min_{a}") - margin) & (F.col(a) < F.col(f"max_{a}") + margin)
         for a in axes
     ]
     return (
-        gridded.join(covered, [*keys, *CELL])
+        gridded.join(covered, [*keys, *cells])
         .filter(tests[0] & tests[1] & tests[2])
         .select(*atoms.columns, *extra)
     )

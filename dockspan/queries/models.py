@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from dockspan.functions.literals import literal_table
 from dockspan.operators import attribution, features as feature_ops, scaling
 from dockspan.operators.forest import Forest, load_forest, NODE_SCHEMA, score_forest
 from dockspan.plans.rescoring import rescore
@@ -47,7 +48,8 @@ MODELS = {
 
 
 def nodes(spark, model: str):
-    return spark.createDataFrame(MODELS[model], NODE_SCHEMA)
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in NODE_SCHEMA)
+    return literal_table(spark, MODELS[model], fields)
 
 
 def forest(spark, model: str) -> Forest:

@@ -76,11 +76,11 @@ SELECT vec_id, concat('t', CAST(floor(vec_id / 2) AS BIGINT) % 2) AS target,
 FROM embeddings
 """
 
-# Small molecules, one per order: a hexagon with one substituent (even keys) or
-# a centre with four arms and two further atoms (odd keys), turned and placed
-# by the key. The lines present in the order are the atoms present.
+# Small molecules, about four per part: a hexagon with one substituent (even
+# keys) or a centre with four arms and two further atoms (odd keys), turned and
+# placed by the key. The line numbers present are the atoms present.
 MOLECULES = """
-WITH slots AS (SELECT DISTINCT l_orderkey AS o, l_linenumber AS n FROM lineitem),
+WITH slots AS (SELECT DISTINCT l_partkey * 4 + l_suppkey % 4 AS o, l_linenumber AS n FROM lineitem),
 shaped AS (
   SELECT o, n,
     CASE WHEN o % 2 = 0
@@ -105,7 +105,7 @@ SELECT CAST(floor(o / 100) AS BIGINT) AS target, o AS pose, n AS idx,
   CAST((o * 10473) % 2000 AS DOUBLE) / 100 + CAST(
     CASE o % 5 WHEN 0 THEN v WHEN 1 THEN w WHEN 2 THEN 0.8 * u + 0.6 * v WHEN 3 THEN u
                ELSE v END AS DOUBLE) AS y,
-  CAST((o * 12997) % 2000 AS DOUBLE) / 100 + CAST(
+  CAST((o * 13331) % 2000 AS DOUBLE) / 100 + CAST(
     CASE o % 5 WHEN 0 THEN w WHEN 1 THEN u WHEN 2 THEN w WHEN 3 THEN v
                ELSE 0.6 * u + 0.8 * w END AS DOUBLE) AS z,
   CASE WHEN o % 2 = 0
