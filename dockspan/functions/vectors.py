@@ -67,11 +67,21 @@ def angle_at(a: Vector, corner: Vector, b: Vector) -> Column:
     return angle(subtract(a, corner), subtract(b, corner))
 
 
+def _signed_atan2(y: Column, x: Column) -> Column:
+    """``atan2`` that tells the two zeros apart, which the built-in one does not.
+
+    A flat torsion is then 180 or -180 degrees by the sign of its zero sine.
+    """
+    backward = (x < 0.0) | (x.cast("string") == "-0.0")
+    half_turn = F.when(y.cast("string") == "-0.0", -math.pi).otherwise(math.pi)
+    return F.when((y == 0.0) & backward, half_turn).otherwise(F.atan2(y, x))
+
+
 def dihedral(a: Vector, b: Vector, c: Vector, d: Vector) -> Column:
     """Torsion angle of four points in radians."""
     first, second, third = subtract(b, a), subtract(c, b), subtract(d, c)
     turn = cross(second, third)
-    return F.atan2(
+    return _signed_atan2(
         dot(scale(first, magnitude(second)), turn), dot(cross(first, second), turn)
     )
 

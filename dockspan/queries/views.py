@@ -152,9 +152,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def view(spark: SparkSession, sf_dir: str, sql: str, *tables: str) -> DataFrame:
     """Run a view's SQL over the named parquet tables."""
-    return spark.sql(
-        _braced(sql, tables), **{t: table(spark, sf_dir, t) for t in tables}
-    )
+    return bound_view(spark, sql, **{t: table(spark, sf_dir, t) for t in tables})
+
+
+def bound_view(spark: SparkSession, sql: str, **tables: DataFrame) -> DataFrame:
+    """Run a view's SQL over given frames, batch or streaming."""
+    return spark.sql(_braced(sql, tuple(tables)), **tables)
 
 
 def _braced(sql: str, tables: tuple[str, ...]) -> str:

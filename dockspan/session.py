@@ -20,6 +20,8 @@ def local_session(app: str = "dockspan", cores: str | int = "*") -> SparkSession
         .config("spark.driver.memory", os.environ.get("DOCKSPAN_DRIVER_MEMORY", "8g"))
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.sql.adaptive.enabled", "true")
+        # Inputs of a few megabytes would otherwise be merged into one task.
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
