@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from dockspan.operators.ordering import WINDOW_ROWS, ranked, running
+from dockspan.operators.ordering import WINDOW_ROWS, largest_group, ranked, running
 from dockspan.operators.sizing import attach
 
 # log2 of the number of rows whose order one task compares directly.
@@ -21,11 +21,17 @@ def with_mid_rank(
     value: str,
     name: str,
     max_group_rows: int = WINDOW_ROWS,
+    largest: int | None = None,
 ) -> DataFrame:
     """Ascending rank where equal values share the mean of their places."""
     levels = rows.groupBy(*group, value).agg(F.count(F.lit(1)).alias("_n"))
     places = running(
-        levels, group, [F.col(value)], {"_upto": F.col("_n")}, max_group_rows=max_group_rows
+        levels,
+        group,
+        [F.col(value)],
+        {"_upto": F.col("_n")},
+        max_group_rows=max_group_rows,
+        largest=largest,
     ).select(*group, value, (F.col("_upto") - (F.col("_n") - 1) / 2.0).alias(name))
     return attach(rows, places, [*group, value])
 
@@ -36,10 +42,15 @@ def linear_correlations(
     x: str,
     y: str,
     max_group_rows: int = WINDOW_ROWS,
+    largest: int | None = None,
 ) -> DataFrame:
     """Pearson on the values and Spearman on their mid-ranks."""
-    placed = with_mid_rank(rows.select(*group, x, y), group, x, "_rank_x", max_group_rows)
-    placed = with_mid_rank(placed, group, y, "_rank_y", max_group_rows)
+    limits = {"max_group_rows": max_group_rows, "largest": largest}
+    narrow = rows.select(*group, x, y)
+    if largest is None:
+        limits["largest"] = largest_group(narrow, group)
+    placed = with_mid_rank(narrow, group, x, "_rank_x", **limits)
+    placed = with_mid_rank(placed, group, y, "_rank_y", **limits)
     return placed.groupBy(*group).agg(
         F.count(F.lit(1)).alias("n"),
         F.corr(x, y).alias("pearson"),
@@ -75,14 +86,15 @@ def count_inversions(order: np.ndarray) -> int:
 
 
 def _inversions(
-    places: DataFrame, group: Sequence[str], block_bits: int, max_group_rows: int
+    places: DataFrame, group: Sequence[str], block_bits: int, levels: int, max_group_rows: int
 ) -> DataFrame:
     """Pairs with rising ``_px`` and falling ``_py`` per group; both are 1..n.
 
     Rows are cut into blocks of 2^block_bits places in x. Pairs within a block
     are counted block by block. Pairs across blocks first differ in some
-    higher bit of the block number: for each such bit, a row with bit 1 counts
-    the rows with bit 0 and the same higher bits that come later in y.
+    higher bit of the block number: for each of its ``levels`` bits, a row with
+    bit 1 counts the rows with bit 0 and the same higher bits that come later
+    in y.
     """
     blocks = places.withColumn("_b", F.shiftright(F.col("_px") - 1, block_bits))
     fields = ", ".join(f"{places.schema[c].name} {places.schema[c].dataType.simpleString()}" for c in group)
@@ -97,8 +109,6 @@ def _inversions(
         .groupBy(*group)
         .agg(F.sum("inversions").alias("inversions"))
     )
-    largest = places.agg(F.coalesce(F.max("_px"), F.lit(1)).alias("n")).first()["n"]
-    levels = ((largest - 1) >> block_bits).bit_length()
     if levels == 0:
         return inside
     by_bit = blocks.withColumn("_bit", F.explode(F.sequence(F.lit(0), F.lit(levels - 1))))
@@ -130,6 +140,7 @@ def kendall_tau(
     ties: Sequence[str],
     block_bits: int = BLOCK_BITS,
     max_group_rows: int = WINDOW_ROWS,
+    largest: int | None = None,
 ) -> DataFrame:
     """Tau-b per group without forming pairs.
 
@@ -138,9 +149,14 @@ def kendall_tau(
     """
     extra = [F.col(t) for t in ties]
     narrow = rows.select(*group, x, y, *ties)
-    places = ranked(narrow, group, [F.col(x), F.col(y), *extra], "_px", max_group_rows)
-    places = ranked(places, group, [F.col(y), F.col(x), *extra], "_py", max_group_rows)
-    swaps = _inversions(places.select(*group, "_px", "_py"), group, block_bits, max_group_rows)
+    largest = largest_group(narrow, group) if largest is None else largest
+    limits = {"max_group_rows": max_group_rows, "largest": largest}
+    places = ranked(narrow, group, [F.col(x), F.col(y), *extra], "_px", **limits)
+    places = ranked(places, group, [F.col(y), F.col(x), *extra], "_py", **limits)
+    levels = (max(largest - 1, 0) >> block_bits).bit_length()
+    swaps = _inversions(
+        places.select(*group, "_px", "_py"), group, block_bits, levels, max_group_rows
+    )
     tied_x = _tied_pairs(rows, group, [x], "_tx")
     tied_y = _tied_pairs(rows, group, [y], "_ty").drop("_ty_rows")
     tied_xy = _tied_pairs(rows, group, [x, y], "_txy").drop("_txy_rows")
@@ -168,8 +184,9 @@ def ranking_metrics(
     max_group_rows: int = WINDOW_ROWS,
 ) -> DataFrame:
     """Pearson, Spearman and Kendall per group."""
-    tau = kendall_tau(rows, group, x, y, ties, max_group_rows=max_group_rows).drop("n")
-    return linear_correlations(rows, group, x, y, max_group_rows).join(tau, list(group))
+    limits = {"max_group_rows": max_group_rows, "largest": largest_group(rows, group)}
+    tau = kendall_tau(rows, group, x, y, ties, **limits).drop("n")
+    return linear_correlations(rows, group, x, y, **limits).join(tau, list(group))
 
 
 def join_experiment(

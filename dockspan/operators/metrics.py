@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
-from dockspan.operators.ordering import WINDOW_ROWS, ranked, running
+from dockspan.operators.ordering import WINDOW_ROWS, largest_group, ranked, running
 from dockspan.operators.sizing import attach
 
 # Early-recognition fractions and the BEDROC exponent.
@@ -35,11 +35,11 @@ def _group_sizes(rows: DataFrame, group: Sequence[str], label: str) -> DataFrame
     )
 
 
-def _ranked_hits(rows, group, score, label, ties, max_group_rows):
+def _ranked_hits(rows, group, score, label, ties, max_group_rows, largest):
     """Rank of every hit among all rows of its group, best score first."""
     order = [F.col(score).desc(), *[F.col(t) for t in ties]]
     placed = ranked(
-        rows.select(*group, score, label, *ties), group, order, "_rank", max_group_rows
+        rows.select(*group, score, label, *ties), group, order, "_rank", max_group_rows, largest
     )
     return placed.filter(F.col(label) == 1).select(*group, "_rank")
 
@@ -53,6 +53,7 @@ def early_recognition(
     fractions: dict[str, float] | None = None,
     alpha: float = ALPHA,
     max_group_rows: int = WINDOW_ROWS,
+    largest: int | None = None,
 ) -> DataFrame:
     """Enrichment factors and BEDROC per group in one pass over the ranked hits.
 
@@ -62,7 +63,7 @@ def early_recognition(
     fractions = FRACTIONS if fractions is None else fractions
     sizes = _group_sizes(rows, group, label)
     hits = attach(
-        _ranked_hits(rows, group, score, label, ties, max_group_rows), sizes, group
+        _ranked_hits(rows, group, score, label, ties, max_group_rows, largest), sizes, group
     )
     cut = {n: F.ceil(F.col("n_rows") * f) for n, f in fractions.items()}
     found = hits.groupBy(*group).agg(
@@ -99,6 +100,7 @@ def ranking_areas(
     score: str,
     label: str,
     max_group_rows: int = WINDOW_ROWS,
+    largest: int | None = None,
 ) -> DataFrame:
     """ROC area and average precision per group; NULL when undefined.
 
@@ -115,6 +117,7 @@ def ranking_areas(
         [F.col(score).desc()],
         {"_cum_n": F.col("_n"), "_cum_hits": F.col("_hits")},
         max_group_rows=max_group_rows,
+        largest=largest,
     )
     misses = F.col("_n") - F.col("_hits")
     won = misses * (F.col("_cum_hits") - F.col("_hits") / 2.0)
@@ -143,10 +146,11 @@ def screening_metrics(
     max_group_rows: int = WINDOW_ROWS,
 ) -> DataFrame:
     """All screening metrics per group in one row."""
+    largest = largest_group(rows, group)
     early = early_recognition(
-        rows, group, score, label, ties, max_group_rows=max_group_rows
+        rows, group, score, label, ties, max_group_rows=max_group_rows, largest=largest
     )
-    areas = ranking_areas(rows, group, score, label, max_group_rows).drop("n_hits")
+    areas = ranking_areas(rows, group, score, label, max_group_rows, largest).drop("n_hits")
     return early.join(areas, list(group))
 
 

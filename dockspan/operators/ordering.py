@@ -31,15 +31,19 @@ def running(
     sums: Mapping[str, Column] | None = None,
     position: str | None = None,
     max_group_rows: int = WINDOW_ROWS,
+    largest: int | None = None,
 ) -> DataFrame:
     """Add a 1-based ``position`` and inclusive running ``sums`` in ``order``.
 
     ``order`` must be total within a group. Groups above ``max_group_rows``
     are range-partitioned on ``(group, order)``: every slice is scanned on its
-    own and starts from the total of the slices before it.
+    own and starts from the total of the slices before it. ``largest`` saves
+    counting the groups when an upper bound of their size is known.
     """
     sums = dict(sums or {})
-    if group and largest_group(df, group) <= max_group_rows:
+    if group and largest is None:
+        largest = largest_group(df, group)
+    if group and largest <= max_group_rows:
         ordered = Window.partitionBy(*group).orderBy(*order)
         to_here = ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow)
         added = [F.sum(c).over(to_here).alias(n) for n, c in sums.items()]
@@ -94,9 +98,12 @@ def ranked(
     order: Sequence[Column],
     name: str = "rank",
     max_group_rows: int = WINDOW_ROWS,
+    largest: int | None = None,
 ) -> DataFrame:
     """Number the rows of each group from 1 in ``order``."""
-    return running(df, group, order, position=name, max_group_rows=max_group_rows)
+    return running(
+        df, group, order, position=name, max_group_rows=max_group_rows, largest=largest
+    )
 
 
 def with_neighbours(

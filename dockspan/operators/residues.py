@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from dockspan.functions import vectors as V
 from dockspan.functions.fixed_values import BACKBONE_NAMES
@@ -190,6 +190,7 @@ def prune_runs(
     """
     support = durable(_supports(carbons, keys))
     state = durable(_in_frames(carbons, keys))
+    columns = state.columns
     for _ in range(max_passes):
         members = state.select(
             *keys, F.col("position").alias("other"), "class"
@@ -208,19 +209,19 @@ def prune_runs(
         drop = (F.col("class") != "OTHER") & (
             F.col("_held").isNull() | F.coalesce("_short", F.lit(False))
         )
-        marked = judged.join(held, [*keys, "position", "class"], "left").withColumn("_drop", drop)
-        gone = (
-            marked.filter("_drop").select(*keys, "chain", "resid").distinct()
-            .withColumn("_gone", F.lit(True))
+        # All carbons of one residue change together.
+        residue = Window.partitionBy(*keys, "chain", "resid")
+        marked = judged.join(held, [*keys, "position", "class"], "left").withColumn(
+            "_gone", F.max(drop).over(residue)
         )
-        gone = durable(gone)
-        if gone.isEmpty():
-            break
         state = durable(
-            state.join(gone, [*keys, "chain", "resid"], "left")
-            .withColumn("class", F.when(F.col("_gone"), "OTHER").otherwise(F.col("class")))
-            .select(*state.columns)
+            marked.withColumn("class", F.when(F.col("_gone"), "OTHER").otherwise(F.col("class")))
+            .select(*columns, "_gone")
         )
+        changed = state.filter("_gone")
+        state = state.select(*columns)
+        if changed.isEmpty():
+            break
     else:
         raise RuntimeError(f"classes still change after {max_passes} passes")
     return state.drop("stretch", "stretch_length")

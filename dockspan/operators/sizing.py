@@ -31,3 +31,12 @@ def attach(
     if fits_broadcast(lookup, max_rows):
         lookup = F.broadcast(lookup)
     return rows.join(lookup, list(keys), how)
+
+
+def spread(scan: DataFrame) -> DataFrame:
+    """Spread a table scan of few splits over all cores before heavy work.
+
+    A table with at least one split per core is returned as it is.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores)

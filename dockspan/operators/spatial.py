@@ -11,6 +11,9 @@ from dockspan.functions import vectors as V
 from dockspan.operators.sizing import BROADCAST_ROWS, fits_broadcast
 
 MOVES = list(product((-1, 0, 1), repeat=3))
+# Cells are two radii wide, so what is near a point lies in two cells per axis.
+# The margin covers rounding of coordinates up to a million radii.
+MARGIN = 1 + 1e-6
 # A cell number is a weighted sum of the steps along the axes, so a neighbour's
 # number differs by a constant. Far-apart cells that share a number only add
 # candidates, which the exact test removes.
@@ -38,12 +41,11 @@ def distance_join(
 ) -> DataFrame:
     """All pairs of equal ``keys`` closer than ``radius`` (or at it, if ``inclusive``).
 
-    Both sides are put on a grid of ``radius``-wide cells and one side looks
-    into its 27 neighbour cells, so that the join is an equi-join on
-    ``(keys, cell)`` followed by the exact test. Pass the smaller side right.
-    While it fits a broadcast the left side looks around and is not shuffled at
-    all. Otherwise the right side is copied to its neighbour cells, both are
-    shuffled, and cells with many candidate pairs are cut into parts: each left
+    Both sides are put on a grid and one side looks into the eight cells that
+    its surroundings touch, so that the join is an equi-join on ``(keys, cell)``
+    followed by the exact test. Pass the smaller side right. While it fits a
+    broadcast the left side looks around and is not shuffled at all. Otherwise
+    the right side is copied to the cells it touches, both are shuffled, and cells with many candidate pairs are cut into parts: each left
     row goes to one part, each right row to all of them. Columns other than
     ``keys`` must differ between the two sides.
     """
@@ -65,8 +67,12 @@ def distance_join(
 
 
 def _gridded(df: DataFrame, prefix: str, radius: float, around: bool = False) -> DataFrame:
-    """Add the grid cell of each point, or a row for each of the 27 cells around it."""
-    cell = sum(F.floor(F.col(prefix + a) / radius) * w for a, w in AXIS_WEIGHTS.items())
+    """Add the grid cell of each point, or a row for each cell around it."""
+    reach = radius * MARGIN
+    corner = reach if around else 0.0
+    cell = sum(
+        F.floor((F.col(prefix + a) - corner) / (2 * reach)) * w for a, w in AXIS_WEIGHTS.items()
+    )
     if not around:
         return df.withColumn("_cell", cell)
     steps = [sum(d * w for d, w in zip(move, AXIS_WEIGHTS.values())) for move in MOVES]

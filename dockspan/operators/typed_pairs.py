@@ -31,10 +31,16 @@ def receptor_types(
 
     The key table has one row per residue-atom name of the amino acids.
     """
-    named = receptors.filter(is_heavy_name(F.col(name))).withColumn(
-        "pdb_atom", F.concat_ws("-", F.col(resname), F.col(name))
-    )
-    return named.join(F.broadcast(atom_keys), "pdb_atom").drop("pdb_atom")
+    return with_receptor_types(receptors, atom_keys, resname, name).filter("type_key is not null")
+
+
+def with_receptor_types(
+    receptors: DataFrame, atom_keys: DataFrame, resname: str = "resname", name: str = "name"
+) -> DataFrame:
+    """All receptor atoms, with a type key where they have one."""
+    pdb_atom = F.when(is_heavy_name(F.col(name)), F.concat_ws("-", F.col(resname), F.col(name)))
+    named = receptors.withColumn("pdb_atom", pdb_atom)
+    return named.join(F.broadcast(atom_keys), "pdb_atom", "left").drop("pdb_atom")
 
 
 def typed_pairs(

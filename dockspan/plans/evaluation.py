@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from dockspan.functions.ids import base_library_name, label_from_id
 from dockspan.operators.correlation import join_experiment, ranking_metrics
+from dockspan.operators.durable import durable
 from dockspan.operators.metrics import collapse_poses, screening_metrics
 
 
@@ -27,8 +28,10 @@ def evaluate_screening(
     if collapse:
         named = rows.withColumn("base", base_library_name(F.col("id")))
         rows = collapse_poses(named, ["target"], "base", "score", "label", first)
-        return screening_metrics(rows, ["target"], "score", "label", ["base"])
-    return screening_metrics(rows, ["target"], "score", "label", ["id"])
+        rows = rows.withColumnRenamed("base", "id")
+    # The metrics read the scores several times; scoring them once is cheaper.
+    stored = durable(rows.select("target", "id", "score", "label"))
+    return screening_metrics(stored, ["target"], "score", "label", ["id"])
 
 
 def evaluate_ranking(predictions: DataFrame, experiment: DataFrame) -> DataFrame:
@@ -37,5 +40,7 @@ def evaluate_ranking(predictions: DataFrame, experiment: DataFrame) -> DataFrame
     ``predictions(target, id, score)`` and ``experiment(target, id, exp_dg)``
     are joined by id; compounds missing on either side are left out.
     """
-    joined = join_experiment(experiment, predictions).withColumn("minus_dg", -F.col("exp_dg"))
-    return ranking_metrics(joined, ["target"], "score", "minus_dg", ["id"])
+    joined = join_experiment(experiment, predictions).select(
+        "target", "id", "score", (-F.col("exp_dg")).alias("minus_dg")
+    )
+    return ranking_metrics(durable(joined), ["target"], "score", "minus_dg", ["id"])

@@ -7,22 +7,25 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from dockspan.operators import contacts
-
-LONG = ("feature", "value")
-
+from dockspan.operators.contacts import TYPED_PAIR_REACH
+from dockspan.operators.spatial import distance_join, prefixed
+from dockspan.operators.typed_pairs import pair_name
 
 def spaced_pair(head: str, pair: Column) -> Column:
     """Feature name of a sorted pair key: ``head (A, B)``."""
     return F.concat(F.lit(f"{head} ("), F.replace(pair, F.lit("_"), F.lit(", ")), F.lit(")"))
 
 
-def contact_features(pairs: DataFrame, pose: Sequence[str]) -> DataFrame:
-    """Contact, energy and category features of contact pairs closer than 4.
+def pair_features(pairs: DataFrame, pose: Sequence[str], typed: bool = False) -> DataFrame:
+    """Contact, energy, category and typed-pair features of atom pairs.
 
-    Every pair adds to up to four features. They are added up in one
-    aggregate, first within each task and then across tasks.
+    ``pairs`` come from one distance join with the largest reach; a pair within
+    4 adds to up to four contact features and, with ``typed``, one within 6
+    whose atoms both have a type key adds to a typed-pair feature. All are
+    added up in one aggregate, first within each task and then across tasks.
     """
     key = contacts.pair_key(F.col("atom_type"), F.col("r_atom_type"))
+    near = F.col("dist") < contacts.CLOSE
     band = F.when(F.col("dist") < contacts.CLOSEST, spaced_pair("2.5", key)).otherwise(
         spaced_pair("4.0", key)
     )
@@ -35,21 +38,39 @@ def contact_features(pairs: DataFrame, pose: Sequence[str]) -> DataFrame:
         return F.struct(name.alias("feature"), value.alias("value"))
 
     one = F.lit(1.0)
-    entries = F.array(
-        entry(band, one),
-        entry(spaced_pair("ElSum", key), contacts.coulomb()),
-        entry(F.concat(F.lit("BPF "), category), one),
-        entry(F.when(carbons, F.concat(F.lit("HC "), category)), one),
-    )
+    entries = [
+        entry(F.when(near, band), one),
+        entry(F.when(near, spaced_pair("ElSum", key)), contacts.coulomb()),
+        entry(F.when(near, F.concat(F.lit("BPF "), category)), one),
+        entry(F.when(near & carbons, F.concat(F.lit("HC "), category)), one),
+    ]
+    if typed:
+        both = F.col("type_key").isNotNull() & F.col("r_type_key").isNotNull()
+        entries.append(entry(F.when(both, pair_name(F.col("r_type_key"), F.col("type_key"))), one))
     return (
-        pairs.filter(F.col("dist") < contacts.CLOSE)
-        .select(*pose, F.inline(entries))
+        pairs.select(*pose, F.inline(F.array(*entries)))
         .filter("feature is not null")
         .groupBy(*pose, "feature")
         .agg(F.sum("value").alias("value"))
     )
 
 
+def interaction_features(
+    ligands: DataFrame,
+    receptors: DataFrame,
+    pose: Sequence[str] = ("target", "pose"),
+    keys: Sequence[str] = ("target",),
+) -> DataFrame:
+    """Pair features and ligand type flags of every pose, from one distance join.
+
+    Atoms carry ``type_key``, NULL where the type is not counted.
+    """
+    pairs = distance_join(
+        ligands, prefixed(receptors, "r_", keys), TYPED_PAIR_REACH, keys, inclusive=True
+    )
+    return pair_features(pairs, pose, typed=True).unionByName(type_features(ligands, pose))
+
+
 def type_features(ligands: DataFrame, pose: Sequence[str], types=("N", "HD")) -> DataFrame:
     """Presence of ligand atom types: ``LA <type>`` is 1 or 0 for every pose."""
     flags = contacts.ligand_type_flags(ligands, pose, types)

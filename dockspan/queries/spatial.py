@@ -9,6 +9,7 @@ from dockspan.functions.atoms import element_of_name
 from dockspan.functions.fixed_values import ATOM_KEYS, LIGAND_TYPE_KEYS, PROTEIN_TYPE_KEYS
 from dockspan.functions.literals import literal_table
 from dockspan.operators import contacts, features, spatial, typed_pairs as typed
+from dockspan.operators.durable import durable
 from dockspan.plans import extraction
 from dockspan.queries.registry import query, rounded
 from dockspan.queries.views import ATOMS, atoms
@@ -29,8 +30,10 @@ def pairs_sql(radius: float, test: str = "<", where: str = "TRUE") -> str:
     WHERE l.side = 'ligand' AND r.side = 'receptor' AND {GAP} {test} {radius}::DOUBLE AND {where})"""
 
 
-def sides(spark, sf_dir):
+def sides(spark, sf_dir, stored=False):
+    """Ligand and receptor atoms; stored first if a query reads them many times."""
     rows = atoms(spark, sf_dir)
+    rows = durable(rows) if stored else rows
     ligands = rows.filter("side = 'ligand'").drop("side")
     receptors = rows.filter("side = 'receptor'").drop("side", "pose")
     return ligands, receptors
@@ -161,7 +164,7 @@ HB = {"radius": 6.0, "reach": 3.0, "max_bend": 60.0}
     GROUP BY ALL""",
 )
 def hbond_join(spark, sf_dir):
-    ligands, receptors = sides(spark, sf_dir)
+    ligands, receptors = sides(spark, sf_dir, stored=True)
     bonds = contacts.hydrogen_bonds(ligands, receptors, POSE, **HB)
     return contacts.hydrogen_bond_counts(bonds, POSE)
 
@@ -213,7 +216,7 @@ def typed_pairs(spark, sf_dir):
     ),
 )
 def typed_pair_domain(spark, sf_dir):
-    counts = typed.typed_pair_counts(typed_rows(spark, sf_dir), []) 
+    counts = typed.typed_pair_counts(typed_rows(spark, sf_dir), [])
     return (
         typed.pair_domain(spark)
         .select("feature")
@@ -266,12 +269,12 @@ PIVOT = [
     FROM lig LEFT JOIN con USING (target, pose) LEFT JOIN typ USING (target, pose)""",
 )
 def feature_pivot(spark, sf_dir):
-    ligands, _ = sides(spark, sf_dir)
-    pairs = contact_rows(spark, sf_dir)
-    long = (
-        extraction.contact_features(pairs, POSE)
-        .unionByName(extraction.type_features(ligands, POSE))
-        .unionByName(typed.typed_pair_counts(typed_rows(spark, sf_dir), POSE))
+    ligands, receptors = sides(spark, sf_dir)
+    keys = literal_table(spark, ATOM_KEYS, "pdb_atom string, type_key string")
+    known = F.col("ligand_type").isin(LIGAND_TYPE_KEYS)
+    long = extraction.interaction_features(
+        ligands.withColumn("type_key", F.when(known, F.col("ligand_type"))),
+        typed.with_receptor_types(receptors, keys),
     )
     wide = features.to_wide(long, POSE, PIVOT)
     return wide.select(

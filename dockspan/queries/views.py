@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from dockspan.operators.sizing import spread
+
 POSE_SCORES = """
 SELECT concat('t', l_suppkey % 10) AS target,
        concat('c', l_orderkey, '_out_pose', l_linenumber, '.pdbqt') AS compound_id,
@@ -170,12 +172,17 @@ def _braced(sql: str, tables: tuple[str, ...]) -> str:
     return words
 
 
+def spread_view(spark: SparkSession, sf_dir: str, sql: str, name: str) -> DataFrame:
+    """A view over one table whose rows feed heavy per-row work."""
+    return bound_view(spark, sql, **{name: spread(table(spark, sf_dir, name))})
+
+
 def pose_scores(spark, sf_dir):
-    return view(spark, sf_dir, POSE_SCORES, "lineitem")
+    return spread_view(spark, sf_dir, POSE_SCORES, "lineitem")
 
 
 def features(spark, sf_dir):
-    return view(spark, sf_dir, FEATURES, "lineitem")
+    return spread_view(spark, sf_dir, FEATURES, "lineitem")
 
 
 def screen(spark, sf_dir):
@@ -187,11 +194,11 @@ def pairs(spark, sf_dir):
 
 
 def atoms(spark, sf_dir):
-    return view(spark, sf_dir, ATOMS, "lineitem")
+    return spread_view(spark, sf_dir, ATOMS, "lineitem")
 
 
 def molecules(spark, sf_dir):
-    return view(spark, sf_dir, MOLECULES, "lineitem")
+    return spread_view(spark, sf_dir, MOLECULES, "lineitem")
 
 
 def sequence(spark, sf_dir):
