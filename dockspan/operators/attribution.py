@@ -7,8 +7,9 @@ from math import factorial
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
+from dockspan.functions.columns import column
 from dockspan.operators.forest import Forest, feature_matrix, goes_to, load_forest
 
 
@@ -76,12 +77,13 @@ def expected_margin(forest: Forest, base_margin: float = 0.0) -> float:
     return total
 
 
-def attribute(
-    rows: DataFrame, nodes: DataFrame | Forest, keys: Sequence[str]
+def row_attributions(
+    rows: DataFrame, nodes: DataFrame | Forest, keys: Sequence[str], digits: int | None = None
 ) -> DataFrame:
-    """Long table ``(keys, feature, value)`` of attributions to the margin.
+    """``keys`` and ``values``, an array of ``(feature, value)`` per row.
 
-    Per row the values and the expected margin add up to the row's margin.
+    The values are attributions to the margin; with the expected margin they
+    add up to the row's margin.
     """
     forest = nodes if isinstance(nodes, Forest) else load_forest(nodes)
     shared = rows.sparkSession.sparkContext.broadcast((forest, leaf_paths(forest)))
@@ -93,16 +95,21 @@ def attribute(
         for batch in batches:
             yield pd.Series(list(shapley_values(trees, feature_matrix(batch, trees), paths)))
 
-    values = rows.select(*keys, shap(F.struct(*[F.col(c) for c in used])).alias("_values"))
-    pairs = F.arrays_zip(
-        F.array(*[F.lit(f) for f in forest.features]).alias("feature"),
-        F.col("_values").alias("value"),
-    )
-    return values.select(*keys, F.explode(pairs).alias("_p")).select(
-        *keys, F.col("_p.feature").alias("feature"), F.col("_p.value").alias("value")
+    raw = rows.select(*keys, shap(F.struct(*[column(c) for c in used])).alias("_values"))
+    value = F.col("_values")
+    if digits is not None:
+        value = F.transform(value, lambda v: F.round(v, digits))
+    names = F.array(*[F.lit(f) for f in forest.features])
+    return raw.select(
+        *keys, F.arrays_zip(names.alias("feature"), value.alias("value")).alias("values")
     )
 
 
+def attribute(rows: DataFrame, nodes: DataFrame | Forest, keys: Sequence[str]) -> DataFrame:
+    """Long table ``(keys, feature, value)`` of :func:`row_attributions`."""
+    return row_attributions(rows, nodes, keys).select(*keys, F.inline("values"))
+
+
 def rank_features(attributions: DataFrame, top: int | None = None) -> DataFrame:
     """Mean absolute attribution per feature, largest first."""
     ranking = (
@@ -118,11 +125,28 @@ def top_and_rest(
 ) -> DataFrame:
     """Per row the ``max_display - 1`` largest attributions and the sum of the rest.
 
-    A window holds the features of one row only.
+    Works within the arrays of :func:`row_attributions`, without a shuffle.
     """
-    order = Window.partitionBy(*keys).orderBy(F.abs("value").desc(), "feature")
-    placed = attributions.withColumn("_place", F.row_number().over(order))
-    name = F.when(F.col("_place") < max_display, F.col("feature")).otherwise("rest")
-    return placed.groupBy(*keys, name.alias("feature")).agg(
-        F.sum("value").alias("value"), F.count(F.lit(1)).alias("n_features")
+    ordered = F.array_sort(
+        F.transform(
+            "values",
+            lambda v: F.struct(
+                (-F.abs(v["value"])).alias("down"), v["feature"].alias("feature"), v["value"].alias("value")
+            ),
+        )
+    )
+    shown = max_display - 1
+    placed = attributions.select(*keys, ordered.alias("_all"))
+    rest = F.slice("_all", shown + 1, F.greatest(F.size("_all") - shown, F.lit(0)))
+    total = F.aggregate(rest, F.lit(0.0), lambda s, v: s + v["value"])
+
+    def entry(name: Column, value: Column, count: Column) -> Column:
+        return F.struct(
+            name.alias("feature"), value.alias("value"), count.cast("bigint").alias("n_features")
+        )
+
+    top = F.transform(
+        F.slice("_all", 1, shown), lambda v: entry(v["feature"], v["value"], F.lit(1))
     )
+    last = F.when(F.size(rest) > 0, F.array(entry(F.lit("rest"), total, F.size(rest))))
+    return placed.select(*keys, F.inline(F.concat(top, F.coalesce(last, F.slice(top, 1, 0)))))

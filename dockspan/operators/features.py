@@ -6,15 +6,17 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
+from dockspan.functions.columns import column
+
 
 def fill_missing(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
     """NULL and NaN become 0 in the named feature columns."""
     wanted = set(columns)
     return rows.select(
         [
-            F.coalesce(F.nanvl(F.col(c).cast("double"), F.lit(0.0)), F.lit(0.0)).alias(c)
+            F.coalesce(F.nanvl(column(c).cast("double"), F.lit(0.0)), F.lit(0.0)).alias(c)
             if c in wanted
-            else F.col(c)
+            else column(c)
             for c in rows.columns
         ]
     )
@@ -36,7 +38,7 @@ def align(
     have = set(present)
     return rows.select(
         *keys,
-        *[F.col(c).cast("double").alias(c) if c in have else F.lit(0.0).alias(c) for c in wanted],
+        *[column(c).cast("double").alias(c) if c in have else F.lit(0.0).alias(c) for c in wanted],
     )
 
 
@@ -45,7 +47,7 @@ def prune(rows: DataFrame, listed: Sequence[str], keys: Sequence[str]) -> tuple[
     have = set(rows.columns)
     kept = [c for c in listed if c in have]
     missing = [c for c in listed if c not in have]
-    return rows.select(*keys, *[F.col(f"`{c}`") for c in kept]), missing
+    return rows.select(*keys, *[column(c) for c in kept]), missing
 
 
 def prune_long(long: DataFrame, listed: DataFrame, feature: str = "feature") -> DataFrame:
@@ -55,7 +57,7 @@ def prune_long(long: DataFrame, listed: DataFrame, feature: str = "feature") ->
 
 def to_long(rows: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
     """One ``(keys, feature, value)`` row per feature column."""
-    return rows.unpivot(list(keys), list(columns), "feature", "value")
+    return rows.unpivot(list(keys), [column(c) for c in columns], "feature", "value")
 
 
 def to_wide(

@@ -15,6 +15,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from dockspan.functions.columns import column
+
 NODE_SCHEMA = T.StructType(
     [
         T.StructField("tree", T.IntegerType()),
@@ -157,7 +159,7 @@ def score_forest(
     """
     forest = nodes if isinstance(nodes, Forest) else load_forest(nodes)
     if values is None:
-        values = {c: F.col(c) for c in rows.columns if c in set(forest.features)}
+        values = {c: column(c) for c in rows.columns if c in set(forest.features)}
     if len(forest.leaf) <= max_expression_nodes:
         margin = score_expression(forest, values, base_margin)
         return rows.withColumn(name, probability(margin) if logistic else margin)

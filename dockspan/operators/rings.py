@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from dockspan.functions import vectors as V
 from dockspan.functions.fixed_values import TEMPLATE_RINGS
 from dockspan.functions.literals import literal_table
+from dockspan.operators.durable import durable
 from dockspan.operators.graph import arcs, enumerate_rings
 from dockspan.operators.spatial import distance_join, prefixed
 
@@ -116,18 +117,22 @@ def molecule_rings(
     flat: bool = True,
 ) -> DataFrame:
     """Flat rings of five and six atoms in bond graphs, with their geometry."""
-    rings = enumerate_rings(bonds, keys).filter(F.size("members").between(*sizes))
+    rings = durable(enumerate_rings(bonds, keys).filter(F.size("members").between(*sizes)))
+    # Only the atoms of rings and their partners are looked at from here on.
+    wanted = rings.select(*keys, F.explode("members").alias("idx")).distinct()
     partner = atoms.select(*keys, F.col("idx").alias("j"), F.struct("x", "y", "z").alias("_q"))
+    entry = F.struct("j", "_q")
     around = (
         arcs(bonds, keys)
+        .withColumnRenamed("i", "idx")
+        .join(wanted, [*keys, "idx"], "left_semi")
         .join(partner, [*keys, "j"])
-        .groupBy(*keys, F.col("i").alias("idx"))
-        .agg(F.transform(F.array_sort(F.collect_list(F.struct("j", "_q"))), lambda e: e["_q"]).alias("around"))
+        .groupBy(*keys, "idx")
+        .agg(F.transform(F.array_sort(F.collect_list(entry)), lambda e: e["_q"]).alias("around"))
     )
-    described = atoms.select(*keys, "idx", "x", "y", "z", "element", "structure").join(
-        around, [*keys, "idx"]
-    )
-    filled = ring_atoms(rings, described, keys, ["x", "y", "z", "element", "structure", "around"])
+    columns = ["x", "y", "z", "element", "structure"]
+    described = atoms.select(*keys, "idx", *columns).join(around, [*keys, "idx"])
+    filled = ring_atoms(rings, described, keys, [*columns, "around"])
     if flat:
         filled = filled.filter(is_flat(F.col("atoms")))
     return with_geometry(

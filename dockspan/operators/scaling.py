@@ -6,6 +6,8 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from dockspan.functions.columns import column
+
 KINDS = ("standard", "minmax", "maxabs")
 
 
@@ -18,7 +20,7 @@ def fit_scaler(rows: DataFrame, columns: Sequence[str], kind: str = "maxabs") ->
         raise ValueError(f"choose the kind from {KINDS}")
     fits = []
     for position, name in enumerate(columns):
-        value = F.nullif(F.col(name).cast("double"), F.lit(float("nan")))
+        value = F.nullif(column(name).cast("double"), F.lit(float("nan")))
         if kind == "standard":
             offset, scale = F.avg(value), F.stddev_pop(value)
         elif kind == "minmax":
@@ -67,7 +69,7 @@ def apply_scaler(
     have = set(rows.columns)
     columns = [
         scaled(
-            F.col(name).cast("double") if name in have else F.lit(0.0), offset, scale, fill
+            column(name).cast("double") if name in have else F.lit(0.0), offset, scale, fill
         ).alias(name)
         for name, (offset, scale) in params.items()
     ]

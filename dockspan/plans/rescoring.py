@@ -6,6 +6,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
+from dockspan.functions.columns import column
 from dockspan.operators import consensus
 from dockspan.operators.forest import Forest, score_forest
 from dockspan.operators.scaling import scaled
@@ -29,7 +30,7 @@ def two_model_scores(
     for model in ("ps", "pb"):
         values = {
             name: scaled(
-                F.col(name).cast("double") if name in have else F.lit(0.0), offset, scale, fill
+                column(name).cast("double") if name in have else F.lit(0.0), offset, scale, fill
             )
             for name, (offset, scale) in scalers[model].items()
         }

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from dockspan.functions.literals import literal_table
-from dockspan.operators import attribution, features as feature_ops, scaling
+from dockspan.operators import attribution, consensus, features as feature_ops, scaling
 from dockspan.operators.forest import Forest, load_forest, NODE_SCHEMA, score_forest
-from dockspan.plans.rescoring import rescore
-from dockspan.queries.registry import query, rounded
+from dockspan.plans.rescoring import rescore, two_model_scores
+from dockspan.queries.registry import ORACLES, query, rounded
+from dockspan.queries.spatial import pose_features
 from dockspan.queries.views import FEATURE_KEY, FEATURES, features
 
 COLUMNS = ["f_quantity", "f_price", "f_discount", "f_tax"]
@@ -47,18 +48,20 @@ MODELS = {
 }
 
 
+NODE_FIELDS = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in NODE_SCHEMA)
+
+
 def nodes(spark, model: str):
-    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in NODE_SCHEMA)
-    return literal_table(spark, MODELS[model], fields)
+    return literal_table(spark, MODELS[model], NODE_FIELDS)
 
 
 def forest(spark, model: str) -> Forest:
     return load_forest(nodes(spark, model))
 
 
-def _tree_sql(model: str, tree: int, node: int, value) -> str:
+def _tree_sql(model: list[tuple], tree: int, node: int, value) -> str:
     """Nested CASE of one tree; ``value`` gives the SQL of a feature."""
-    rows = {(t, n): r for r in MODELS[model] for t, n in [(r[0], r[1])]}
+    rows = {(r[0], r[1]): r for r in model}
     _, _, feature, threshold, yes, no, missing, leaf, _ = rows[(tree, node)]
     if leaf is not None:
         return f"CAST({leaf} AS DOUBLE)"
@@ -70,8 +73,8 @@ def _tree_sql(model: str, tree: int, node: int, value) -> str:
     )
 
 
-def score_sql(model: str, value) -> str:
-    trees = sorted({r[0] for r in MODELS[model]})
+def score_sql(model: list[tuple], value) -> str:
+    trees = sorted({r[0] for r in model})
     margin = " + ".join(_tree_sql(model, t, 0, value) for t in trees)
     return f"1 / (1 + exp(-({margin})))"
 
@@ -108,7 +111,8 @@ def fill_align(spark, sf_dir):
     FEATURES_SQL
     + """, long AS (UNPIVOT (SELECT l_orderkey, f_quantity, f_price, f_discount, f_tax FROM features)
         ON f_quantity, f_price, f_discount, f_tax INTO NAME feature VALUE value)
-    SELECT feature, count(*) AS n_values, round(sum(value), 6) AS total
+    SELECT feature, count(*) AS n_values,
+      CAST(sum(CAST(value AS DECIMAL(18, 4))) AS DOUBLE) AS total
     FROM long WHERE feature IN ('f_tax', 'f_price') GROUP BY feature""",
 )
 def prune_features(spark, sf_dir):
@@ -117,11 +121,9 @@ def prune_features(spark, sf_dir):
     )
     kept = [c for c in rows.columns if c not in FEATURE_KEY]
     long = feature_ops.to_long(rows, FEATURE_KEY, kept)
-    return rounded(
-        long.groupBy("feature").agg(
-            F.count("value").alias("n_values"), F.sum("value").alias("total")
-        )
-    )
+    # Decimal sums do not depend on the order of the rows.
+    total = F.sum(F.col("value").cast("decimal(18, 4)")).cast("double")
+    return long.groupBy("feature").agg(F.count("value").alias("n_values"), total.alias("total"))
 
 
 FITS = {
@@ -145,11 +147,12 @@ def _register_scaler(kind: str) -> None:
         f"scaler_fit_{kind}",
         FEATURES_SQL
         + f", fit AS ({fit_sql(kind)})"
-        + """SELECT feature, CAST(ord AS INTEGER) AS ord, round(off, 6) AS "offset",
-          round(scale, 6) AS scale FROM fit""",
+        + """SELECT feature, CAST(ord AS INTEGER) AS ord, round(off, 4) AS "offset",
+          round(scale, 4) AS scale FROM fit""",
     )
     def fit(spark, sf_dir):
-        return rounded(scaling.fit_scaler(features(spark, sf_dir), COLUMNS, kind))
+        # Sums of doubles depend on their order; four digits do not.
+        return rounded(scaling.fit_scaler(features(spark, sf_dir), COLUMNS, kind), digits=4)
 
     for fill in ("before", "after"):
         parts = []
@@ -159,7 +162,7 @@ def _register_scaler(kind: str) -> None:
             moved = f"({x} - {off}) / {scl}"
             if fill == "after":
                 moved = f"coalesce({moved}, 0)"
-            parts.append(f"round({moved}, 6) AS {c}")
+            parts.append(f"round({moved}, 4) AS {c}")
 
         @query(
             f"scaler_apply_{kind}_{fill}",
@@ -168,7 +171,7 @@ def _register_scaler(kind: str) -> None:
         def apply(spark, sf_dir, fill=fill):
             rows = features(spark, sf_dir)
             params = scaling.read_params(scaling.fit_scaler(rows, COLUMNS, kind))
-            return rounded(scaling.apply_scaler(rows, params, FEATURE_KEY, fill), COLUMNS)
+            return rounded(scaling.apply_scaler(rows, params, FEATURE_KEY, fill), COLUMNS, 4)
 
 
 for _kind in FITS:
@@ -203,7 +206,7 @@ def unit_features(spark, sf_dir):
 @query(
     "forest_score",
     FEATURES_SQL
-    + f"SELECT {KEY_SQL}, round({score_sql('ps', _unit_sql)}, 6) AS prediction FROM features",
+    + f"SELECT {KEY_SQL}, round({score_sql(MODELS['ps'], _unit_sql)}, 6) AS prediction FROM features",
 )
 def forest_score(spark, sf_dir):
     scored = score_forest(unit_features(spark, sf_dir), forest(spark, "ps"))
@@ -213,7 +216,7 @@ def forest_score(spark, sf_dir):
 @query(
     "forest_score_batched",
     FEATURES_SQL
-    + f"SELECT {KEY_SQL}, round({score_sql('pb', _unit_sql)}, 6) AS prediction FROM features",
+    + f"SELECT {KEY_SQL}, round({score_sql(MODELS['pb'], _unit_sql)}, 6) AS prediction FROM features",
 )
 def forest_score_batched(spark, sf_dir):
     scored = score_forest(
@@ -229,7 +232,7 @@ def _filled_sql(feature: str) -> str:
 TWO_MODEL = (
     FEATURES_SQL
     + f""", scored AS (SELECT *, concat('t', l_suppkey % 10) AS target,
-      {score_sql('ps', _filled_sql)} AS ps, {score_sql('pb', _filled_sql)} AS pb FROM features),
+      {score_sql(MODELS['ps'], _filled_sql)} AS ps, {score_sql(MODELS['pb'], _filled_sql)} AS pb FROM features),
     mixed AS (SELECT *, round(ps * CAST(0.7 AS DOUBLE) + pb * CAST(0.3 AS DOUBLE), 12) AS score FROM scored)
     SELECT target, {KEY_SQL}, round(ps, 6) AS ps, round(pb, 6) AS pb, round(score, 6) AS score,
       row_number() OVER (PARTITION BY target ORDER BY score DESC, {KEY_SQL}) AS rank FROM mixed"""
@@ -327,6 +330,57 @@ def feature_importance(spark, sf_dir):
     FROM placed GROUP BY {KEY_SQL}, CASE WHEN place < 3 THEN feature ELSE 'rest' END""",
 )
 def row_topk_rest(spark, sf_dir):
-    rows = attributions(spark, sf_dir)
-    rows = rows.withColumn("value", F.round("value", 9))
-    return rounded(attribution.top_and_rest(rows, FEATURE_KEY, max_display=3), ["value"])
+    values = attribution.row_attributions(
+        unit_features(spark, sf_dir), forest(spark, "ps"), FEATURE_KEY, digits=9
+    )
+    return rounded(attribution.top_and_rest(values, FEATURE_KEY, max_display=3), ["value"])
+
+
+# Models over interaction features, for the whole way from atoms to ranks.
+FEATURE_MODELS = {
+    "ps": [
+        (0, 0, "4.0 (C, C)", 1.5, 1, 2, 1, None, 20.0),
+        (0, 1, None, None, None, None, None, -0.5, 12.0),
+        (0, 2, "BPF ALPHA SIDECHAIN", 4.0, 3, 4, 3, None, 8.0),
+        (0, 3, None, None, None, None, None, 0.25, 5.0),
+        (0, 4, None, None, None, None, None, 0.75, 3.0),
+    ],
+    "pb": [
+        (0, 0, "C43000-C42200", 0.5, 1, 2, 1, None, 20.0),
+        (0, 1, "LA HD", 0.5, 3, 4, 3, None, 11.0),
+        (0, 2, None, None, None, None, None, 0.6, 9.0),
+        (0, 3, None, None, None, None, None, -0.3, 4.0),
+        (0, 4, None, None, None, None, None, 0.1, 7.0),
+    ],
+}
+FEATURE_SCALERS = {
+    "ps": {"4.0 (C, C)": (1.0, 2.0), "BPF ALPHA SIDECHAIN": (0.0, 4.0)},
+    "pb": {"C43000-C42200": (0.0, 2.0), "LA HD": (0.0, 1.0)},
+}
+
+
+def _feature_score_sql(model: str) -> str:
+    def value(feature: str) -> str:
+        offset, scale = FEATURE_SCALERS[model][feature]
+        return f'((f."{feature}" - {offset}::DOUBLE) / {scale}::DOUBLE)'
+
+    return score_sql(FEATURE_MODELS[model], value)
+
+
+@query(
+    "screen_structures",
+    f"""WITH f AS ({ORACLES['feature_pivot']}),
+    scored AS (SELECT target, pose, {_feature_score_sql('ps')} AS ps,
+      {_feature_score_sql('pb')} AS pb FROM f),
+    mixed AS (SELECT *, ps * CAST(0.7 AS DOUBLE) + pb * CAST(0.3 AS DOUBLE) AS score FROM scored)
+    SELECT target, pose, round(ps, 6) AS ps, round(pb, 6) AS pb, round(score, 6) AS score,
+      row_number() OVER (PARTITION BY target ORDER BY round(score, 9) DESC, pose) AS rank FROM mixed""",
+)
+def screen_structures(spark, sf_dir):
+    forests = {
+        m: load_forest(literal_table(spark, rows, NODE_FIELDS)) for m, rows in FEATURE_MODELS.items()
+    }
+    wide = pose_features(spark, sf_dir)
+    scores = two_model_scores(wide, ["target", "pose"], FEATURE_SCALERS, forests)
+    near = scores.withColumn("score", F.round("score", 9))
+    return rounded(consensus.rank_by_score(near, ties=["pose"]), ["ps", "pb", "score"])

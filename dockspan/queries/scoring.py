@@ -12,7 +12,13 @@ from dockspan.functions.ids import (
     label_from_id,
 )
 from dockspan.operators import consensus, metrics
-from dockspan.operators.targets import coverage, filter_compound, keep_listed_targets, not_done
+from dockspan.operators.targets import (
+    coverage,
+    filter_compound,
+    keep_listed_targets,
+    not_done,
+    override_ids,
+)
 from dockspan.queries.registry import query, rounded
 from dockspan.queries.views import POSE_KEY, POSE_SCORES, pose_scores
 
@@ -233,6 +239,20 @@ def canonical_id(spark, sf_dir):
     )
 
 
+@query(
+    "override_ids",
+    SCORED
+    + """SELECT target, CASE WHEN target = 't3' AND compound_id = (SELECT min(compound_id) FROM scored
+        WHERE target = 't3') THEN 'renamed-1' ELSE compound_id END AS compound_id, l_partkey
+    FROM scored""",
+)
+def override_ids_query(spark, sf_dir):
+    rows = pose_scores(spark, sf_dir).select("target", "compound_id", "l_partkey")
+    first = rows.filter("target = 't3'").groupBy("target").agg(F.min("compound_id").alias("compound_id"))
+    overrides = first.withColumn("new_id", F.lit("renamed-1"))
+    return override_ids(rows, overrides, ("target", "compound_id"))
+
+
 @query(
     "vs_aggregate",
     SCORED

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from dockspan.functions import vectors as V
 from dockspan.functions.atoms import element_of_name
+from dockspan.functions.columns import column
 from dockspan.functions.fixed_values import ATOM_KEYS, LIGAND_TYPE_KEYS, PROTEIN_TYPE_KEYS
 from dockspan.functions.literals import literal_table
 from dockspan.operators import contacts, features, spatial, typed_pairs as typed
@@ -269,6 +270,15 @@ PIVOT = [
     FROM lig LEFT JOIN con USING (target, pose) LEFT JOIN typ USING (target, pose)""",
 )
 def feature_pivot(spark, sf_dir):
+    wide = pose_features(spark, sf_dir)
+    return wide.select(
+        *POSE,
+        *[F.round(column(c), 3).alias(c) if c.startswith("ElSum") else column(c) for c in PIVOT],
+    )
+
+
+def pose_features(spark, sf_dir):
+    """The listed interaction features of every pose, one row each."""
     ligands, receptors = sides(spark, sf_dir)
     keys = literal_table(spark, ATOM_KEYS, "pdb_atom string, type_key string")
     known = F.col("ligand_type").isin(LIGAND_TYPE_KEYS)
@@ -276,11 +286,7 @@ def feature_pivot(spark, sf_dir):
         ligands.withColumn("type_key", F.when(known, F.col("ligand_type"))),
         typed.with_receptor_types(receptors, keys),
     )
-    wide = features.to_wide(long, POSE, PIVOT)
-    return wide.select(
-        *POSE,
-        *[F.round(F.col(f"`{c}`"), 3).alias(c) if c.startswith("ElSum") else F.col(f"`{c}`") for c in PIVOT],
-    )
+    return features.to_wide(long, POSE, PIVOT)
 
 
 @query(

@@ -19,6 +19,7 @@ from dockspan.functions.atoms import (
 )
 from dockspan.functions.fixed_values import PROTEIN_RESIDUES
 from dockspan.operators.ordering import WINDOW_ROWS, ranked, running
+from dockspan.operators.sizing import attach
 
 PATTERN = "*.pdbqt"
 # Fixed value: a pose with fewer lines than this is skipped.
@@ -123,7 +124,7 @@ def before_end(lines: DataFrame, keys: Sequence[str] = ("file",)) -> DataFrame:
     ends = line.startswith("END") & ~line.startswith("ENDROOT") & ~line.startswith("ENDBRANCH")
     stops = lines.filter(ends).groupBy(*keys).agg(F.min("line_no").alias("_stop"))
     return (
-        lines.join(stops, list(keys), "left")
+        attach(lines, stops, keys, "left")
         .filter(F.col("_stop").isNull() | (F.col("line_no") < F.col("_stop")))
         .drop("_stop")
     )

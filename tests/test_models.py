@@ -79,7 +79,9 @@ def test_top_and_rest(spark):
     long = spark.createDataFrame(
         [(1, "a", 0.5), (1, "b", -2.0), (1, "c", 0.1), (1, "d", 0.2)], "id int, feature string, value double"
     )
-    got = {r.feature: (r.value, r.n_features) for r in attribution.top_and_rest(long, ["id"], 3).collect()}
+    arrays = long.groupBy("id").agg(F.collect_list(F.struct("feature", "value")).alias("values"))
+    assert attribution.top_and_rest(arrays, ["id"], 9).count() == 4
+    got = {r.feature: (r.value, r.n_features) for r in attribution.top_and_rest(arrays, ["id"], 3).collect()}
     assert got == {"b": (-2.0, 1), "a": (0.5, 1), "rest": (pytest.approx(0.3), 2)}
     ranking = attribution.rank_features(long, top=2).collect()
     assert [r.feature for r in ranking] == ["b", "a"]
