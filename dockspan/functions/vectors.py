@@ -52,14 +52,16 @@ def distance(a: Vector, b: Vector) -> Column:
 
 def normalize(a: Vector) -> Vector:
     """Unit vector; NULL components for the zero vector."""
-    length = F.nullif(magnitude(a), F.lit(0.0))
-    return tuple(p / length for p in a)
+    return tuple(F.try_divide(p, magnitude(a)) for p in a)
 
 
 def angle(a: Vector, b: Vector) -> Column:
-    """Angle of two vectors in radians."""
-    cosine = dot(normalize(a), normalize(b))
-    return F.acos(F.when(cosine > 1.0, 1.0).when(cosine < -1.0, -1.0).otherwise(cosine))
+    """Angle of two vectors in radians; NULL if one of them is zero.
+
+    Rounding can put the cosine just outside its range, where ``acos`` is NaN.
+    """
+    cosine = F.try_divide(dot(a, b), magnitude(a) * magnitude(b))
+    return F.nanvl(F.acos(cosine), F.when(cosine > 0, 0.0).otherwise(math.pi))
 
 
 def angle_at(a: Vector, corner: Vector, b: Vector) -> Column:
@@ -77,19 +79,22 @@ def _signed_atan2(y: Column, x: Column) -> Column:
     return F.when((y == 0.0) & backward, half_turn).otherwise(F.atan2(y, x))
 
 
-def dihedral(a: Vector, b: Vector, c: Vector, d: Vector) -> Column:
-    """Torsion angle of four points in radians."""
+def dihedral(a: Vector, b: Vector, c: Vector, d: Vector, signed: bool = True) -> Column:
+    """Torsion angle of four points in radians.
+
+    ``signed=False`` is enough where 0, 180 and -180 degrees mean the same.
+    """
     first, second, third = subtract(b, a), subtract(c, b), subtract(d, c)
     turn = cross(second, third)
-    return _signed_atan2(
-        dot(scale(first, magnitude(second)), turn), dot(cross(first, second), turn)
-    )
+    sine = dot(scale(first, magnitude(second)), turn)
+    cosine = dot(cross(first, second), turn)
+    return _signed_atan2(sine, cosine) if signed else F.atan2(sine, cosine)
 
 
 def project(point: Vector, plane: tuple[Column, Column, Column, Column]) -> Vector:
     """Foot of the perpendicular on the plane ``ax + by + cz = d``."""
     normal, offset = plane[:3], plane[3]
-    step = (offset - dot(normal, point)) / F.nullif(dot(normal, normal), F.lit(0.0))
+    step = F.try_divide(offset - dot(normal, point), dot(normal, normal))
     return tuple(p + n * step for p, n in zip(point, normal))
 
 

@@ -171,17 +171,17 @@ def molecule_charges(atoms: DataFrame, bonds: DataFrame, keys: Sequence[str]) ->
         .when((element == "P") & (F.size(end_o) >= 2), charge(False, oxygens))
         .when((element == "S") & (F.size(end_o) >= 3), charge(False, oxygens))
     )
-    return (
-        hood.withColumn("_charge", rule)
-        .filter("_charge is not null")
-        .select(
-            *keys,
-            F.col("idx"),
-            F.col("_charge.members").alias("members"),
-            *[F.col(f"_charge.{c}").alias(c) for c in "xyz"],
-            F.col("_charge.positive").alias("positive"),
-            "structure",
-        )
+    # One row per atom that a rule applies to; the rule is computed once.
+    found = hood.select(
+        *keys, "idx", "structure", F.explode(F.array_compact(F.array(rule))).alias("_charge")
+    )
+    return found.select(
+        *keys,
+        "idx",
+        F.col("_charge.members").alias("members"),
+        *[F.col(f"_charge.{c}").alias(c) for c in "xyz"],
+        F.col("_charge.positive").alias("positive"),
+        "structure",
     )
 
 

@@ -94,11 +94,11 @@ def is_flat(atoms: Column) -> Column:
     low, high = FLAT_LIMITS
 
     def bent(a: Column, b: Column, c: Column, d: Column) -> Column:
-        turn = F.abs(V.degrees(V.dihedral(*[V.field_vec(q) for q in (a, b, c, d)])))
-        return (turn > low) & (turn < high)
+        turn = V.degrees(V.dihedral(*[V.field_vec(q) for q in (a, b, c, d)], signed=False))
+        return F.exists(F.array(F.abs(turn)), lambda t: (t > low) & (t < high))
 
-    def uneven(k: Column) -> Column:
-        q = [F.get(atoms, (k + i) % n) for i in range(4)]
+    def uneven(four: Column) -> Column:
+        q = [four[f"q{i}"] for i in range(4)]
         saturated = (q[3]["element"] == "C") & (F.size(q[3]["around"]) == 4)
         return (
             saturated
@@ -106,7 +106,11 @@ def is_flat(atoms: Column) -> Column:
             | F.exists(q[3]["around"], lambda s: bent(q[1], q[2], q[3], s))
         )
 
-    return ~F.exists(F.sequence(F.lit(0), n - 1), uneven)
+    def successive(k: Column) -> Column:
+        return F.struct(*[F.get(atoms, (k + i) % n).alias(f"q{i}") for i in range(4)])
+
+    fours = F.transform(F.sequence(F.lit(0), n - 1), successive)
+    return ~F.exists(fours, uneven)
 
 
 def molecule_rings(
@@ -221,11 +225,11 @@ def ring_stacking(
     kind = F.when(parallel, F.when(stacked, "STACKING")).when(
         upright, F.when(standing, "T-SHAPED")
     )
-    return (
-        measured.withColumn("kind", kind)
-        .filter(F.col("kind").isNotNull())
-        .drop("structure")
-        .withColumn("structure", or_other(F.col("r_structure")))
+    # One row per pair with a kind; a filter on it would compute the kind twice.
+    return measured.select(
+        *[c for c in measured.columns if c != "structure"],
+        or_other(F.col("r_structure")).alias("structure"),
+        F.explode(F.array_compact(F.array(kind))).alias("kind"),
     )
 
 
