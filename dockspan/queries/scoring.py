@@ -73,7 +73,8 @@ best AS (SELECT * FROM numbered WHERE place = 1)
 
 
 def best(spark, sf_dir):
-    return consensus.best_pose(scored(spark, sf_dir), first=POSE_KEY)
+    columns = ["target", "compound_id", "score", *POSE_KEY]
+    return consensus.best_pose(scored(spark, sf_dir).select(*columns), first=POSE_KEY)
 
 
 @query(

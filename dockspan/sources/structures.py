@@ -73,8 +73,14 @@ def read_lines(spark: SparkSession, path: str, pattern: str = PATTERN) -> DataFr
             F.col("value").alias("line"),
         )
     )
-    numbered = ranked(rows, ["file"], [F.col("_start"), F.col("_row")], "line_no")
-    return numbered.select("file", "line_no", "line")
+    # A file has no more lines than bytes, and sizes come with the listing.
+    sizes = list_files(spark, path, pattern)
+    bytes_ = sizes.agg(F.coalesce(F.max("length"), F.lit(0)).alias("n")).first()["n"]
+    largest = bytes_ if bytes_ <= WINDOW_ROWS else None
+    order = [F.col("_start"), F.col("_row")]
+    return ranked(rows, ["file"], order, "line_no", largest=largest).select(
+        "file", "line_no", "line"
+    )
 
 
 def split_poses(
@@ -100,11 +106,10 @@ def split_poses(
         {"pose": (F.col("part") > 0).cast("bigint")},
         max_group_rows=max_group_rows,
     )
-    kept = numbered.filter(
-        ~F.col("line").rlike(r"^\s*\d+\s*$") & ~F.contains("line", F.lit("ENDMDL"))
-    )
-    sizes = kept.groupBy(*keys, "pose").agg(F.count(F.lit(1)).alias("n"))
-    last = numbered.groupBy(*keys).agg(F.max("pose").alias("last"))
+    content = ~F.col("line").rlike(r"^\s*\d+\s*$") & ~F.contains("line", F.lit("ENDMDL"))
+    kept = numbered.filter(content)
+    sizes = numbered.groupBy(*keys, "pose").agg(F.count_if(content).alias("n"))
+    last = sizes.groupBy(*keys).agg(F.max("pose").alias("last"))
     whole = (
         sizes.join(last, list(keys))
         .filter(F.col("n") + (F.col("pose") == F.col("last")).cast("int") >= min_lines)
@@ -166,16 +171,16 @@ def drop_repeated(atoms: DataFrame, keys: Sequence[str] = ("file",)) -> DataFram
 
     Other atoms may share names and are all kept.
     """
-    protein = F.col("resname").isin(PROTEIN_RESIDUES)
     same = [*keys, "name", "resid", "resname", "chain"]
     rest = [c for c in atoms.columns if c not in same]
-    first = (
-        atoms.filter(protein)
-        .groupBy(*same)
+    # Atoms that are not protein are told apart by their line.
+    own_line = F.when(~F.col("resname").isin(PROTEIN_RESIDUES), F.col("line_no"))
+    return (
+        atoms.groupBy(*same, own_line.alias("_line"))
         .agg(F.min_by(F.struct(*rest), "line_no").alias("_first"))
         .select(*same, "_first.*")
+        .select(*atoms.columns)
     )
-    return first.select(*atoms.columns).unionByName(atoms.filter(~protein))
 
 
 def number_atoms(
