@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from dockspan.functions.ids import base_library_name, label_from_id
 from dockspan.operators import correlation, metrics
 from dockspan.plans.evaluation import evaluate_ranking, evaluate_screening
 from dockspan.queries.registry import query, rounded
