@@ -84,10 +84,10 @@ class UnitTable:
     def clear(self) -> None:
         self.places: dict[str, int] = {}
         self.flat = np.empty(1 << 16, np.int32)
-        self.starts = [0]
+        self.starts = np.zeros(1 << 12, np.int64)
 
     def look_up(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Place of every unit, whose numbers are ``numbers(place)``."""
+        """Where every unit's numbers start in ``flat``, and how many they are."""
         if len(self.places) > self.limit:
             self.clear()
         get = self.places.get
@@ -96,12 +96,16 @@ class UnitTable:
         if len(missing):
             new = [units[i] for i in missing.tolist()]
             for unit, numbers in zip(new, self.compute(new), strict=True):
-                end = self.starts[-1] + len(numbers)
+                place = self.places.setdefault(unit, len(self.places))
+                if place + 1 >= len(self.starts):
+                    self.starts = np.concatenate([self.starts, np.zeros(len(self.starts), np.int64)])
+                start = int(self.starts[place])
+                end = start + len(numbers)
                 if end > len(self.flat):
                     self.flat = np.concatenate([self.flat, np.empty(max(len(self.flat), len(numbers)), np.int32)])
-                self.flat[self.starts[-1] : end] = numbers
-                self.places[unit] = len(self.starts) - 1
-                self.starts.append(end)
+                if place == len(self.places) - 1:
+                    self.flat[start:end] = numbers
+                    self.starts[place + 1] = end
             found[missing] = [self.places[u] for u in new]
-        edges = np.asarray(self.starts)
-        return edges[found], edges[found + 1] - edges[found]
+        starts = self.starts[found]
+        return starts, self.starts[found + 1] - starts

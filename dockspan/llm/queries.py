@@ -5,7 +5,9 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from dockspan.llm.bpe import decode_ids, encode_texts
 from dockspan.llm.catalog import ORACLES, QUERIES, query, table  # noqa: F401
+from dockspan.llm.packing import pack_documents
 from dockspan.llm.sharding import shard_documents
 from dockspan.llm.token_counts import count_tokens
 from dockspan.llm.top_k import top_k_search
@@ -16,6 +18,18 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+@query("op3_prefix_bpe")
+def op3_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    coded = decode_ids(encode_texts(table(spark, sf_dir, "documents"), path), path)
+    return coded.select(
+        "doc_id",
+        "n_tokens",
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+    )
+
+
 TOP_K_SQL = """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: floor(CAST(x AS DOUBLE) * 64)) AS e FROM embeddings
@@ -40,3 +54,23 @@ def op8_top_k_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_hash_tree_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = shard_documents(table(spark, sf_dir, "documents"), shards=24)
     return placed.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
+
+
+def packed_pieces(docs: DataFrame) -> DataFrame:
+    """Packing with the parameters used here; the last stage of the pipeline too."""
+    return pack_documents(
+        docs,
+        public_tokenizers.path("byte_bpe_50k.json"),
+        public_tokenizers.path("byte_bpe_50k.tiktoken"),
+        public_tokenizers.PATTERN,
+        capacity=2048,
+        end_id=1,
+    )
+
+
+@query("op10_differencing_pack")
+def op10_differencing_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packed_pieces(table(spark, sf_dir, "documents"))
+    return pieces.select(
+        "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset"
+    )
