@@ -9,6 +9,7 @@ from dockspan.llm.bpe import decode_ids, encode_texts
 from dockspan.llm.catalog import ORACLES, QUERIES, query, table  # noqa: F401
 from dockspan.llm.packing import pack_documents
 from dockspan.llm.sharding import shard_documents
+from dockspan.llm.simhash import near_duplicates
 from dockspan.llm.token_counts import count_tokens
 from dockspan.llm.top_k import top_k_search
 
@@ -30,6 +31,12 @@ def op3_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("op5_bk_tree_neighbours")
+def op5_bk_tree_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_duplicates(table(spark, sf_dir, "documents"), words=4, radius=4)
+    return found.select("doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 TOP_K_SQL = """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: floor(CAST(x AS DOUBLE) * 64)) AS e FROM embeddings
