@@ -7,7 +7,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from dockspan.llm.bpe import decode_ids, encode_texts
 from dockspan.llm.catalog import ORACLES, QUERIES, query, table  # noqa: F401
+from dockspan.llm.line_templates import drop_recurring_lines
 from dockspan.llm.packing import pack_documents
+from dockspan.llm.quality import judge_quality
 from dockspan.llm.sharding import shard_documents
 from dockspan.llm.simhash import near_duplicates
 from dockspan.llm.token_counts import count_tokens
@@ -37,6 +39,57 @@ def op5_bk_tree_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+LINE_SQL = r"""
+WITH l AS (
+  SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos
+  FROM documents
+), w AS (
+  SELECT doc_id, pos, list_filter(regexp_split_to_array(line, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS raw
+  FROM l WHERE regexp_matches(line, '[^\x20\x09-\x0D]')
+), m AS (
+  SELECT doc_id, pos, len(raw) AS n,
+         list_transform(raw, lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '<*>' ELSE x END) AS words FROM w
+), k AS (SELECT *, n || ' ' || array_to_string(words[1:3], ' ') AS leaf FROM m),
+busy AS (SELECT leaf FROM k GROUP BY leaf HAVING count(DISTINCT doc_id) >= 10),
+p AS (
+  SELECT doc_id, pos, leaf, n, unnest(words) AS word, generate_subscripts(words, 1) AS place FROM k JOIN busy USING (leaf)
+), c AS (
+  SELECT leaf, place, word FROM p WHERE word <> '<*>' GROUP BY ALL HAVING count(*) >= 10
+), t AS (
+  SELECT p.doc_id, p.pos, p.leaf, count(c.word) AS constants, any_value(p.n) AS n,
+         string_agg(coalesce(c.word, '<*>'), ' ' ORDER BY p.place) AS template
+  FROM p LEFT JOIN c ON p.leaf = c.leaf AND p.place = c.place AND p.word = c.word GROUP BY p.doc_id, p.pos, p.leaf
+), g AS (SELECT doc_id, pos, leaf || '|' || template AS template FROM t WHERE constants >= 0.6 * n),
+o AS (
+  SELECT template, min(struct_pack(doc_id := doc_id, pos := pos)) AS first FROM g
+  GROUP BY template HAVING count(DISTINCT doc_id) >= 10
+), d AS (
+  SELECT g.doc_id, g.pos FROM g JOIN o USING (template) WHERE struct_pack(doc_id := g.doc_id, pos := g.pos) <> o.first
+), kept AS (
+  SELECT l.doc_id, string_agg(l.line, chr(10) ORDER BY l.pos) AS text FROM l ANTI JOIN d USING (doc_id, pos) GROUP BY l.doc_id
+), cnt AS (SELECT doc_id, count(*) AS n_lines FROM w GROUP BY doc_id),
+dropped AS (SELECT doc_id, count(*) AS n_dropped FROM d GROUP BY doc_id)
+SELECT x.doc_id, CAST(coalesce(n_lines, 0) AS BIGINT) AS n_lines, CAST(coalesce(n_dropped, 0) AS BIGINT) AS n_dropped,
+       sha256(coalesce(kept.text, '')) AS kept_sha256
+FROM documents x LEFT JOIN cnt USING (doc_id) LEFT JOIN dropped USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
+
+
+@query("op6_line_templates", LINE_SQL)
+def op6_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = drop_recurring_lines(table(spark, sf_dir, "documents"), depth=3, min_docs=10, share=0.6)
+    text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
+    return left.select("doc_id", "n_lines", "n_dropped", F.sha2(text, 256).alias("kept_sha256"))
+
+
+@query("op7_decision_list")
+def op7_decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = judge_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return judged.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
+    )
+
+
 TOP_K_SQL = """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: floor(CAST(x AS DOUBLE) * 64)) AS e FROM embeddings
