@@ -10,6 +10,7 @@ from dockspan.llm.catalog import ORACLES, QUERIES, query, table  # noqa: F401
 from dockspan.llm.line_templates import drop_recurring_lines
 from dockspan.llm.packing import pack_documents
 from dockspan.llm.quality import judge_quality
+from dockspan.llm.repeats import remove_repeats
 from dockspan.llm.sharding import shard_documents
 from dockspan.llm.simhash import near_duplicates
 from dockspan.llm.token_counts import count_tokens
@@ -33,6 +34,12 @@ def op3_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("op4_run_length_repeats")
+def op4_run_length_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), length=400)
+    return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 @query("op5_bk_tree_neighbours")
 def op5_bk_tree_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents"), words=4, radius=4)
