@@ -73,8 +73,9 @@ def words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
 class UnitTable:
     """Short lists of numbers by string, computed once while they are held.
 
-    ``compute`` turns new strings into lists of ints. The table starts over
-    when it is full, so its memory is bounded; results don't depend on it.
+    ``compute`` turns new strings into lists of ints. A full table keeps the strings
+    that were asked for more than once, if they are few enough, so its memory is
+    bounded; results don't depend on it.
     """
 
     def __init__(self, compute, limit: int = 250_000):
@@ -85,11 +86,27 @@ class UnitTable:
         self.places: dict[str, int] = {}
         self.flat = np.empty(1 << 16, np.int32)
         self.starts = np.zeros(1 << 12, np.int64)
+        self.uses = np.zeros(1 << 12, np.int64)
+
+    def shrink(self) -> None:
+        kept = np.flatnonzero(self.uses[: len(self.places)] > 1)
+        if len(kept) > self.limit // 2:
+            self.clear()
+            return
+        often = set(kept.tolist())
+        names = [unit for unit, place in self.places.items() if place in often]
+        lengths = self.starts[kept + 1] - self.starts[kept]
+        flat = self.flat[ragged(self.starts[kept], lengths)]
+        self.clear()
+        self.places = {unit: place for place, unit in enumerate(names)}
+        self.flat = np.concatenate([flat, self.flat])
+        self.starts = np.concatenate([[0], np.cumsum(lengths), self.starts])
+        self.uses = np.zeros(len(self.starts), np.int64)
 
     def look_up(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Where every unit's numbers start in ``flat``, and how many they are."""
         if len(self.places) > self.limit:
-            self.clear()
+            self.shrink()
         get = self.places.get
         found = np.fromiter((get(u, -1) for u in units), np.int64, len(units))
         missing = np.flatnonzero(found < 0)
@@ -98,7 +115,8 @@ class UnitTable:
             for unit, numbers in zip(new, self.compute(new), strict=True):
                 place = self.places.setdefault(unit, len(self.places))
                 if place + 1 >= len(self.starts):
-                    self.starts = np.concatenate([self.starts, np.zeros(len(self.starts), np.int64)])
+                    more = np.zeros(len(self.starts), np.int64)
+                    self.starts, self.uses = np.concatenate([self.starts, more]), np.concatenate([self.uses, more])
                 start = int(self.starts[place])
                 end = start + len(numbers)
                 if end > len(self.flat):
@@ -107,5 +125,6 @@ class UnitTable:
                     self.flat[start:end] = numbers
                     self.starts[place + 1] = end
             found[missing] = [self.places[u] for u in new]
+        self.uses[found] += 1
         starts = self.starts[found]
         return starts, self.starts[found + 1] - starts

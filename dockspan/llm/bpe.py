@@ -19,14 +19,15 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from dockspan.llm.batches import binaries, ragged
+from dockspan.llm.batches import binaries, ragged, slices
 from dockspan.llm.units import Encoder, encoded_slices, id_bytes
 
 # Fixed value: the splitting pattern of this family of tokenizers.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 NEVER = 1 << 60
-PAIRS_HELD = 1_000_000
+PAIRS_HELD = 400_000
+DECODE_BYTES = 1 << 20
 
 
 def byte_letters() -> dict[str, int]:
@@ -67,26 +68,28 @@ class PrefixBpe:
                 self.matches.add_word(text, (i, len(text)))
         self.matches.make_automaton()
         self.single = ids
-        self.known: dict[tuple[int, int], bool] = {}
+        self.known: dict[int, bool] = {}
+        self.edges: dict[tuple[int, int], list[tuple[int, int]]] = {}
         self.pattern = regex.compile(SPLIT)
 
     def edge(self, token: int, side: int) -> list[tuple[int, int]]:
         """The token's outer parts, from one byte up, each with the rank at which it is merged away."""
-        parts, until = [], NEVER
-        while True:
-            parts.append((token, until))
-            if token not in self.split:
-                return parts[::-1]
-            rank, *halves = self.split[token]
-            token, until = halves[side], rank
+        found = self.edges.get((token, side))
+        if found is None:
+            part, until, parts = token, NEVER, []
+            while part in self.split:
+                parts.append((part, until))
+                until, *halves = self.split[part]
+                part = halves[side]
+            parts.append((part, until))
+            found = self.edges[token, side] = parts[::-1]
+        return found
 
     def compatible(self, left: int, right: int) -> bool:
         """Whether the two tokens stay apart when their bytes are merged together."""
-        found = self.known.get((left, right))
-        if found is None:
-            if len(self.known) > PAIRS_HELD:
-                self.known.clear()
-            found = self.known[left, right] = self._stay_apart(self.edge(left, 1), self.edge(right, 0))
+        if len(self.known) > PAIRS_HELD:
+            self.known.clear()
+        found = self.known[left << 32 | right] = self._stay_apart(self.edge(left, 1), self.edge(right, 0))
         return found
 
     def _stay_apart(self, lefts, rights) -> bool:
@@ -119,10 +122,9 @@ class PrefixBpe:
             if start >= 0:
                 if not length[start]:
                     continue
-                pair = (last[start], token)
-                fits = known.get(pair)
+                fits = known.get(last[start] << 32 | token)
                 if fits is None:
-                    fits = compatible(*pair)
+                    fits = compatible(last[start], token)
                 if not fits:
                     continue
             last[end], length[end] = token, n
@@ -199,11 +201,13 @@ def decode_ids(rows: DataFrame, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decoder = model(path)[2]
         for batch in batches:
-            lists = batch.column("ids").fill_null(b"")
-            ids = np.frombuffer(b"".join(lists.to_pylist()), "<u4")
-            lengths = np.array([len(x) // 4 for x in lists.to_pylist()], np.int64)
-            texts = decoder.texts(ids, np.concatenate([[0], np.cumsum(lengths)]))
-            yield pa.RecordBatch.from_arrays([*batch.columns, texts], names=[*batch.schema.names, "decoded"])
+            for part in slices(batch, "ids", DECODE_BYTES):
+                lists = part.column("ids").fill_null(b"").to_pylist()
+                ids = np.frombuffer(b"".join(lists), "<u4")
+                edges = np.concatenate([[0], np.cumsum([len(x) // 4 for x in lists])]).astype(np.int64)
+                yield pa.RecordBatch.from_arrays(
+                    [*part.columns, decoder.texts(ids, edges)], names=[*part.schema.names, "decoded"]
+                )
 
     fields = ", ".join(f"`{name}` {kind}" for name, kind in rows.dtypes)
     return rows.mapInArrow(run, f"{fields}, decoded string")
