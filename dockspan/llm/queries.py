@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from dockspan.llm.bpe import decode_ids, encode_texts
 from dockspan.llm.catalog import ORACLES, QUERIES, query, table  # noqa: F401
 from dockspan.llm.line_templates import drop_recurring_lines
+from dockspan.llm.mixing import score_documents
 from dockspan.llm.packing import pack_documents
 from dockspan.llm.quality import judge_quality
 from dockspan.llm.repeats import remove_repeats
@@ -17,6 +18,11 @@ from dockspan.llm.token_counts import count_tokens
 from dockspan.llm.top_k import top_k_search
 
 
+@query("op1_context_mixing")
+def op1_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_documents(table(spark, sf_dir, "documents"))
+
+
 @query("op2_token_counts")
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
