@@ -364,11 +364,22 @@ def removed_mask(size: int, spans: list[dict] | None, length: int) -> np.ndarray
     return np.cumsum(change[:-1]) > 0
 
 
-def remove_repeats(docs: DataFrame, length: int = 400, group_bytes: int = GROUP_BYTES) -> DataFrame:
+def whole_characters(gone: np.ndarray, text: bytes) -> np.ndarray:
+    """The mask without characters of which some byte is left."""
+    if not len(gone):
+        return gone
+    starts = np.flatnonzero((np.frombuffer(text, np.uint8) & 0xC0) != 0x80)
+    return np.repeat(np.logical_and.reduceat(gone, starts), np.diff(np.append(starts, len(gone))))
+
+
+def remove_repeats(
+    docs: DataFrame, length: int = 400, characters: bool = False, group_bytes: int = GROUP_BYTES
+) -> DataFrame:
     """``docs`` with ``kept`` (bytes that are left), ``spans`` (removed intervals), n_bytes, n_removed, n_spans.
 
     Every byte inside a string of ``length`` bytes that starts at another place too, in this
-    or another document, is removed; strings are judged on the input. Texts shorter than
+    or another document, is removed; strings are judged on the input. With ``characters`` a
+    character stays whole while one of its bytes stays, so ``kept`` is UTF-8. Texts shorter than
     ``length``, empty or null lose nothing (null counts as empty). Every row stays; rows that
     are equal repeat each other. Columns of ``docs`` with the new names are replaced.
     """
@@ -386,6 +397,8 @@ def remove_repeats(docs: DataFrame, length: int = 400, group_bytes: int = GROUP_
                 kept, cut, removed = [], [], []
                 for text, spans in zip(texts, part.column("__spans").to_pylist(), strict=True):
                     gone = removed_mask(len(text), spans, length) if spans else np.zeros(len(text), bool)
+                    if characters and spans:
+                        gone = whole_characters(gone, text)
                     cut.append(intervals(gone).tolist())
                     removed.append(int(gone.sum()))
                     kept.append(np.frombuffer(text, np.uint8)[~gone].tobytes() if removed[-1] else text)
