@@ -127,6 +127,15 @@ LIGAND_TYPE_KEYS = """
     S;3;3;0;0;0 S;3;3;0;0;1 S;4;3;0;0;0 S;6;4;0;0;0 S;6;4;0;0;1 S;7;4;0;0;0
 """.split()
 
+# The ligand type keys whose pairs are counted.
+COUNTED_LIGAND_TYPES = """
+    Br;1;1;0;0;0 C;4;1;3;0;0 C;4;2;0;0;0 C;4;2;1;0;0 C;4;2;1;0;1 C;4;2;2;0;0 C;4;2;2;0;1 C;4;3;0;0;0
+    C;4;3;0;0;1 C;4;3;1;0;0 C;4;3;1;0;1 C;4;4;0;0;0 C;4;4;0;0;1 Cl;1;1;0;0;0 F;1;1;0;0;0 N;3;1;0;0;0
+    N;3;1;1;0;0 N;3;1;2;0;0 N;3;2;1;0;0 N;3;2;1;0;1 N;3;3;0;0;0 N;3;3;0;0;1 N;4;1;3;0;0 N;4;2;2;0;1
+    N;4;4;0;0;0 N;5;3;0;0;0 O;2;1;0;0;0 O;2;1;1;0;0 O;2;2;0;0;0 O;2;2;0;0;1 P;5;4;0;0;0 S;2;1;1;0;0
+    S;2;2;0;0;1 S;6;4;0;0;0
+""".split()
+
 # Type keys of protein atoms as residue-atom and key, one per line.
 ATOM_KEYS: list[tuple[str, str]] = [
     tuple(line.split(","))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
 from math import factorial
 
 import numpy as np
@@ -10,7 +11,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from dockspan.functions.columns import column
-from dockspan.operators.forest import Forest, feature_matrix, goes_to, load_forest
+from dockspan.operators.forest import Forest, PART_NODES, feature_matrix, forest_parts, goes_to
+
+# Numbers in one block of rows by leaves by path places.
+BLOCK_VALUES = 1_000_000
 
 
 def leaf_paths(forest: Forest) -> list[tuple[float, list[tuple[int, list[tuple[int, int]], float]]]]:
@@ -30,42 +34,96 @@ def leaf_paths(forest: Forest) -> list[tuple[float, list[tuple[int, list[tuple[i
     return found
 
 
-def shapley_values(forest: Forest, matrix: np.ndarray, paths=None) -> np.ndarray:
+@dataclass(frozen=True)
+class PathGroup:
+    """Leaves whose paths test equally many distinct features, as arrays.
+
+    ``feature`` and ``share`` are (leaves, size); ``step`` lists (node, child) of
+    every test with the (leaf, place) it belongs to.
+    """
+
+    leaf: np.ndarray
+    feature: np.ndarray
+    share: np.ndarray
+    nodes: np.ndarray
+    children: np.ndarray
+    owner: np.ndarray
+
+
+def path_groups(forest: Forest) -> list[PathGroup]:
+    by_size: dict[int, list] = {}
+    for leaf, path in leaf_paths(forest):
+        if path:
+            by_size.setdefault(len(path), []).append((leaf, path))
+    groups = []
+    for size, found in by_size.items():
+        steps = [
+            (node, child, i * size + j)
+            for i, (_, path) in enumerate(found)
+            for j, (_, tests, _) in enumerate(path)
+            for node, child in tests
+        ]
+        nodes, children, owner = np.array(steps).T
+        groups.append(
+            PathGroup(
+                leaf=np.array([leaf for leaf, _ in found]),
+                feature=np.array([[f for f, _, _ in path] for _, path in found]),
+                share=np.array([[z for _, _, z in path] for _, path in found]),
+                nodes=nodes,
+                children=children,
+                owner=owner,
+            )
+        )
+    return groups
+
+
+def shapley_values(forest: Forest, matrix: np.ndarray, groups=None) -> np.ndarray:
     """Path-dependent Shapley values of every row and feature.
 
     The value of a leaf for a set of known features is the product of "row
     follows the path" over the known features and of cover shares over the
     others (Lundberg et al., 2018). ``sets[k]`` adds up that product over all
-    sets of k known features among the others of the path.
+    sets of k known features among the others of the path. Leaves of equal path
+    size are worked on together, in blocks of bounded size.
     """
-    paths = leaf_paths(forest) if paths is None else paths
     values = np.zeros(matrix.shape)
-    rows = len(matrix)
-    for leaf, path in paths:
-        size = len(path)
-        if size == 0:
-            continue
-        follows = []
-        for feature, steps, _ in path:
-            ok = np.ones(rows, dtype=bool)
-            for node, child in steps:
-                at = np.full(rows, node)
-                ok &= goes_to(forest, at, matrix[:, feature]) == child
-            follows.append(ok.astype(float))
-        shares = [share for _, _, share in path]
-        by_size = [factorial(k) * factorial(size - k - 1) / factorial(size) for k in range(size)]
-        for i, (feature, _, share) in enumerate(path):
-            sets = np.zeros((size, rows))
-            sets[0] = 1.0
-            for j in range(size):
-                if j != i:
-                    sets[1:] = sets[1:] * shares[j] + sets[:-1] * follows[j]
-                    sets[0] = sets[0] * shares[j]
-            weight = sum(w * s for w, s in zip(by_size, sets))
-            values[:, feature] += leaf * (follows[i] - share) * weight
+    for group in path_groups(forest) if groups is None else groups:
+        leaves, size = group.share.shape
+        block = max(1, BLOCK_VALUES // max(1, leaves * size))
+        for at in range(0, len(matrix), block):
+            values[at : at + block] += _group_values(forest, matrix[at : at + block], group)
     return values
 
 
+def _group_values(forest: Forest, matrix: np.ndarray, group: PathGroup) -> np.ndarray:
+    rows = len(matrix)
+    leaves, size = group.share.shape
+    # A row fails a place of a path if any of the place's tests sends it elsewhere.
+    follows = np.ones((rows, leaves * size), dtype=bool)
+    order = np.argsort(group.owner, kind="stable")
+    first = np.searchsorted(group.owner[order], np.arange(leaves * size))
+    nodes, children = group.nodes[order], group.children[order]
+    taken = goes_to(forest, nodes[None, :], matrix[:, forest.feature[nodes]]) == children
+    follows = np.logical_and.reduceat(taken, first, axis=1).reshape(rows, leaves, size)
+    follows = follows.astype(float)
+    by_size = [factorial(k) * factorial(size - k - 1) / factorial(size) for k in range(size)]
+    out = np.zeros(matrix.shape)
+    for i in range(size):
+        sets = np.zeros((size, rows, leaves))
+        sets[0] = 1.0
+        for j in range(size):
+            if j != i:
+                sets[1:] = sets[1:] * group.share[:, j] + sets[:-1] * follows[:, :, j]
+                sets[0] = sets[0] * group.share[:, j]
+        weight = np.tensordot(by_size, sets, axes=1)
+        added = group.leaf * (follows[:, :, i] - group.share[:, i]) * weight
+        # Leaves that test the same feature at this place are added up by a product with 0 and 1.
+        chosen = np.zeros((leaves, matrix.shape[1]))
+        chosen[np.arange(leaves), group.feature[:, i]] = 1.0
+        out += added @ chosen
+    return out
+
+
 def expected_margin(forest: Forest, base_margin: float = 0.0) -> float:
     """Mean margin over the training cover."""
     total = base_margin
@@ -78,33 +136,50 @@ def expected_margin(forest: Forest, base_margin: float = 0.0) -> float:
 
 
 def row_attributions(
-    rows: DataFrame, nodes: DataFrame | Forest, keys: Sequence[str], digits: int | None = None
+    rows: DataFrame,
+    nodes: DataFrame | Forest,
+    keys: Sequence[str],
+    digits: int | None = None,
+    part_nodes: int = PART_NODES,
 ) -> DataFrame:
     """``keys`` and ``values``, an array of ``(feature, value)`` per row.
 
     The values are attributions to the margin; with the expected margin they
     add up to the row's margin.
     """
-    forest = nodes if isinstance(nodes, Forest) else load_forest(nodes)
-    shared = rows.sparkSession.sparkContext.broadcast((forest, leaf_paths(forest)))
-    used = [c for c in rows.columns if c in set(forest.features)]
-
-    @F.pandas_udf("array<double>")
-    def shap(batches: Iterator[pd.DataFrame]) -> Iterator[pd.Series]:
-        trees, paths = shared.value
-        for batch in batches:
-            yield pd.Series(list(shapley_values(trees, feature_matrix(batch, trees), paths)))
-
-    raw = rows.select(*keys, shap(F.struct(*[column(c) for c in used])).alias("_values"))
+    parts = [nodes] if isinstance(nodes, Forest) else list(forest_parts(nodes, part_nodes))
+    features = sorted({f for forest in parts for f in forest.features})
+    used = F.struct(*[column(c) for c in rows.columns if c in set(features)])
+    # Attributions of the parts add up; the workers find the leaf paths of the trees themselves.
+    found = rows.withColumn("_values", _part_values(rows, parts[0], features)(used))
+    for forest in parts[1:]:
+        more = _part_values(rows, forest, features)(used)
+        found = found.withColumn("_values", F.zip_with("_values", more, lambda a, b: a + b))
     value = F.col("_values")
     if digits is not None:
         value = F.transform(value, lambda v: F.round(v, digits))
-    names = F.array(*[F.lit(f) for f in forest.features])
-    return raw.select(
+    names = F.array(*[F.lit(f) for f in features])
+    return found.select(
         *keys, F.arrays_zip(names.alias("feature"), value.alias("value")).alias("values")
     )
 
 
+def _part_values(rows: DataFrame, forest: Forest, features: list[str]):
+    shared = rows.sparkSession.sparkContext.broadcast(forest)
+    places = [features.index(f) for f in forest.features]
+
+    @F.pandas_udf("array<double>")
+    def shap(batches: Iterator[pd.DataFrame]) -> Iterator[pd.Series]:
+        trees = shared.value
+        groups = path_groups(trees)
+        for batch in batches:
+            values = np.zeros((len(batch), len(features)))
+            values[:, places] = shapley_values(trees, feature_matrix(batch, trees), groups)
+            yield pd.Series(list(values))
+
+    return shap
+
+
 def attribute(rows: DataFrame, nodes: DataFrame | Forest, keys: Sequence[str]) -> DataFrame:
     """Long table ``(keys, feature, value)`` of :func:`row_attributions`."""
     return row_attributions(rows, nodes, keys).select(*keys, F.inline("values"))

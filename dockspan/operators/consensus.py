@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from dockspan.functions.columns import present
 from dockspan.functions.ids import base_compound, selected_pose
 from dockspan.operators.ordering import WINDOW_ROWS, ranked
 
@@ -27,6 +28,12 @@ def with_consensus(
     return scores.withColumn(name, F.col(ps) * weights[0] + F.col(pb) * weights[1])
 
 
+def best_first(score: str) -> list[Column]:
+    """Sorting keys that put high scores first and missing ones (NULL or NaN) last."""
+    value = present(F.col(score).cast("double"))
+    return [value.isNull(), -value]
+
+
 def rank_by_score(
     scores: DataFrame,
     score: str = "score",
@@ -35,11 +42,11 @@ def rank_by_score(
     name: str = "rank",
     max_group_rows: int = WINDOW_ROWS,
 ) -> DataFrame:
-    """Rank from 1, best score first; ``ties`` makes the order total.
+    """Rank from 1, best score first, missing scores last; ``ties`` makes the order total.
 
     With ``group=()`` the rank runs over the whole table.
     """
-    order = [F.col(score).desc(), *[F.col(t) for t in ties]]
+    order = [*best_first(score), *[F.col(t) for t in ties]]
     return ranked(scores, list(group), order, name, max_group_rows)
 
 
@@ -53,7 +60,8 @@ def best_pose(
 ) -> DataFrame:
     """The best-scoring row of each compound, with its pose label and pose count.
 
-    Among equal scores the row that is first in ``first`` order wins. The
+    Among equal scores the row that is first in ``first`` order wins, and a
+    missing score wins only where a compound has no other. The
     winner is an aggregate, so a compound with very many poses is reduced
     before the shuffle.
     """
@@ -65,7 +73,7 @@ def best_pose(
         F.count(F.lit(1)).alias("total_poses"),
         F.min_by(
             F.struct(*rest),
-            F.struct((-F.col(score)).alias("_down"), *[F.col(c) for c in first]),
+            F.struct(*best_first(score), *[F.col(c) for c in first]),
         ).alias("_row"),
     )
     return winners.select(
@@ -84,7 +92,7 @@ def top_scores(
     ties: Sequence[str] = ("compound_id",),
 ) -> DataFrame:
     """The ``count`` best rows of the table."""
-    return scores.orderBy(F.col(score).desc(), *ties).limit(count)
+    return scores.orderBy(*best_first(score), *ties).limit(count)
 
 
 def result_summary(results: DataFrame, score: str = "score", poses: str = "total_poses") -> DataFrame:

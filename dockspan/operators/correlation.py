@@ -8,8 +8,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from dockspan.operators.joins import join_same
 from dockspan.operators.ordering import WINDOW_ROWS, largest_group, ranked, running
-from dockspan.operators.sizing import attach
 
 # log2 of the number of rows whose order one task compares directly.
 BLOCK_BITS = 16
@@ -33,7 +33,7 @@ def with_mid_rank(
         max_group_rows=max_group_rows,
         largest=largest,
     ).select(*group, value, (F.col("_upto") - (F.col("_n") - 1) / 2.0).alias(name))
-    return attach(rows, places, [*group, value])
+    return join_same(rows, places, [*group, value])
 
 
 def linear_correlations(
@@ -161,7 +161,9 @@ def kendall_tau(
     tied_y = _tied_pairs(rows, group, [y], "_ty").drop("_ty_rows")
     tied_xy = _tied_pairs(rows, group, [x, y], "_txy").drop("_txy_rows")
     keys = list(group)
-    joined = tied_x.join(tied_y, keys).join(tied_xy, keys).join(swaps, keys)
+    joined = tied_x
+    for part in (tied_y, tied_xy, swaps):
+        joined = join_same(joined, part, keys)
     pairs = F.expr("(_tx_rows * (_tx_rows - 1)) div 2")
     discordant = F.col("inversions")
     concordant = pairs - discordant - F.col("_tx") - F.col("_ty") + F.col("_txy")
@@ -186,7 +188,7 @@ def ranking_metrics(
     """Pearson, Spearman and Kendall per group."""
     limits = {"max_group_rows": max_group_rows, "largest": largest_group(rows, group)}
     tau = kendall_tau(rows, group, x, y, ties, **limits).drop("n")
-    return linear_correlations(rows, group, x, y, **limits).join(tau, list(group))
+    return join_same(linear_correlations(rows, group, x, y, **limits), tau, group)
 
 
 def join_experiment(

@@ -50,11 +50,6 @@ def prune(rows: DataFrame, listed: Sequence[str], keys: Sequence[str]) -> tuple[
     return rows.select(*keys, *[column(c) for c in kept]), missing
 
 
-def prune_long(long: DataFrame, listed: DataFrame, feature: str = "feature") -> DataFrame:
-    """Long-form pruning: rows whose feature is in the list table."""
-    return long.join(F.broadcast(listed.select(feature)), feature, "left_semi")
-
-
 def to_long(rows: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
     """One ``(keys, feature, value)`` row per feature column."""
     return rows.unpivot(list(keys), [column(c) for c in columns], "feature", "value")
@@ -65,14 +60,11 @@ def to_wide(
 ) -> DataFrame:
     """One row per key with the listed features as columns.
 
-    The features of a row are gathered in one map, so the aggregate has a
-    single column however many features there are.
+    Every key keeps its row, also one without any listed feature. The pivot
+    places values by their feature's number, in one array per row.
     """
-    kept = long.filter(F.col("feature").isin(list(listed)))
-    rows = kept.groupBy(*keys).agg(
-        F.map_from_entries(F.collect_list(F.struct("feature", "value"))).alias("_map")
-    )
-    value = [F.try_element_at("_map", F.lit(c)) for c in listed]
+    rows = long.groupBy(*keys).pivot("feature", list(listed)).agg(F.max("value"))
+    value = [column(c) for c in listed]
     if fill is not None:
         value = [F.coalesce(v, F.lit(fill)) for v in value]
     return rows.select(*keys, *[v.alias(c) for v, c in zip(value, listed)])

@@ -30,9 +30,10 @@ NODE_SCHEMA = T.StructType(
         T.StructField("cover", T.DoubleType()),
     ]
 )
-# Larger forests exceed what generated code handles well as one expression.
-EXPRESSION_NODES = 800
-MAX_NODES = 5_000_000
+# Up to here one generated expression is about as fast as walking Arrow batches.
+EXPRESSION_NODES = 64
+# Nodes that are brought to the driver and broadcast at a time, about 300 MB of arrays.
+PART_NODES = 5_000_000
 
 
 @dataclass(frozen=True)
@@ -50,10 +51,22 @@ class Forest:
     cover: np.ndarray
 
 
-def load_forest(nodes: DataFrame, max_nodes: int = MAX_NODES) -> Forest:
-    """Bring one model's node table to the driver after checking its size."""
-    if nodes.count() > max_nodes:
-        raise ValueError(f"a forest of more than {max_nodes} nodes cannot be broadcast")
+def forest_parts(nodes: DataFrame, part_nodes: int = PART_NODES) -> Iterator[Forest]:
+    """One model's node table as forests of whole trees, one after the other.
+
+    Margins and attributions of the parts add up to those of the model. A part
+    has about ``part_nodes`` nodes, or one tree that is larger.
+    """
+    parts = -(-nodes.count() // part_nodes)
+    if parts < 2:
+        yield load_forest(nodes)
+        return
+    for part in range(parts):
+        yield load_forest(nodes.filter(F.pmod(F.xxhash64("tree"), F.lit(parts)) == part))
+
+
+def load_forest(nodes: DataFrame) -> Forest:
+    """Bring a node table to the driver; ``forest_parts`` bounds how much at a time."""
     pdf = nodes.select(*NODE_SCHEMA.fieldNames()).toPandas()
     pdf = pdf.sort_values(["tree", "node"]).reset_index(drop=True)
     place = {k: i for i, k in enumerate(zip(pdf["tree"], pdf["node"]))}
@@ -86,23 +99,26 @@ def _tree_expression(forest: Forest, at: int, values: Mapping[str, Column]) -> C
     if forest.feature[at] < 0:
         return F.lit(float(forest.leaf[at]))
     name = forest.features[forest.feature[at]]
-    yes, no, missing = (
-        _tree_expression(forest, int(side[at]), values)
-        for side in (forest.yes, forest.no, forest.missing)
-    )
     if name not in values:
-        return missing
+        return _tree_expression(forest, int(forest.missing[at]), values)
     value = values[name].cast("float")
-    limit = F.lit(float(forest.threshold[at])).cast("float")
+    yes, no = (_tree_expression(forest, int(side[at]), values) for side in (forest.yes, forest.no))
+    # A missing value is not below any limit: NULL is no match and NaN is the largest number.
+    below = value < F.lit(float(forest.threshold[at])).cast("float")
     absent = value.isNull() | F.isnan(value)
-    return F.when(absent, missing).when(value < limit, yes).otherwise(no)
+    if forest.missing[at] == forest.no[at]:
+        return F.when(below, yes).otherwise(no)
+    if forest.missing[at] == forest.yes[at]:
+        return F.when(absent | below, yes).otherwise(no)
+    other = _tree_expression(forest, int(forest.missing[at]), values)
+    return F.when(absent, other).when(below, yes).otherwise(no)
 
 
 def score_expression(
-    forest: Forest, values: Mapping[str, Column], base_margin: float = 0.0
+    forest: Forest, values: Mapping[str, Column], start: Column | float = 0.0
 ) -> Column:
-    """The forest's margin as nested conditions on the feature values."""
-    total = F.lit(base_margin)
+    """``start`` and the forest's margin as nested conditions on the feature values."""
+    total = start if isinstance(start, Column) else F.lit(start)
     for root in forest.roots:
         total = total + _tree_expression(forest, int(root), values)
     return total
@@ -150,19 +166,28 @@ def score_forest(
     base_margin: float = 0.0,
     logistic: bool = True,
     max_expression_nodes: int = EXPRESSION_NODES,
+    part_nodes: int = PART_NODES,
 ) -> DataFrame:
     """Add the ensemble's prediction to each row.
 
     ``values`` gives a feature's value where it is not the column of that name.
     A small forest becomes one generated expression; a larger one is sent to
-    the executors once and walked for whole Arrow batches.
+    the executors and walked for whole Arrow batches. A forest too large to be
+    sent at once is scored in parts, whose margins are added.
     """
-    forest = nodes if isinstance(nodes, Forest) else load_forest(nodes)
-    if values is None:
-        values = {c: column(c) for c in rows.columns if c in set(forest.features)}
-    if len(forest.leaf) <= max_expression_nodes:
-        margin = score_expression(forest, values, base_margin)
-        return rows.withColumn(name, probability(margin) if logistic else margin)
+    total = F.lit(base_margin)
+    for forest in [nodes] if isinstance(nodes, Forest) else forest_parts(nodes, part_nodes):
+        own = values
+        if own is None:
+            own = {c: column(c) for c in rows.columns if c in set(forest.features)}
+        if len(forest.leaf) <= max_expression_nodes:
+            total = score_expression(forest, own, total)
+        else:
+            total = total + _batch_margin(rows, forest, own)
+    return rows.withColumn(name, probability(total) if logistic else total)
+
+
+def _batch_margin(rows: DataFrame, forest: Forest, values: Mapping[str, Column]) -> Column:
     shared = rows.sparkSession.sparkContext.broadcast(forest)
     used = [values[f].cast("float").alias(f) for f in forest.features if f in values]
 
@@ -170,7 +195,7 @@ def score_forest(
     def predict(batches: Iterator[pd.DataFrame]) -> Iterator[pd.Series]:
         trees = shared.value
         for batch in batches:
-            yield pd.Series(margins(trees, feature_matrix(batch, trees), base_margin))
+            yield pd.Series(margins(trees, feature_matrix(batch, trees), 0.0))
 
-    margin = predict(F.struct(*used))
-    return rows.withColumn(name, probability(margin) if logistic else margin)
+    # Without any feature of the forest a row still has a margin.
+    return predict(F.struct(*(used or [F.lit(None).cast("float").alias("_none")])))

@@ -6,6 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
+from dockspan.operators.consensus import best_first
+from dockspan.operators.joins import join_same
 from dockspan.operators.ordering import WINDOW_ROWS, largest_group, ranked, running
 from dockspan.operators.sizing import attach
 
@@ -37,7 +39,7 @@ def _group_sizes(rows: DataFrame, group: Sequence[str], label: str) -> DataFrame
 
 def _ranked_hits(rows, group, score, label, ties, max_group_rows, largest):
     """Rank of every hit among all rows of its group, best score first."""
-    order = [F.col(score).desc(), *[F.col(t) for t in ties]]
+    order = [*best_first(score), *[F.col(t) for t in ties]]
     placed = ranked(
         rows.select(*group, score, label, *ties), group, order, "_rank", max_group_rows, largest
     )
@@ -70,7 +72,7 @@ def early_recognition(
         F.sum(F.exp(-alpha * F.col("_rank") / F.col("n_rows"))).alias("_weight"),
         *[F.count_if(F.col("_rank") <= k).alias(f"_{n}") for n, k in cut.items()],
     )
-    per_group = sizes.join(found, list(group), "left")
+    per_group = join_same(sizes, found, group, "left")
     n, hit = F.col("n_rows").cast("double"), F.col("n_hits").cast("double")
     factors = [
         F.when(F.col("n_hits") == 0, 0.0)
@@ -151,7 +153,7 @@ def screening_metrics(
         rows, group, score, label, ties, max_group_rows=max_group_rows, largest=largest
     )
     areas = ranking_areas(rows, group, score, label, max_group_rows, largest).drop("n_hits")
-    return early.join(areas, list(group))
+    return join_same(early, areas, group)
 
 
 def summarize(metrics: DataFrame, names: Sequence[str]) -> DataFrame:

@@ -13,6 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
 
 from dockspan.operators.durable import durable
+from dockspan.operators.joins import join_same
 
 # A window over this many narrow rows sorts within one task's memory.
 WINDOW_ROWS = 2_000_000
@@ -142,7 +143,10 @@ def running_by_position(
     name: str,
     block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
-    """Running sum of ``value`` where rows already carry a dense ``position``."""
+    """Running sum of ``value`` where rows already carry a dense ``position``.
+
+    Rows with a NULL group key form a group of their own, as in a window.
+    """
     blocks = df.withColumn("_block", F.floor(F.col(position) / block_rows)).withColumn(
         "_value", value
     )
@@ -156,6 +160,6 @@ def running_by_position(
     )
     to_here = window.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     here = blocks.withColumn("_here", F.sum("_value").over(to_here))
-    return here.join(starts, [*group, "_block"]).select(
+    return join_same(here, starts, [*group, "_block"]).select(
         *df.columns, (F.col("_here") + F.col("_before")).alias(name)
     )

@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from dockspan.functions import vectors as V
 from dockspan.functions.fixed_values import BACKBONE_NAMES
-from dockspan.operators.durable import durable
+from dockspan.operators.durable import durable, scratch_table
+from dockspan.operators.joins import join_same
 from dockspan.operators.ordering import (
     BLOCK_ROWS,
     WINDOW_ROWS,
@@ -121,11 +122,9 @@ def residue_classes(residues: DataFrame, pairs: DataFrame, keys: Sequence[str])
     # optimizer repeat the whole torsion expression.
     place = F.when(F.col("class").isNotNull(), F.col("run"))
     last = votes.groupBy(*keys, "chain", "resid").agg(F.max_by("class", place).alias("class"))
-    return (
-        residues.select(*keys, "chain", "resid")
-        .distinct()
-        .join(last, [*keys, "chain", "resid"], "left")
-        .withColumn("class", F.coalesce("class", F.lit("OTHER")))
+    every = residues.select(*keys, "chain", "resid").distinct()
+    return join_same(every, last, [*keys, "chain", "resid"], "left").withColumn(
+        "class", F.coalesce("class", F.lit("OTHER"))
     )
 
 
@@ -151,7 +150,7 @@ def _in_frames(carbons: DataFrame, keys: Sequence[str]) -> DataFrame:
     flagged = with_neighbours(carbons, keys, "position", 1, breaks)
     stretched = running_by_position(flagged, keys, "position", F.col("_new"), "stretch")
     lengths = stretched.groupBy(*keys, "stretch").agg(F.count(F.lit(1)).alias("stretch_length"))
-    return stretched.drop("_new").join(lengths, [*keys, "stretch"])
+    return join_same(stretched.drop("_new"), lengths, [*keys, "stretch"])
 
 
 def _too_short(window, kind: str) -> Column:
@@ -177,26 +176,28 @@ def _too_short(window, kind: str) -> Column:
     return (F.col("class") == kind) & (run <= limit) & (F.col("stretch_length") >= limit + 2)
 
 
-def prune_runs(
-    carbons: DataFrame, keys: Sequence[str], max_passes: int = 1000
-) -> DataFrame:
+def prune_runs(carbons: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Remove unsupported and too short helices and strands until none is left.
 
     ``carbons`` has one alpha carbon per row: ``keys``, dense ``position`` in
     load order, ``chain, resid, x, y, z`` and ``class``. A class without a
     supporting partner of the same class, or in a too short run, becomes OTHER.
     Removals only make more removals possible, so all rows are judged at once
-    in each pass and the result does not depend on the order.
+    in each pass and the result does not depend on the order. Every pass but the
+    last removes a class, so the passes end; groups that a pass leaves as they
+    are have their result and take no part in the next one.
     """
+    spark = carbons.sparkSession
     support = durable(_supports(carbons, keys))
     state = durable(_in_frames(carbons, keys))
     columns = state.columns
-    for _ in range(max_passes):
+    settled = scratch_table(spark, "settled")
+    while True:
         members = state.select(
             *keys, F.col("position").alias("other"), "class"
         ).filter("class <> 'OTHER'")
         held = (
-            support.join(members, [*keys, "other", "class"])
+            join_same(support, members, [*keys, "other", "class"])
             .select(*keys, "position", "class")
             .distinct()
             .withColumn("_held", F.lit(True))
@@ -211,17 +212,19 @@ def prune_runs(
         )
         # All carbons of one residue change together.
         residue = Window.partitionBy(*keys, "chain", "resid")
-        marked = judged.join(held, [*keys, "position", "class"], "left").withColumn(
+        marked = join_same(judged, held, [*keys, "position", "class"], "left").withColumn(
             "_gone", F.max(drop).over(residue)
         )
         state = durable(
             marked.withColumn("class", F.when(F.col("_gone"), "OTHER").otherwise(F.col("class")))
             .select(*columns, "_gone")
         )
-        changed = state.filter("_gone")
+        moving = durable(state.filter("_gone").select(*keys).distinct()) if keys else state.filter("_gone")
         state = state.select(*columns)
-        if changed.isEmpty():
+        if moving.isEmpty():
             break
-    else:
-        raise RuntimeError(f"classes still change after {max_passes} passes")
-    return state.drop("stretch", "stretch_length")
+        if keys:
+            join_same(state, moving, keys, "left_anti").write.mode("append").parquet(settled)
+            state = join_same(state, moving, keys, "left_semi")
+    state.write.mode("append").parquet(settled)
+    return spark.read.parquet(settled).drop("stretch", "stretch_length")

@@ -6,8 +6,10 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from dockspan.functions.columns import column
+from dockspan.functions.columns import column, present
 
+# A row with more feature columns than this could not be planned either.
+MAX_FEATURES = 100_000
 KINDS = ("standard", "minmax", "maxabs")
 
 
@@ -20,7 +22,7 @@ def fit_scaler(rows: DataFrame, columns: Sequence[str], kind: str = "maxabs") ->
         raise ValueError(f"choose the kind from {KINDS}")
     fits = []
     for position, name in enumerate(columns):
-        value = F.nullif(column(name).cast("double"), F.lit(float("nan")))
+        value = present(column(name).cast("double"))
         if kind == "standard":
             offset, scale = F.avg(value), F.stddev_pop(value)
         elif kind == "minmax":
@@ -39,13 +41,16 @@ def fit_scaler(rows: DataFrame, columns: Sequence[str], kind: str = "maxabs") ->
     return fitted.select(F.explode("fits").alias("fit")).select("fit.*")
 
 
-def read_params(params: DataFrame) -> dict[str, tuple[float, float]]:
+def read_params(params: DataFrame, max_features: int = MAX_FEATURES) -> dict[str, tuple[float, float]]:
     """Scaler parameters by feature in order; one small row per model feature."""
-    found = params.orderBy("ord").select("feature", "offset", "scale").collect()
+    found = params.orderBy("ord").select("feature", "offset", "scale").limit(max_features + 1).collect()
+    if len(found) > max_features:
+        raise ValueError(f"more than {max_features} rows are no scaler of one feature row")
     return {r.feature: (r.offset, r.scale) for r in found}
 
 
 def scaled(value: Column, offset: float, scale: float, fill: str) -> Column:
+    value = present(value)
     if fill == "before":
         value = F.coalesce(value, F.lit(0.0))
     moved = (value - F.lit(offset)) / F.lit(scale)

@@ -4,15 +4,40 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
-# About 100 MB of small rows; past this a broadcast competes with task memory.
+from dockspan.operators.joins import join_same
+
+# Past either of these a broadcast competes with task memory.
 BROADCAST_ROWS = 1_000_000
+BROADCAST_BYTES = 128 << 20
+# Bytes of an array's or map's element, and of a fixed value with its share of the row.
+ELEMENT, FIXED = 32, 8
+
+
+def fits_broadcast(
+    df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES
+) -> bool:
+    """True when ``df`` has at most ``max_rows`` rows and about ``max_bytes`` bytes.
+
+    Strings and collections are measured; only they are read for it.
+    """
+    size = F.lit(FIXED * (len(df.columns) + 1))
+    for field in df.schema.fields:
+        value = F.col("`" + field.name.replace("`", "``") + "`")
+        if isinstance(field.dataType, (T.StringType, T.BinaryType)):
+            size = size + F.coalesce(F.octet_length(value), F.lit(0))
+        elif isinstance(field.dataType, (T.ArrayType, T.MapType)):
+            size = size + F.greatest(F.coalesce(F.size(value), F.lit(0)), F.lit(0)) * ELEMENT
+        elif isinstance(field.dataType, T.StructType):
+            size = size + ELEMENT * len(field.dataType.fields)
+    found = df.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(size), F.lit(0)).alias("bytes")).first()
+    return found["n"] <= max_rows and found["bytes"] <= max_bytes
 
 
-def fits_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
-    """True when ``df`` has at most ``max_rows`` rows; the count reads no columns."""
-    return df.count() <= max_rows
+def small(df: DataFrame) -> DataFrame:
+    """``df`` with a broadcast hint if it is measured and found small, else as it is."""
+    return F.broadcast(df) if fits_broadcast(df) else df
 
 
 def attach(
@@ -22,7 +47,7 @@ def attach(
     how: str = "inner",
     max_rows: int = BROADCAST_ROWS,
 ) -> DataFrame:
-    """Join one lookup row per key onto many rows.
+    """Join one lookup row per key onto many rows; a NULL key equals a NULL key.
 
     A lookup that is counted and found small is broadcast, so ``rows`` stays
     where it is however skewed its keys are. A larger one is shuffled, where
@@ -30,7 +55,7 @@ def attach(
     """
     if fits_broadcast(lookup, max_rows):
         lookup = F.broadcast(lookup)
-    return rows.join(lookup, list(keys), how)
+    return join_same(rows, lookup, keys, how)
 
 
 def spread(scan: DataFrame) -> DataFrame:

@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame, functions as F
 from dockspan.functions import vectors as V
 from dockspan.operators.sizing import BROADCAST_ROWS, fits_broadcast
 
-MOVES = list(product((-1, 0, 1), repeat=3))
 # Cells are two radii wide, so what is near a point lies in two cells per axis.
+MOVES = list(product((0, 1), repeat=3))
 # The margin covers rounding of coordinates up to a million radii.
 MARGIN = 1 + 1e-6
 # A cell number is a weighted sum of the steps along the axes, so a neighbour's
@@ -45,9 +45,10 @@ def distance_join(
     its surroundings touch, so that the join is an equi-join on ``(keys, cell)``
     followed by the exact test. Pass the smaller side right. While it fits a
     broadcast the left side looks around and is not shuffled at all. Otherwise
-    the right side is copied to the cells it touches, both are shuffled, and cells with many candidate pairs are cut into parts: each left
-    row goes to one part, each right row to all of them. Columns other than
-    ``keys`` must differ between the two sides.
+    the right side is copied to the cells it touches, both are shuffled, and cells
+    with many candidate pairs are cut on both sides, so that each left part meets
+    each right part in one task. Columns other than ``keys`` must differ between
+    the two sides.
     """
     on = [*keys, "_cell"]
     if fits_broadcast(right, max_broadcast_rows):
@@ -97,19 +98,33 @@ def _cut_crowded_cells(left, right, on, max_cell_pairs):
     load = left.groupBy(*on).agg(F.count(F.lit(1)).alias("_l")).join(
         right.groupBy(*on).agg(F.count(F.lit(1)).alias("_r")), on
     )
+    # Parts of this many rows on both sides give max_cell_pairs; a side shorter than that stays
+    # whole and the other one is cut the finer.
+    side = float(max_cell_pairs) ** 0.5
+    few, many = F.least("_l", "_r"), F.greatest("_l", "_r")
+    few_parts = F.ceil(few / side)
+    many_parts = F.ceil(many * F.ceil(few / few_parts) / max_cell_pairs)
+    left_few = F.col("_l") <= F.col("_r")
     # At most (all candidate pairs / max_cell_pairs) rows.
     crowded = load.filter(F.col("_l") * F.col("_r") > max_cell_pairs).select(
-        *on, F.ceil(F.col("_l") * F.col("_r") / max_cell_pairs).cast("int").alias("_parts")
+        *on,
+        F.when(left_few, few_parts).otherwise(many_parts).cast("int").alias("_lparts"),
+        F.when(left_few, many_parts).otherwise(few_parts).cast("int").alias("_rparts"),
     )
     if fits_broadcast(crowded):
         crowded = F.broadcast(crowded)
-    parts = F.coalesce("_parts", F.lit(1))
-    part_of_row = F.pmod(F.xxhash64(*[F.col(c) for c in left.columns]), parts).cast("int")
-    spread = left.join(crowded, on, "left").select(*left.columns, part_of_row.alias("_part"))
-    repeated = right.join(crowded, on, "left").select(
-        *right.columns, F.explode(F.sequence(F.lit(0), parts - 1)).alias("_part")
+
+    def dealt(df: DataFrame, own: str, own_parts: str, other: str, other_parts: str) -> DataFrame:
+        parts = F.coalesce(own_parts, F.lit(1))
+        place = F.pmod(F.xxhash64(*[F.col(c) for c in df.columns]), parts).cast("int")
+        copies = F.explode(F.sequence(F.lit(0), F.coalesce(other_parts, F.lit(1)) - 1))
+        return df.join(crowded, on, "left").select(*df.columns, place.alias(own), copies.alias(other))
+
+    return (
+        dealt(left, "_lpart", "_lparts", "_rpart", "_rparts"),
+        dealt(right, "_rpart", "_rparts", "_lpart", "_lparts"),
+        [*on, "_lpart", "_rpart"],
     )
-    return spread, repeated, [*on, "_part"]
 
 
 def bounding_box(atoms: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -125,29 +140,35 @@ def inside_box(
 ) -> DataFrame:
     """Pairs of an atom and a box of equal ``keys`` that strictly contains it.
 
-    The widened boxes are cut into grid cells and joined with atoms cell by
-    cell; an atom lies in one cell, so each pair appears once. Box columns
-    other than the limits are added to the atom's columns.
+    A widened box is put on a grid as wide as itself, rounded up to a power of
+    two cells, and so covers at most eight places of it; an atom lies in one
+    place of every grid in use. Box columns other than the limits are added to
+    the atom's columns.
     """
     axes = ("x", "y", "z")
     cells = ["_cx", "_cy", "_cz"]
     extra = [c for c in boxes.columns if c not in keys and c[:4] not in ("min_", "max_")]
-    covered = boxes
+    widest = F.greatest(*[F.col(f"max_{a}") - F.col(f"min_{a}") for a in axes]) + 2 * margin
+    level = F.greatest(F.ceil(F.log2(widest / cell)), F.lit(0)).cast("int")
+    covered = boxes.filter(widest > 0).withColumn("_level", level)
+    # There are no more levels than powers of two between the cell and the largest number.
+    levels = [r["_level"] for r in covered.select("_level").distinct().collect()]
+    width = F.pow(F.lit(2.0), F.col("_level")) * cell
     for axis, name in zip(axes, cells):
-        first = F.floor((F.col(f"min_{axis}") - margin) / cell)
-        last = F.floor((F.col(f"max_{axis}") + margin) / cell)
+        first = F.floor((F.col(f"min_{axis}") - margin) / width)
+        last = F.floor((F.col(f"max_{axis}") + margin) / width)
         covered = covered.withColumn(name, F.explode(F.sequence(first, last)))
-    if fits_broadcast(boxes, BROADCAST_ROWS // 100):
+    if fits_broadcast(covered, BROADCAST_ROWS // 10):
         covered = F.broadcast(covered)
-    gridded = atoms.select(
-        "*", *[F.floor(F.col(a) / cell).alias(n) for a, n in zip(axes, cells)]
-    )
+    used = F.array(*[F.lit(n) for n in sorted(levels)]).cast("array<int>")
+    gridded = atoms.withColumn("_level", F.explode(used))
+    gridded = gridded.select("*", *[F.floor(F.col(a) / width).alias(n) for a, n in zip(axes, cells)])
     tests = [
         (F.col(a) > F.col(f"min_{a}") - margin) & (F.col(a) < F.col(f"max_{a}") + margin)
         for a in axes
     ]
     return (
-        gridded.join(covered, [*keys, *cells])
+        gridded.join(covered, [*keys, "_level", *cells])
         .filter(tests[0] & tests[1] & tests[2])
         .select(*atoms.columns, *extra)
     )

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from dockspan.functions.fixed_values import LOWER_CASE_LISTS, TARGET_LISTS
+from dockspan.operators.sizing import small
 
 
 def target_list(name: str) -> list[str]:
@@ -20,9 +21,20 @@ def keep_listed_targets(rows: DataFrame, name: str, target: str = "target") -> D
     return rows.filter(F.col(target).isin(target_list(name)))
 
 
-def filter_compound(rows: DataFrame, compound: str, id_column: str = "compound_id") -> DataFrame:
-    """Rows of one compound; an unknown compound is an error."""
-    found = rows.filter(F.col(id_column) == compound)
+def filter_compound(rows: DataFrame, compound: str | Column, id_column: str = "compound_id") -> DataFrame:
+    """Rows of one compound; none if it is unknown. ``require_compound`` tells so."""
+    return rows.filter(F.col(id_column) == compound)
+
+
+def require_compound(
+    found: DataFrame, compound: str, features: int | None = None, keys: int = 1
+) -> DataFrame:
+    """``found`` itself; an error if it is empty or has another number of feature columns.
+
+    ``features`` is the number a model expects beside ``keys`` key columns.
+    """
+    if features is not None and len(found.columns) - keys != features:
+        raise ValueError(f"{len(found.columns) - keys} features for a model of {features}")
     if found.isEmpty():
         raise ValueError(f"compound {compound!r} not found")
     return found
@@ -56,7 +68,7 @@ def override_ids(
     ``overrides`` is a hand-kept list of corrections; ids without one stay.
     """
     target, ident = keys
-    return predictions.join(F.broadcast(overrides), list(keys), "left").select(
+    return predictions.join(small(overrides), list(keys), "left").select(
         *[
             F.coalesce("new_id", ident).alias(ident) if c == ident else F.col(c)
             for c in predictions.columns

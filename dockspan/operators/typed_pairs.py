@@ -6,8 +6,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from dockspan.functions.fixed_values import LIGAND_TYPE_KEYS, PROTEIN_TYPE_KEYS
+from dockspan.functions.fixed_values import COUNTED_LIGAND_TYPES, LIGAND_TYPE_KEYS, PROTEIN_TYPE_KEYS
 from dockspan.operators.contacts import TYPED_PAIR_REACH
+from dockspan.operators.sizing import small
 from dockspan.operators.spatial import distance_join, prefixed
 
 
@@ -40,7 +41,7 @@ def with_receptor_types(
     """All receptor atoms, with a type key where they have one."""
     pdb_atom = F.when(is_heavy_name(F.col(name)), F.concat_ws("-", F.col(resname), F.col(name)))
     named = receptors.withColumn("pdb_atom", pdb_atom)
-    return named.join(F.broadcast(atom_keys), "pdb_atom", "left").drop("pdb_atom")
+    return named.join(small(atom_keys), "pdb_atom", "left").drop("pdb_atom")
 
 
 def typed_pairs(
@@ -49,9 +50,12 @@ def typed_pairs(
     keys: Sequence[str] = ("target",),
     radius: float = TYPED_PAIR_REACH,
     protein_types: Sequence[str] = PROTEIN_TYPE_KEYS,
-    ligand_types: Sequence[str] = LIGAND_TYPE_KEYS,
+    ligand_types: Sequence[str] = COUNTED_LIGAND_TYPES,
 ) -> DataFrame:
-    """Atom pairs of known types at most ``radius`` apart."""
+    """Atom pairs of known types at most ``radius`` apart.
+
+    Ligand types outside the counted pairs are left out; pass LIGAND_TYPE_KEYS to count all.
+    """
     known_ligands = ligands.filter(F.col("type_key").isin(list(ligand_types)))
     known_receptors = receptors.filter(F.col("type_key").isin(list(protein_types)))
     return distance_join(

@@ -7,7 +7,12 @@ from pyspark.sql import functions as F
 from dockspan.functions import vectors as V
 from dockspan.functions.atoms import element_of_name
 from dockspan.functions.columns import column
-from dockspan.functions.fixed_values import ATOM_KEYS, LIGAND_TYPE_KEYS, PROTEIN_TYPE_KEYS
+from dockspan.functions.fixed_values import (
+    ATOM_KEYS,
+    COUNTED_LIGAND_TYPES,
+    LIGAND_TYPE_KEYS,
+    PROTEIN_TYPE_KEYS,
+)
 from dockspan.functions.literals import literal_table
 from dockspan.operators import contacts, features, spatial, typed_pairs as typed
 from dockspan.operators.durable import durable
@@ -176,7 +181,7 @@ typed AS (SELECT p.target, p.pose,
     replace(concat_ws('-', k.type_key, p.ligand_type), ';', '') AS feature
   FROM pairs p JOIN atom_keys k ON k.pdb_atom = concat_ws('-', p.resname, p.r_name)
   WHERE p.r_name <> 'HA'
-    AND p.ligand_type IN ({", ".join(f"'{t}'" for t in LIGAND_TYPE_KEYS)}))
+    AND p.ligand_type IN ({", ".join(f"'{t}'" for t in COUNTED_LIGAND_TYPES)}))
 """
 
 
@@ -281,7 +286,7 @@ def pose_features(spark, sf_dir):
     """The listed interaction features of every pose, one row each."""
     ligands, receptors = sides(spark, sf_dir)
     keys = literal_table(spark, ATOM_KEYS, "pdb_atom string, type_key string")
-    known = F.col("ligand_type").isin(LIGAND_TYPE_KEYS)
+    known = F.col("ligand_type").isin(COUNTED_LIGAND_TYPES)
     long = extraction.interaction_features(
         ligands.withColumn("type_key", F.when(known, F.col("ligand_type"))),
         typed.with_receptor_types(receptors, keys),

@@ -9,6 +9,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 from dockspan.functions.ids import base_compound
+from dockspan.operators.consensus import best_first
 
 
 def read_stream(
@@ -56,7 +57,7 @@ def running_best(
     The state is one row per compound.
     """
     base = base_compound(F.col(compound_id)) if compound is None else compound
-    order = F.struct((-F.col(score)).alias("_down"), *[F.col(c) for c in first])
+    order = F.struct(*best_first(score), *[F.col(c) for c in first])
     kept = F.struct(F.col(compound_id), F.col(score))
     return (
         scores.groupBy(*group, base.alias("base_compound"))
