@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from dockspan.functions import vectors as V
 from dockspan.functions.fixed_values import BACKBONE_NAMES, COULOMB_FACTOR
+from dockspan.operators.joins import join_same
 from dockspan.operators.spatial import distance_join, prefixed
 
 # Distances that bound contacts and hydrogen bonds, and the
@@ -99,7 +100,6 @@ def hydrogen_bonds(
     radius: float = CLOSE,
     reach: float = HYDROGEN_REACH,
     max_bend: float = HYDROGEN_ANGLE,
-    pairs: DataFrame | None = None,
 ) -> DataFrame:
     """Every (ligand atom, hydrogen, receptor atom) that forms a hydrogen bond.
 
@@ -108,39 +108,43 @@ def hydrogen_bonds(
     ``donor`` tells which side the hydrogen belongs to.
     """
     polar = F.col("element").isin("N", "O")
-    if pairs is None:
-        pairs = contact_pairs(ligands.filter(polar), receptors.filter(polar), keys, radius)
-    polar_pairs = pairs.filter(polar & F.col("r_element").isin("N", "O"))
-    core = polar_pairs.select(
-        *pose,
-        F.col(atom_id).alias("ligand_atom"),
-        "x",
-        "y",
-        "z",
-        F.col(f"r_{atom_id}").alias("receptor_atom"),
-        "r_x",
-        "r_y",
-        "r_z",
-        "r_name",
-        "r_structure",
-    )
 
-    def with_hydrogen(atoms: DataFrame, own: Sequence[str], side: str, anchor: str) -> DataFrame:
-        # Hydrogens next to the few atoms of that side that are in a pair.
+    def with_hydrogens(atoms: DataFrame, own: Sequence[str]) -> DataFrame:
+        # An atom has few hydrogens near it; they travel as an array through the one large join.
         hydrogens = atoms.filter(F.col("element") == "H").select(
             *own, F.col(atom_id).alias("h_atom"), *[F.col(a).alias(f"h_{a}") for a in "xyz"]
         )
-        heavy = atoms.filter(polar).select(
-            *own, F.col(atom_id).alias(anchor), *[F.col(a).alias(f"a_{a}") for a in "xyz"]
-        )
+        heavy = atoms.filter(polar).select(*own, atom_id, *[F.col(a).alias(f"a_{a}") for a in "xyz"])
         near = distance_join(
             heavy, hydrogens, reach, own, name="h_dist", left_prefix="a_", right_prefix="h_"
-        ).select(*own, anchor, "h_atom", "h_x", "h_y", "h_z")
-        return core.join(near, [*own, anchor]).withColumn("donor", F.lit(side))
+        )
+        found = near.groupBy(*own, atom_id).agg(
+            F.collect_list(F.struct("h_atom", "h_x", "h_y", "h_z")).alias("hydrogens")
+        )
+        return join_same(atoms.filter(polar), found, [*own, atom_id], "left")
 
-    both = with_hydrogen(ligands, pose, "LIGAND", "ligand_atom").unionByName(
-        with_hydrogen(receptors, keys, "RECEPTOR", "receptor_atom")
+    columns = ["x", "y", "z", "name", "structure", "hydrogens"]
+    ligand_atoms = with_hydrogens(ligands, pose).select(
+        *pose, F.col(atom_id).alias("ligand_atom"), *columns[:3], "hydrogens"
     )
+    receptor_atoms = with_hydrogens(receptors, keys).select(
+        *keys, F.col(atom_id).alias("receptor_atom"), *columns
+    )
+    pairs = contact_pairs(ligand_atoms, receptor_atoms, keys, radius)
+
+    def donated(hydrogens: str, side: str) -> Column:
+        return F.transform(hydrogens, lambda h: F.struct(F.lit(side).alias("donor"), h.alias("h")))
+
+    sides = F.array(donated("hydrogens", "LIGAND"), donated("r_hydrogens", "RECEPTOR"))
+    given = F.flatten(F.array_compact(sides))
+    both = pairs.select(
+        *pose,
+        "ligand_atom",
+        *["x", "y", "z"],
+        F.col("r_receptor_atom").alias("receptor_atom"),
+        *["r_x", "r_y", "r_z", "r_name", "r_structure"],
+        F.inline(given),
+    ).select("*", "h.*")
     bend = V.degrees(V.angle_at(V.vec(), V.vec("h_"), V.vec("r_")))
     return both.filter(F.abs(180 - bend) <= max_bend).select(
         *pose,

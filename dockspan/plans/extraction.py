@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from dockspan.operators import contacts
 from dockspan.operators.contacts import TYPED_PAIR_REACH
+from dockspan.operators.features import to_wide
 from dockspan.operators.spatial import distance_join, prefixed
 from dockspan.operators.typed_pairs import pair_name
 
@@ -94,6 +96,36 @@ def bond_features(bonds: DataFrame, pose: Sequence[str]) -> DataFrame:
     )
 
 
+def value_features(values: DataFrame, pose: Sequence[str], names: Mapping[str, str]) -> DataFrame:
+    """Columns of a table with one row per pose as long features under other names."""
+    entries = [
+        F.struct(F.lit(name).alias("feature"), F.col(c).cast("double").alias("value"))
+        for c, name in names.items()
+    ]
+    return values.select(*pose, F.inline(F.array(*entries)))
+
+
+def union_features(families: Sequence[DataFrame]) -> DataFrame:
+    """All families of long features as one table."""
+    return reduce(DataFrame.unionByName, families)
+
+
+def feature_row(
+    ligands: DataFrame, long: DataFrame, pose: Sequence[str], listed: Sequence[str]
+) -> DataFrame:
+    """The listed features of every pose in ``ligands``, 0 where a pose has none.
+
+    ``long`` is the union of the families: :func:`interaction_features`,
+    :func:`bond_features`, :func:`group_features` and :func:`value_features`
+    for torsions and flexibility. ``listed`` usually is a feature list read with
+    ``read_feature_lists``.
+    """
+    every = ligands.select(*pose).distinct().select(
+        *pose, F.lit(None).cast("string").alias("feature"), F.lit(None).cast("double").alias("value")
+    )
+    return to_wide(every.unionByName(long), pose, listed)
+
+
 # Feature names by kind of ring or charge contact.
 KIND_NAMES = {
     "STACKING": ("piStack", ""),

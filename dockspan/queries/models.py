@@ -384,3 +384,59 @@ def screen_structures(spark, sf_dir):
     scores = two_model_scores(wide, ["target", "pose"], FEATURE_SCALERS, forests)
     near = scores.withColumn("score", F.round("score", 9))
     return rounded(consensus.rank_by_score(near, ties=["pose"]), ["ps", "pb", "score"])
+
+
+# A generated model: complete trees whose splits and leaves follow from their numbers.
+LARGE_TREES, LARGE_DEPTH = 200, 6
+LARGE_FEATURES = {"f_quantity": 50.0, "f_price": 100000.0, "f_discount": 0.1, "f_tax": 0.08}
+
+
+def large_forest(spark):
+    """Node table of the generated model, made by Spark."""
+    inner = 2**LARGE_DEPTH - 1
+    names = F.array(*[F.lit(f) for f in LARGE_FEATURES])
+    tree, node = F.col("tree"), F.col("node")
+    split = node < inner
+    return (
+        spark.range(LARGE_TREES * (2 * inner + 1))
+        .select(
+            (F.col("id") / (2 * inner + 1)).cast("int").alias("tree"),
+            (F.col("id") % (2 * inner + 1)).cast("int").alias("node"),
+        )
+        .select(
+            tree,
+            node,
+            F.when(split, F.get(names, (tree + node) % 4)).alias("feature"),
+            F.when(split, (tree * 31 + node * 17) % 97 / 97.0).alias("threshold"),
+            F.when(split, node * 2 + 1).alias("yes"),
+            F.when(split, node * 2 + 2).alias("no"),
+            F.when(split, node * 2 + 1 + (tree + node) % 2).alias("missing"),
+            F.when(~split, ((tree * 13 + node * 7) % 41 - 20) / 400.0).alias("leaf"),
+            F.lit(1.0).alias("cover"),
+        )
+    )
+
+
+_LARGE_STEP = """, s{b} AS (SELECT * EXCLUDE (node, x), CASE
+    WHEN x IS NULL THEN node * 2 + 1 + (tree + node) % 2
+    WHEN CAST(x AS FLOAT) < CAST(((tree * 31 + node * 17) % 97) / 97.0::DOUBLE AS FLOAT) THEN node * 2 + 1
+    ELSE node * 2 + 2 END AS node
+  FROM (SELECT *, v[(tree + node) % 4 + 1] AS x FROM s{a}))"""
+
+
+@query(
+    "forest_score_large",
+    FEATURES_SQL
+    + ", given AS (SELECT {}, [{}] AS v FROM features)".format(
+        KEY_SQL, ", ".join(f"{c} / {m}::DOUBLE" for c, m in LARGE_FEATURES.items())
+    )
+    + f", s0 AS (SELECT given.*, t.tree, 0 AS node FROM given, range({LARGE_TREES}) AS t(tree))"
+    + "".join(_LARGE_STEP.format(a=i, b=i + 1) for i in range(LARGE_DEPTH))
+    + f""" SELECT {KEY_SQL},
+      round(1 / (1 + exp(-sum(((tree * 13 + node * 7) % 41 - 20) / 400.0::DOUBLE))), 6) AS prediction
+    FROM s{LARGE_DEPTH} GROUP BY {KEY_SQL}""",
+)
+def forest_score_large(spark, sf_dir):
+    values = {c: F.col(c) / F.lit(m) for c, m in LARGE_FEATURES.items()}
+    scored = score_forest(features(spark, sf_dir), large_forest(spark), values=values, part_nodes=10_000)
+    return rounded(scored.select(*FEATURE_KEY, "prediction"))

@@ -17,7 +17,7 @@ from dockspan.functions.literals import literal_table
 from dockspan.operators import contacts, features, spatial, typed_pairs as typed
 from dockspan.operators.durable import durable
 from dockspan.plans import extraction
-from dockspan.queries.registry import query, rounded
+from dockspan.queries.registry import ORACLES, query, rounded
 from dockspan.queries.views import ATOMS, atoms
 
 POSE = ["target", "pose"]
@@ -175,6 +175,17 @@ def hbond_join(spark, sf_dir):
     return contacts.hydrogen_bond_counts(bonds, POSE)
 
 
+@query(
+    "bond_features",
+    f"""SELECT target, pose, concat_ws(' ', 'HB', structure, chain_side, donor) AS feature,
+      CAST(bonds AS DOUBLE) AS value FROM ({ORACLES['hbond_join']})""",
+)
+def bond_features(spark, sf_dir):
+    ligands, receptors = sides(spark, sf_dir, stored=True)
+    bonds = contacts.hydrogen_bonds(ligands, receptors, POSE, **HB)
+    return extraction.bond_features(bonds, POSE)
+
+
 KEYS_SQL = ", ".join(f"('{a}', '{k}')" for a, k in ATOM_KEYS)
 TYPED = f""", atom_keys(pdb_atom, type_key) AS (VALUES {KEYS_SQL}),
 typed AS (SELECT p.target, p.pose,

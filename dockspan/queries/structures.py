@@ -22,7 +22,7 @@ def lines_sql(format_function: str) -> str:
     """Structure lines of the atoms, with marks and ends among them."""
     formats = {k: f"{format_function}({ATOM_LINE.format(kind=k)}, {FIELDS})" for k in ("ATOM  ", "HETATM")}
     return f"""SELECT target AS file, atom_id AS line_no, CASE
-        WHEN atom_id % 499 = 7 THEN 'END'
+        WHEN atom_id % 9973 = 9007 THEN 'END'
         WHEN atom_id % 17 = 0 THEN 'REMARK   1  A    between atoms: C_1  and  N_2'
         WHEN atom_id % 17 = 1 THEN 'REMARK   2  I    between atoms: C_2  and  N_3'
         WHEN atom_id % 17 = 2 THEN 'ENDROOT'
@@ -131,8 +131,9 @@ def split_documents(spark, sf_dir):
             F.concat(F.lit("MODEL "), F.col("turn"), F.lit("\n"), "text", F.lit("\nENDMDL")), "\n"
         ).alias("lines"),
     )
-    lined = turns.select("file", "turn", F.posexplode("lines").alias("at", "line")).select(
-        "file", (F.col("turn") * 1000000 + F.col("at")).alias("line_no"), "line"
+    lines_of_turns = turns.select("file", "turn", F.posexplode("lines").alias("at", "line"))
+    lined = ranked(lines_of_turns, ["file"], [F.col("turn"), F.col("at")], "line_no").select(
+        "file", "line_no", "line"
     )
     poses = structures.split_poses(lined)
     return poses.groupBy("file", "pose").agg(
@@ -318,6 +319,8 @@ def _prune_pass(before: str, after: str) -> str:
       ELSE class END AS class) FROM {after}_marks m)"""
 
 
+# The check unrolls this many passes; a pass that changes nothing ends the operator, and the
+# check's last pass is told apart by a row of its own if it still changed something.
 PASSES = 30
 
 
@@ -337,7 +340,9 @@ PASSES = 30
         ON (k.class = 'ALPHA' AND abs(a.resid - b.resid) = 3)
         OR (k.class = 'BETA' AND a.chain = b.chain))"""
     + "".join(_prune_pass(f"p{i}", f"p{i + 1}") for i in range(PASSES))
-    + f" SELECT grp, position, resid, chain, class FROM p{PASSES}",
+    + f""" SELECT grp, position, resid, chain, class FROM p{PASSES}
+    UNION ALL SELECT a.grp, a.position, a.resid, a.chain, 'UNFINISHED' FROM p{PASSES} a
+      JOIN p{PASSES - 1} b ON a.grp = b.grp AND a.position = b.position AND a.class <> b.class""",
 )
 def prune_runs(spark, sf_dir):
     carbons = spark.sql(CARBONS.replace("FROM placed", "FROM {rows}"), rows=placed(spark, sf_dir))
