@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import functions as F
 
 from dockspan.functions.literals import literal_table
 from dockspan.operators import attribution, consensus, features as feature_ops, scaling
 from dockspan.operators.forest import Forest, load_forest, NODE_SCHEMA, score_forest
+from dockspan.operators.durable import scratch_table
 from dockspan.plans.rescoring import rescore, two_model_scores
 from dockspan.queries.registry import ORACLES, query, rounded
 from dockspan.queries.spatial import pose_features
 from dockspan.queries.views import FEATURE_KEY, FEATURES, features
+from dockspan.sources.features import read_feature_csv, read_feature_lists, write_feature_csv
 
 COLUMNS = ["f_quantity", "f_price", "f_discount", "f_tax"]
 ALIGNED = ["f_tax", "f_missing", "f_quantity", "f_price", "f_discount"]
@@ -85,9 +89,6 @@ def score_sql(model: list[tuple], value) -> str:
     + f"""SELECT {KEY_SQL}, f_quantity, f_price, f_discount, f_tax FROM features""",
 )
 def read_features(spark, sf_dir):
-    from dockspan.operators.durable import scratch_table
-    from dockspan.sources.features import read_feature_csv, write_feature_csv
-
     path = scratch_table(spark, "features")
     rows = features(spark, sf_dir)
     write_feature_csv(rows, path)
@@ -106,6 +107,14 @@ def fill_align(spark, sf_dir):
     return feature_ops.align(rows, ALIGNED, FEATURE_KEY)
 
 
+def read_lists(spark, lists: dict[str, list[str]]) -> dict[str, list[str]]:
+    """Feature lists as a file of lists gives them."""
+    path = scratch_table(spark, "lists")
+    spark.createDataFrame([(json.dumps(lists),)], "value string").write.text(path)
+    found = read_feature_lists(spark, path).orderBy("list_name", "ord").collect()
+    return {name: [r.feature for r in found if r.list_name == name] for name in lists}
+
+
 @query(
     "prune_features",
     FEATURES_SQL
@@ -116,9 +125,8 @@ def fill_align(spark, sf_dir):
     FROM long WHERE feature IN ('f_tax', 'f_price') GROUP BY feature""",
 )
 def prune_features(spark, sf_dir):
-    rows, _ = feature_ops.prune(
-        features(spark, sf_dir), ["f_tax", "f_absent", "f_price"], FEATURE_KEY
-    )
+    listed = read_lists(spark, {"wanted": ["f_tax", "f_absent", "f_price"], "other": ["f_discount"]})
+    rows, _ = feature_ops.prune(features(spark, sf_dir), listed["wanted"], FEATURE_KEY)
     kept = [c for c in rows.columns if c not in FEATURE_KEY]
     long = feature_ops.to_long(rows, FEATURE_KEY, kept)
     # Decimal sums do not depend on the order of the rows.

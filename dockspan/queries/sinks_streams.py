@@ -41,8 +41,11 @@ def run_metadata(spark, sf_dir):
 
 
 def streamed_scores(spark, sf_dir):
-    schema = table(spark, sf_dir, "lineitem").schema
-    rows = ingest.read_stream(spark, sf_dir, schema, pattern="lineitem.parquet")
+    # The table as several files, one for each micro-batch.
+    source = table(spark, sf_dir, "lineitem")
+    path = scratch_table(spark, "incoming")
+    source.repartition(3).write.parquet(path)
+    rows = ingest.read_stream(spark, path, source.schema, pattern="*.parquet", max_files=1)
     poses = bound_view(spark, POSE_SCORES, lineitem=rows)
     return consensus.with_consensus(poses)
 

@@ -15,10 +15,11 @@ from dockspan.functions.fixed_values import (
 )
 from dockspan.functions.literals import literal_table
 from dockspan.operators import contacts, features, spatial, typed_pairs as typed
-from dockspan.operators.durable import durable
+from dockspan.operators.durable import durable, scratch_table
 from dockspan.plans import extraction
 from dockspan.queries.registry import ORACLES, query, rounded
 from dockspan.queries.views import ATOMS, atoms
+from dockspan.sources.features import read_atom_keys
 
 POSE = ["target", "pose"]
 ATOMS_SQL = f"WITH atoms AS ({ATOMS})"
@@ -198,7 +199,11 @@ typed AS (SELECT p.target, p.pose,
 
 def typed_rows(spark, sf_dir):
     ligands, receptors = sides(spark, sf_dir)
-    keys = literal_table(spark, ATOM_KEYS, "pdb_atom string, type_key string")
+    path = scratch_table(spark, "atom-keys")
+    literal_table(spark, ATOM_KEYS, "pdb_atom string, type_key string").coalesce(1).write.option(
+        "header", True
+    ).csv(path)
+    keys = read_atom_keys(spark, path)
     typed_receptors = typed.receptor_types(receptors, keys).select(
         "target", "atom_id", "x", "y", "z", "type_key"
     )

@@ -38,7 +38,9 @@ def list_files(spark: SparkSession, root: str, pattern: str = PATTERN) -> DataFr
 
 
 def discover_targets(paths: DataFrame, path: str = "path") -> DataFrame:
-    """Targets with a protein file and the ligand files in the folder of that name.
+    """Targets with their protein file and the ligand files in the folder of that name.
+
+    Of several protein files of a target the first by path counts.
 
     A protein file is ``…/<target>_<anything>`` directly below a folder named
     ``protein``; a ligand file is ``…/molecule/<target>/<file>``.
@@ -47,8 +49,10 @@ def discover_targets(paths: DataFrame, path: str = "path") -> DataFrame:
     folder = F.try_element_at(parts, F.lit(-2))
     above = F.try_element_at(parts, F.lit(-3))
     name = F.try_element_at(parts, F.lit(-1))
-    proteins = paths.filter(folder == "protein").select(
-        F.substring_index(name, "_", 1).alias("target"), F.col(path).alias("protein_path")
+    proteins = (
+        paths.filter(folder == "protein")
+        .groupBy(F.substring_index(name, "_", 1).alias("target"))
+        .agg(F.min(path).alias("protein_path"))
     )
     ligands = paths.filter(above == "molecule").select(
         folder.alias("target"), F.col(path).alias("ligand_path")
