@@ -179,6 +179,19 @@ def prune(rule: list[Condition], rows: dict[str, np.ndarray], bad: np.ndarray) -
     return rule[: max(range(1, len(rule) + 1), key=lambda n: (worth(n), -n))] if rule else rule
 
 
+def widen(rule: list[Condition], rows: dict[str, np.ndarray], bad: np.ndarray) -> list[Condition]:
+    """Thresholds moved halfway to the nearest good row that the rest of the rule leaves in reach."""
+    out = list(rule)
+    for i, condition in enumerate(rule):
+        values = rows[condition.name]
+        others = covers([c for j, c in enumerate(out) if j != i], rows, len(bad))
+        good = values[others & ~bad & ~condition.holds(values)]
+        if len(good):
+            nearest = good.max() if condition.at_least else good.min()
+            out[i] = Condition(condition.name, condition.at_least, float(condition.value + nearest) / 2)
+    return out
+
+
 def fit_rules(
     rows: dict[str, np.ndarray], bad: np.ndarray, precision: float = 0.9, longest: int = 4, most: int = 16
 ) -> list[list[Condition]]:
@@ -202,8 +215,8 @@ def fit_rules(
         shown = bad[caught & pruning] if (caught & pruning).any() else bad[caught]
         if caught.sum() < 2 or shown.mean() < precision:
             break
-        rules.append(rule)
-        left &= ~caught
+        rules.append(widen(rule, {name: values[left] for name, values in rows.items()}, bad[left]))
+        left &= ~(covers(rules[-1], rows, len(bad)) & left)
     return rules
 
 
