@@ -19,9 +19,8 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from dockspan.llm.batches import ragged, slices, texts_of
-from dockspan.llm.line_templates import keyed
 from dockspan.llm.simhash import runs_of_key
-from dockspan.operators.durable import scratch_table
+from dockspan.llm.tables import keyed, stored
 
 ANCHOR = 96
 BYTES = 256
@@ -35,7 +34,7 @@ _VALUES = np.random.default_rng(42).integers(1, 1 << 63, 256, dtype=np.uint64)
 _POWERS: list[np.ndarray] = []
 
 
-def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
+def powers(size: int) -> tuple[np.ndarray, np.ndarray]:
     if not _POWERS or len(_POWERS[0]) < size:
         size = max(size, 1 << 20)
         inverse = pow(_BASE, -1, 1 << 64)
@@ -50,7 +49,7 @@ def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
 
 def string_hashes(data: np.ndarray, size: int) -> np.ndarray:
     """Hash of the ``size`` bytes from every position on, from running sums modulo 2**64."""
-    up, down = _powers(len(data))
+    up, down = powers(len(data))
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_VALUES[data] * up[: len(data)], dtype=np.uint64)])
     hashes = (sums[size:] - sums[:-size]) * down[: len(data) - size + 1]
     hashes ^= hashes >> np.uint64(32)
@@ -208,12 +207,6 @@ def repeated_by_offset(contexts: list[bytes], offsets: np.ndarray, length: int)
     return held
 
 
-def stored(df: DataFrame, label: str) -> DataFrame:
-    path = scratch_table(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
-
-
 def all_contexts(docs: DataFrame, length: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
