@@ -399,14 +399,14 @@ LARGE_TREES, LARGE_DEPTH = 200, 6
 LARGE_FEATURES = {"f_quantity": 50.0, "f_price": 100000.0, "f_discount": 0.1, "f_tax": 0.08}
 
 
-def large_forest(spark):
+def large_forest(spark, trees: int = LARGE_TREES, depth: int = LARGE_DEPTH):
     """Node table of the generated model, made by Spark."""
-    inner = 2**LARGE_DEPTH - 1
+    inner = 2**depth - 1
     names = F.array(*[F.lit(f) for f in LARGE_FEATURES])
     tree, node = F.col("tree"), F.col("node")
     split = node < inner
     return (
-        spark.range(LARGE_TREES * (2 * inner + 1))
+        spark.range(trees * (2 * inner + 1))
         .select(
             (F.col("id") / (2 * inner + 1)).cast("int").alias("tree"),
             (F.col("id") % (2 * inner + 1)).cast("int").alias("node"),
@@ -420,7 +420,7 @@ def large_forest(spark):
             F.when(split, node * 2 + 2).alias("no"),
             F.when(split, node * 2 + 1 + (tree + node) % 2).alias("missing"),
             F.when(~split, ((tree * 13 + node * 7) % 41 - 20) / 400.0).alias("leaf"),
-            F.lit(1.0).alias("cover"),
+            F.pow(F.lit(2.0), F.lit(depth) - F.floor(F.log2(node + 1))).alias("cover"),
         )
     )
 
@@ -432,19 +432,39 @@ _LARGE_STEP = """, s{b} AS (SELECT * EXCLUDE (node, x), CASE
   FROM (SELECT *, v[(tree + node) % 4 + 1] AS x FROM s{a}))"""
 
 
+def _large_sql(trees: int, depth: int, result: str) -> str:
+    """The walk down all trees, level by level; ``result`` takes the margin."""
+    values = ", ".join(f"{c} / {m}::DOUBLE" for c, m in LARGE_FEATURES.items())
+    steps = "".join(_LARGE_STEP.format(a=i, b=i + 1) for i in range(depth))
+    margin = "sum(((tree * 13 + node * 7) % 41 - 20) / 400.0::DOUBLE)"
+    return (
+        FEATURES_SQL
+        + f", given AS (SELECT {KEY_SQL}, [{values}] AS v FROM features)"
+        + f", s0 AS (SELECT given.*, t.tree, 0 AS node FROM given, range({trees}) AS t(tree)){steps}"
+        + f" SELECT {KEY_SQL}, {result.format(margin)} FROM s{depth} GROUP BY {KEY_SQL}"
+    )
+
+
 @query(
     "forest_score_large",
-    FEATURES_SQL
-    + ", given AS (SELECT {}, [{}] AS v FROM features)".format(
-        KEY_SQL, ", ".join(f"{c} / {m}::DOUBLE" for c, m in LARGE_FEATURES.items())
-    )
-    + f", s0 AS (SELECT given.*, t.tree, 0 AS node FROM given, range({LARGE_TREES}) AS t(tree))"
-    + "".join(_LARGE_STEP.format(a=i, b=i + 1) for i in range(LARGE_DEPTH))
-    + f""" SELECT {KEY_SQL},
-      round(1 / (1 + exp(-sum(((tree * 13 + node * 7) % 41 - 20) / 400.0::DOUBLE))), 6) AS prediction
-    FROM s{LARGE_DEPTH} GROUP BY {KEY_SQL}""",
+    _large_sql(LARGE_TREES, LARGE_DEPTH, "round(1 / (1 + exp(-{})), 6) AS prediction"),
 )
 def forest_score_large(spark, sf_dir):
     values = {c: F.col(c) / F.lit(m) for c, m in LARGE_FEATURES.items()}
     scored = score_forest(features(spark, sf_dir), large_forest(spark), values=values, part_nodes=10_000)
     return rounded(scored.select(*FEATURE_KEY, "prediction"))
+
+
+# Attributions of a model of many trees add up to the margin, which the check walks.
+SPLIT_TREES, SPLIT_DEPTH = 100, 4
+
+
+@query("forest_attribution_large", _large_sql(SPLIT_TREES, SPLIT_DEPTH, "round({}, 6) AS margin"))
+def forest_attribution_large(spark, sf_dir):
+    forest = load_forest(large_forest(spark, SPLIT_TREES, SPLIT_DEPTH))
+    rows = features(spark, sf_dir).select(
+        *FEATURE_KEY, *[(F.col(c) / F.lit(m)).alias(c) for c, m in LARGE_FEATURES.items()]
+    )
+    found = attribution.row_attributions(rows, forest, FEATURE_KEY)
+    total = F.aggregate("values", F.lit(attribution.expected_margin(forest)), lambda s, v: s + v["value"])
+    return rounded(found.select(*FEATURE_KEY, total.alias("margin")))
