@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from dockspan.functions.fixed_values import LOWER_CASE_LISTS, TARGET_LISTS
+from dockspan.functions.ids import target_of_file
 from dockspan.operators.sizing import small
 
 
@@ -21,6 +22,17 @@ def keep_listed_targets(rows: DataFrame, name: str, target: str = "target") -> D
     return rows.filter(F.col(target).isin(target_list(name)))
 
 
+# Fixed value: mark in the names of feature files whose features are scaled.
+SCALED_MARK = "_normalized"
+
+
+def keep_listed_files(files: DataFrame, name: str, path: str = "path") -> DataFrame:
+    """Files of scaled features whose target, the name before the mark, is in a named list."""
+    file = F.substring_index(path, "/", -1)
+    listed = target_of_file(F.col(path), SCALED_MARK).isin(target_list(name))
+    return files.filter(F.contains(file, F.lit(SCALED_MARK)) & listed)
+
+
 def filter_compound(rows: DataFrame, compound: str | Column, id_column: str = "compound_id") -> DataFrame:
     """Rows of one compound; none if it is unknown. ``require_compound`` tells so."""
     return rows.filter(F.col(id_column) == compound)

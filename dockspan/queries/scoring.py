@@ -15,12 +15,13 @@ from dockspan.operators import consensus, metrics
 from dockspan.operators.targets import (
     coverage,
     filter_compound,
+    keep_listed_files,
     keep_listed_targets,
     not_done,
     override_ids,
 )
 from dockspan.queries.registry import query, rounded
-from dockspan.queries.views import POSE_KEY, POSE_SCORES, pose_scores
+from dockspan.queries.views import POSE_KEY, POSE_SCORES, bound_view, pose_scores, table
 
 SCORED = f"""
 WITH pose_scores AS ({POSE_SCORES}),
@@ -199,6 +200,27 @@ def filter_targets(spark, sf_dir):
     )
 
 
+FILES = """SELECT l_orderkey, l_linenumber, concat('/features/', CASE l_suppkey % 5 WHEN 0 THEN 'ace'
+  WHEN 1 THEN 'hsp90' WHEN 2 THEN 'p38-alpha' WHEN 3 THEN 'unlisted' ELSE 'ace_normalized' END,
+  CASE l_linenumber % 2 WHEN 0 THEN '_normalized.csv' ELSE '.csv' END) AS path
+  FROM lineitem
+"""
+
+
+@query(
+    "filter_files",
+    f"""WITH files AS ({FILES})
+    SELECT path, count(*) AS n_files FROM files
+    WHERE contains(split_part(path, '/', 3), '_normalized')
+      AND split_part(split_part(path, '/', 3), '_normalized', 1) IN ({{}}) GROUP BY path""".format(
+        ", ".join(f"'{t.lower()}'" for t in TARGET_LISTS["dekois1"])
+    ),
+)
+def filter_files(spark, sf_dir):
+    kept = keep_listed_files(bound_view(spark, FILES, lineitem=table(spark, sf_dir, "lineitem")), "dekois1")
+    return kept.groupBy("path").agg(F.count(F.lit(1)).alias("n_files"))
+
+
 @query(
     "filter_compound",
     SCORED

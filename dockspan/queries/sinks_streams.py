@@ -37,7 +37,9 @@ def run_metadata(spark, sf_dir):
     meta = sinks.run_metadata(
         best(spark, sf_dir), {"ps": "ps-model", "pb": "pb-model"}, {"ps": 0.7, "pb": 0.3}, True
     )
-    return meta.drop("generated_at")
+    path = scratch_table(spark, "run")
+    sinks.write_metadata(meta, path)
+    return sinks.read_metadata(spark, path).drop("generated_at")
 
 
 def streamed_scores(spark, sf_dir):

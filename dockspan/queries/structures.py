@@ -179,12 +179,15 @@ def placed(spark, sf_dir):
     + """, wanted AS (SELECT grp, CASE WHEN i = 0 THEN 0 WHEN i = least(n, 23) - 1 THEN n - 1
         ELSE CAST(floor(i * (CAST(n - 1 AS DOUBLE) / (least(n, 23) - 1))) AS BIGINT) END AS at
       FROM (SELECT grp, n, unnest(range(least(n, 23))) AS i FROM (SELECT DISTINCT grp, n FROM placed)))
-    SELECT p.grp, p.pos - 1 AS pos, p.event_id FROM placed p JOIN wanted w
+    SELECT p.grp, p.pos - 1 AS pos, p.event_id, concat(p.grp, '_pose', p.pos, '.pdbqt') AS name
+    FROM placed p JOIN wanted w
       ON w.grp = p.grp AND w.at = p.pos - 1""",
 )
 def sample_evenly(spark, sf_dir):
     rows = placed(spark, sf_dir).select("grp", (F.col("pos") - 1).alias("pos"), "event_id")
-    return structures.sample_evenly(rows, ["grp"], "pos", 23).select("grp", "pos", "event_id")
+    name = structures.sampled_name(F.concat(F.col("grp"), F.lit(".pdbqt")), F.col("pos"))
+    chosen = structures.sample_evenly(rows, ["grp"], "pos", 23)
+    return chosen.select("grp", "pos", "event_id", name.alias("name"))
 
 
 @query(

@@ -55,6 +55,15 @@ def run_metadata(
     )
 
 
+def write_metadata(meta: DataFrame, path: str) -> None:
+    """Store a run's row beside its results; readers of the results pass it over."""
+    meta.write.mode("errorifexists").parquet(f"{path}/_run")
+
+
+def read_metadata(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(f"{path}/_run")
+
+
 def read_results(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
