@@ -26,8 +26,10 @@ from dockspan.llm.units import Encoder, encoded_slices, id_bytes
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 NEVER = 1 << 60
-PAIRS_HELD = 400_000
-DECODE_BYTES = 1 << 20
+PAIRS_HELD = 250_000
+# Bytes of text, or of ids, worked on at a time, and units held.
+ENCODE_BYTES, DECODE_BYTES = 2 << 20, 1 << 20
+UNITS_HELD = 150_000
 
 
 def byte_letters() -> dict[str, int]:
@@ -141,7 +143,7 @@ class PrefixBpe:
         return [i for w in words for i in self.word(w.encode().decode("latin-1"))]
 
     def encoder(self) -> Encoder:
-        return Encoder(self.pattern.findall, lambda units: map(self.unit, units), self.special)
+        return Encoder(self.pattern.findall, lambda units: map(self.unit, units), self.special, UNITS_HELD)
 
 
 def model_token(pair) -> str:
@@ -186,7 +188,7 @@ def encode_texts(docs: DataFrame, path: str) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, ids, edges in encoded_slices(batches, model(path)[1]):
+        for part, ids, edges in encoded_slices(batches, model(path)[1], ENCODE_BYTES):
             yield pa.RecordBatch.from_arrays(
                 [part.column("doc_id"), pa.array(np.diff(edges), pa.int64()), id_bytes(ids, edges)],
                 names=["doc_id", "n_tokens", "ids"],

@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from dockspan.llm.batches import SPACES, UnitTable, binaries, ragged, slices, sums_by_row, texts_of
+from dockspan.llm.batches import SLICE_BYTES, SPACES, UnitTable, binaries, ragged, slices, sums_by_row, texts_of
 
 # White space that a plain cut at spaces would split from its neighbours.
 RUNS = f"[{SPACES}] (?:[{SPACES}]|$)"
@@ -23,9 +23,9 @@ RUNS = f"[{SPACES}] (?:[{SPACES}]|$)"
 class Encoder:
     """Ids of whole texts, given ``pieces`` (text to units) and ``encode`` (units to lists of ids)."""
 
-    def __init__(self, pieces, encode, special: dict[str, int]):
+    def __init__(self, pieces, encode, special: dict[str, int], held: int = 250_000):
         self.pieces, self.special = pieces, special
-        self.table = UnitTable(encode)
+        self.table = UnitTable(encode, held)
 
     def ids_of(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after the other, and where each text's ids start."""
@@ -93,10 +93,10 @@ class Encoder:
             yield from self._specials(piece, strings[1:])
 
 
-def encoded_slices(batches: Iterator[pa.RecordBatch], encoder: Encoder):
+def encoded_slices(batches: Iterator[pa.RecordBatch], encoder: Encoder, limit: int = SLICE_BYTES):
     """(rows, ids, id offsets) for slices of bounded bytes with columns doc_id and text."""
     for batch in batches:
-        for part in slices(batch, "text"):
+        for part in slices(batch, "text", limit):
             ids, edges = encoder.ids_of(texts_of(part.column("text")))
             yield part, ids, edges
 
