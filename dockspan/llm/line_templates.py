@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from dockspan.llm.tables import keyed
 from dockspan.operators.durable import durable
 
 SPACE = "[\\x20\\x09-\\x0D]+"
@@ -27,18 +28,12 @@ def words_of_line(line: Column) -> Column:
     return F.filter(F.split(line, SPACE), lambda w: w != "")
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    """``docs`` with a key of id and text, which equal rows share; nulls have keys too."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    return docs.withColumns({"__id": F.coalesce(F.col("doc_id"), F.lit(-(1 << 63))), "__hash": F.xxhash64(text)})
-
-
 def lines_of(docs: DataFrame, depth: int) -> DataFrame:
-    """Lines that hold a word: key, place, words and leaf."""
+    """Lines that hold a word: key, place, text and leaf."""
     lines = keyed(docs).select("__id", "__hash", F.posexplode(F.split("text", "\n", -1)).alias("at", "line"))
-    words = lines.select("__id", "__hash", "at", words_of_line(F.col("line")).alias("words")).where(F.size("words") > 0)
+    filled = lines.where(F.col("line").rlike("[^\\x20\\x09-\\x0D]")).withColumn("words", words_of_line(F.col("line")))
     leading = F.transform(F.slice("words", 1, depth), masked)
-    return words.withColumn("leaf", F.xxhash64(F.size("words"), leading))
+    return filled.select("__id", "__hash", "at", "line", F.xxhash64(F.size("words"), leading).alias("leaf"))
 
 
 def in_documents(rows: DataFrame, key: str, least: int) -> DataFrame:
@@ -54,9 +49,9 @@ def templates(docs: DataFrame, depth: int, min_docs: int, share: float) -> DataF
     """
     lines = lines_of(docs, depth)
     busy = in_documents(lines, "leaf", min_docs)
-    parsed = lines.join(busy, "leaf").select(
-        "__id", "__hash", "at", "leaf", F.posexplode(F.transform("words", masked)).alias("place", "word")
-    )
+    # Lines travel as text, which packs best; only those of busy leaves are split again.
+    words = F.transform(words_of_line(F.col("line")), masked)
+    parsed = lines.join(busy, "leaf").select("__id", "__hash", "at", "leaf", F.posexplode(words).alias("place", "word"))
     # A word's own hash stands for it from here on.
     parsed = durable(parsed.select("__id", "__hash", "at", "leaf", "place", F.xxhash64("word").alias("word")))
     common = (
