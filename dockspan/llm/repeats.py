@@ -7,10 +7,14 @@ equal as a whole are counted; the others of an anchor go into an index: their su
 sorted, the Burrows-Wheeler transform is cut into runs, the longest matches with the sorted
 neighbours are measured at the ends of runs only, and streaming through the text gives the
 longest match of every position from the last measured one.
+
+Passages of a number of words are found in the same way in texts of word codes, whose bytes
+are hashes of the words; only windows that start with a word count.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,7 +22,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from dockspan.llm.batches import ragged, slices, texts_of
+from dockspan.llm.batches import binaries, ragged, slices, texts_of, words_of
 from dockspan.llm.simhash import runs_of_key
 from dockspan.llm.tables import keyed, stored
 
@@ -28,6 +32,11 @@ BYTES = 256
 # compared offset by offset, and beyond the second size its windows are counted by a shuffle.
 INDEX_BYTES = 3 << 17
 GROUP_BYTES = 1 << 25
+# Texts are worked on in slices of this size; what is computed from them takes far more memory.
+SMALL = 1 << 20
+# Bytes of a word's code where passages are counted in words.
+CODE = 5
+WORD = re.compile(rb"[^\t-\r ]+")
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _VALUES = np.random.default_rng(42).integers(1, 1 << 63, 256, dtype=np.uint64)
@@ -210,8 +219,9 @@ def repeated_by_offset(contexts: list[bytes], offsets: np.ndarray, length: int)
 def all_contexts(docs: DataFrame, length: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text", 4 << 20):
-                found = contexts_of(texts_of(part.column("text")), length)
+            for part in slices(batch, "text", SMALL):
+                texts = part.column("text")
+                found = contexts_of(texts if pa.types.is_binary(texts.type) else texts_of(texts), length)
                 row = pa.array(found["row"])
                 yield pa.RecordBatch.from_arrays(
                     [part.column("__id").take(row), part.column("__hash").take(row)]
@@ -347,6 +357,39 @@ def repeated_starts(docs: DataFrame, length: int, group_bytes: int = GROUP_BYTES
     return found.groupBy("__id", "__hash").agg(F.collect_set(F.struct("start", "windows", "spans")).alias("spans"))
 
 
+def word_codes(rows: DataFrame) -> DataFrame:
+    """Keys and texts as CODE bytes a word, for words between ASCII white space."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        digest = xxhash.xxh3_64_intdigest
+        for batch in batches:
+            for part in slices(batch, "text", SMALL):
+                words, offsets = words_of(texts_of(part.column("text")))
+                coded = words.dictionary_encode()
+                kinds = np.array([digest(w) for w in coded.dictionary.cast(pa.binary()).to_pylist()], "<u8")
+                data = kinds[coded.indices.to_numpy(zero_copy_only=False)].view(np.uint8).reshape(-1, 8)[:, :CODE]
+                body = binaries(data, offsets * CODE)
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("__id"), part.column("__hash"), body], names=["__id", "__hash", "text"]
+                )
+
+    return rows.select("__id", "__hash", "text").mapInArrow(run, "__id long, __hash long, text binary")
+
+
+def passages_mask(text: bytes, spans: list[dict] | None, words: int) -> np.ndarray:
+    """Bytes of the passages of ``words`` words that ``spans`` of the text's word codes name."""
+    change = np.zeros(len(text) + 1, np.int64)
+    places = np.array([m.span() for m in WORD.finditer(text)], np.int64).reshape(-1, 2)
+    for span in spans or ():
+        inner = [[0, span["windows"]]] if span["spans"] is None else np.frombuffer(span["spans"], "<i4").reshape(-1, 2)
+        for a, b in inner:
+            first, last = -(-(span["start"] + int(a)) // CODE), (span["start"] + int(b) - 1) // CODE
+            if first <= last:
+                change[places[first, 0]] += 1
+                change[places[last + words - 1, 1]] -= 1
+    return np.cumsum(change[:-1]) > 0
+
+
 def removed_mask(size: int, spans: list[dict] | None, length: int) -> np.ndarray:
     change = np.zeros(size + 1, np.int64)
     for span in spans or ():
@@ -366,30 +409,43 @@ def whole_characters(gone: np.ndarray, text: bytes) -> np.ndarray:
 
 
 def remove_repeats(
-    docs: DataFrame, length: int = 400, characters: bool = False, group_bytes: int = GROUP_BYTES
+    docs: DataFrame,
+    length: int = 400,
+    characters: bool = False,
+    group_bytes: int = GROUP_BYTES,
+    words: int | None = None,
 ) -> DataFrame:
     """``docs`` with ``kept`` (bytes that are left), ``spans`` (removed intervals), n_bytes, n_removed, n_spans.
 
     Every byte inside a string of ``length`` bytes that starts at another place too, in this
-    or another document, is removed; strings are judged on the input. With ``characters`` a
-    character stays whole while one of its bytes stays, so ``kept`` is UTF-8. Texts shorter than
-    ``length``, empty or null lose nothing (null counts as empty). Every row stays; rows that
-    are equal repeat each other. Columns of ``docs`` with the new names are replaced.
+    or another document, is removed; strings are judged on the input. With ``words`` so is every
+    passage of that many words that is at another place too, whatever its bytes and the white space
+    between its words. With ``characters`` a character stays whole while one of its bytes stays,
+    so ``kept`` is UTF-8. Texts shorter than both, empty or null lose nothing (null counts as
+    empty). Every row stays; rows that are equal repeat each other. Columns of ``docs`` with the new names are replaced.
     """
     if length < 1:
         raise ValueError("a string has at least one byte")
     columns = [c for c in docs.columns if c not in ("kept", "spans", "n_bytes", "n_removed", "n_spans")]
     rows = keyed(docs.select(*columns))
     found = repeated_starts(rows, length, group_bytes).withColumnRenamed("spans", "__spans")
-    rows = rows.join(found, ["__id", "__hash"], "left").select(*columns, "__spans")
+    if words is None:
+        rows = rows.withColumn("__passages", F.lit(None).cast(found.schema["__spans"].dataType))
+    else:
+        passages = repeated_starts(word_codes(rows), words * CODE, group_bytes).withColumnRenamed("spans", "__passages")
+        rows = rows.join(passages, ["__id", "__hash"], "left")
+    rows = rows.join(found, ["__id", "__hash"], "left").select(*columns, "__spans", "__passages")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", 2 * SMALL):
                 texts = part.column("text").cast(pa.binary()).fill_null(b"").to_pylist()
                 kept, cut, removed = [], [], []
-                for text, spans in zip(texts, part.column("__spans").to_pylist(), strict=True):
+                found = (part.column(c).to_pylist() for c in ("__spans", "__passages"))
+                for text, spans, passages in zip(texts, *found, strict=True):
                     gone = removed_mask(len(text), spans, length) if spans else np.zeros(len(text), bool)
+                    if passages:
+                        gone |= passages_mask(text, passages, words)
                     if characters and spans:
                         gone = whole_characters(gone, text)
                     cut.append(intervals(gone).tolist())
@@ -406,7 +462,7 @@ def remove_repeats(
                 names = [*columns, "kept", "spans", "n_bytes", "n_removed", "n_spans"]
                 yield pa.RecordBatch.from_arrays(old + new, names=names)
 
-    fields = ", ".join(f"`{name}` {kind}" for name, kind in rows.dtypes if name != "__spans")
+    fields = ", ".join(f"`{name}` {kind}" for name, kind in rows.dtypes if name not in ("__spans", "__passages"))
     return rows.mapInArrow(
         run, f"{fields}, kept binary, spans array<int>, n_bytes long, n_removed long, n_spans long"
     )
