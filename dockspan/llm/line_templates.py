@@ -3,8 +3,10 @@
 A line goes down a tree of fixed depth: its number of words, then its leading words,
 where words with a digit count as a variable field. In the leaf a word is constant at its
 place if at least ``min_docs`` lines of the leaf have it there, else a variable field; the
-constants and fields are the line's template. Templates found in ``min_docs`` or more
-documents recur. Leaves of fewer documents hold no recurring template, so only the lines
+constants and fields are the line's template. A line that has too few constants for one gets
+a second chance in which its words with a digit count like others, as they are: dates, numbered
+lines and whatever recurs word for word. Templates found in ``min_docs`` or more documents
+recur. Leaves of fewer documents hold no recurring template, so only the lines
 of larger leaves are parsed word by word.
 """
 
@@ -45,30 +47,48 @@ def in_documents(rows: DataFrame, key: str, least: int) -> DataFrame:
 def templates(docs: DataFrame, depth: int, min_docs: int, share: float) -> DataFrame:
     """Key, place and template hash of every line in a leaf of ``min_docs`` documents.
 
-    A line with less than ``share`` constant words has no template.
+    A line with less than ``share`` constant words has no template, unless it reaches the share with
+    words that hold a digit and recur at their place. So a line that comes word for word in ``min_docs``
+    documents always has one.
     """
     lines = lines_of(docs, depth)
     busy = in_documents(lines, "leaf", min_docs)
     # Lines travel as text, which packs best; only those of busy leaves are split again.
-    words = F.transform(words_of_line(F.col("line")), masked)
+    words = words_of_line(F.col("line"))
     parsed = lines.join(busy, "leaf").select("__id", "__hash", "at", "leaf", F.posexplode(words).alias("place", "word"))
-    # A word's own hash stands for it from here on.
-    parsed = durable(parsed.select("__id", "__hash", "at", "leaf", "place", F.xxhash64("word").alias("word")))
+    # A word's own hash stands for it from here on, odd if the word holds a digit.
+    digit = F.col("word").rlike("[0-9]")
+    own = F.shiftleft(F.xxhash64("word"), 1).bitwiseOR(digit.cast("long"))
+    parsed = durable(parsed.select("__id", "__hash", "at", "leaf", "place", own.alias("word")))
     common = (
         parsed.groupBy("leaf", "place", "word")
         .agg(F.count(F.lit(1)).alias("n"))
         .where(F.col("n") >= min_docs)
-        .where(F.col("word") != F.xxhash64(F.lit(FIELD)))
         .select("leaf", "place", "word", F.lit(True).alias("constant"))
     )
     # A sum of hashes of (place, word) stands for the list of constants; it needs no gathering.
-    token = F.when(F.col("constant"), F.xxhash64("place", "word").cast("decimal(20,0)"))
-    return (
+    token = F.xxhash64("place", "word").cast("decimal(20,0)")
+    odd = F.col("word").bitwiseAND(F.lit(1)) == 1
+    plain, numbered = F.col("constant") & ~odd, F.col("constant") & odd
+    lines = (
         parsed.join(common, ["leaf", "place", "word"], "left")
         .groupBy("__id", "__hash", "at", "leaf")
-        .agg(F.sum(token).alias("total"), F.count("constant").alias("constants"), F.count(F.lit(1)).alias("n"))
-        .where(F.col("constants") >= F.col("n") * F.lit(share))
-        .select("__id", "__hash", "at", F.xxhash64("leaf", "total", "constants").alias("template"))
+        .agg(
+            F.sum(F.when(plain, token)).alias("total"),
+            F.count(F.when(plain, True)).alias("constants"),
+            F.sum(F.when(numbered, token)).alias("more"),
+            F.count(F.when(numbered, True)).alias("numbers"),
+            F.count(F.lit(1)).alias("n"),
+        )
+    )
+    enough = F.col("n") * F.lit(share)
+    return lines.where(F.col("constants") + F.col("numbers") >= enough).select(
+        "__id",
+        "__hash",
+        "at",
+        F.when(F.col("constants") >= enough, F.xxhash64("leaf", "total", "constants"))
+        .otherwise(F.xxhash64("leaf", "total", "constants", "more", "numbers"))
+        .alias("template"),
     )
 
 
