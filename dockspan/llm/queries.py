@@ -5,9 +5,11 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from dockspan.llm import rank_bpe
 from dockspan.llm.bpe import decode_ids, encode_texts
 from dockspan.llm.catalog import ORACLES, QUERIES, query, table  # noqa: F401
 from dockspan.llm.line_templates import drop_recurring_lines
+from dockspan.llm.mask_search import ranked_search
 from dockspan.llm.mixing import score_documents
 from dockspan.llm.packing import pack_documents
 from dockspan.llm.quality import judge_quality
@@ -16,6 +18,7 @@ from dockspan.llm.sharding import shard_documents
 from dockspan.llm.simhash import near_duplicates
 from dockspan.llm.token_counts import count_tokens
 from dockspan.llm.top_k import top_k_search
+from dockspan.llm.turn_trie import prefix_trie
 
 
 @query("op1_context_mixing")
@@ -147,3 +150,93 @@ def op10_differencing_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select(
         "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset"
     )
+
+
+@query("op11_chunked_bpe")
+def op11_chunked_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    coded = rank_bpe.encode_texts(table(spark, sf_dir, "documents"), path, pattern)
+    return rank_bpe.decode_ids(coded, path, pattern).select(
+        "doc_id",
+        "n_tokens",
+        F.sha2("decimals", 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+RANKED_SQL = r"""
+WITH t AS (
+  SELECT doc_id, row_number() OVER () AS row_no, regexp_extract_all(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+  FROM documents
+), d AS (SELECT row_no, doc_id, len(terms) AS n FROM t WHERE len(terms) > 0),
+c AS (SELECT count(*) AS big_n, CAST(sum(n) AS BIGINT) AS big_l FROM d),
+p AS (
+  SELECT row_no, term, count(*) AS tf FROM (SELECT row_no, unnest(terms) AS term FROM t) GROUP BY ALL
+), q AS (
+  SELECT item_no, any_value(item_id) AS item_id, term, count(*) AS times FROM (
+    SELECT row_number() OVER () AS item_no, item_id, unnest(regexp_extract_all(
+      translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+    FROM benchmark
+  ) GROUP BY item_no, term
+), w AS (
+  SELECT term, CAST(floor(1000 * ln(CAST(2 * big_n + 2 AS DOUBLE) / (2 * count(*) + 1))) AS BIGINT) AS w
+  FROM p, c WHERE term IN (SELECT term FROM q) GROUP BY term, big_n
+), s AS (
+  SELECT item_no, any_value(item_id) AS item_id, row_no, any_value(doc_id) AS doc_id,
+         CAST(sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * big_n) // big_l)))) AS BIGINT) AS score
+  FROM q JOIN w USING (term) JOIN p USING (term) JOIN d USING (row_no), c GROUP BY item_no, row_no
+), r AS (
+  SELECT *, row_number() OVER (PARTITION BY item_no ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM s WHERE score > 0
+)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM r WHERE rank <= 20
+"""
+
+
+@query("op12_mask_search", RANKED_SQL)
+def op12_mask_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=20)
+
+
+TRIE_SQL = r"""
+WITH t AS (
+  SELECT conv_id, list({'role': coalesce(role, ''), 'text': coalesce(text, '')}
+    ORDER BY turn NULLS FIRST, md5(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) AS turns
+  FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id
+), k AS (
+  SELECT conv_id, turns, conv_id - conv_id % 100 AS lead, CAST(xor(4294967295, list_reduce(
+    list_prepend(4294967295, list_transform(range(1, strlen(CAST(conv_id AS VARCHAR)) + 1),
+      lambda i: CAST(ascii(CAST(conv_id AS VARCHAR)[i]) AS BIGINT))),
+    lambda a, b: list_reduce(list_prepend(xor(a, b), range(8)), lambda x, i: xor(x >> 1, (x & 1) * 3988292384))
+  )) % 6 AS INTEGER) AS h FROM t
+), b AS (
+  SELECT k.conv_id, list_concat(coalesce(f.turns, [])[1:h], k.turns[h + 1:]) AS turns
+  FROM k LEFT JOIN t f ON f.conv_id = k.lead
+), m AS (
+  SELECT conv_id, d, len(turns) AS size, md5(CAST(to_json(turns[1:d]) AS VARCHAR)) AS node,
+         CASE WHEN d > 0 THEN md5(CAST(to_json(turns[1:d - 1]) AS VARCHAR)) END AS parent,
+         CASE WHEN d > 0 THEN length(turns[d].text) ELSE 0 END AS last
+  FROM b, LATERAL (SELECT unnest(range(0, len(turns) + 1)) AS d)
+), n AS (
+  SELECT node, d AS depth, any_value(parent) AS parent, min(conv_id) AS conv_id, count(*) AS n_convs,
+         (count(*) - 1) * any_value(last) AS own,
+         sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE size = d), '')) AS ends_sha256
+  FROM m GROUP BY node, d
+), c AS (SELECT parent, count(*) AS n_children FROM n WHERE parent IS NOT NULL GROUP BY parent),
+u AS (
+  SELECT up.node, sum(n.own) AS saved, count(*) FILTER (WHERE c.n_children IS NULL) AS leaves
+  FROM n JOIN m path ON path.conv_id = n.conv_id AND path.d <= n.depth JOIN n up ON up.node = path.node
+  LEFT JOIN c ON c.parent = n.node GROUP BY up.node
+)
+SELECT n.conv_id, CAST(n.depth AS BIGINT) AS depth, p.conv_id AS parent_conv_id, CAST(n.n_convs AS BIGINT) AS n_convs,
+       CAST(coalesce(c.n_children, 0) AS BIGINT) AS n_children, CAST(u.leaves AS BIGINT) AS n_leaves,
+       CAST(u.saved AS BIGINT) AS saved_tokens, n.ends_sha256
+FROM n JOIN u USING (node) LEFT JOIN n p ON p.node = n.parent LEFT JOIN c ON c.parent = n.node
+"""
+
+
+@query("op13_turn_trie", TRIE_SQL)
+def op13_turn_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie(table(spark, sf_dir, "conversations"))
