@@ -119,13 +119,16 @@ def test_layouts_grow():
     for count, key in enumerate(keys, 1):
         tree.insert(key, count)
         if count > 1:
-            assert tree.root.path == b"\7\7" and len(tree.root.children) == count
-            kinds.append((type(tree.root.children), getattr(tree.root.children, "limit", None)))
+            top = next(tree.root.below())
+            assert top.path == b"\7" and len(top.children) == count
+            kinds.append((type(top.children), getattr(top.children, "limit", None)))
     assert kinds[0] == (Sorted, 4) and kinds[6] == (Sorted, 16) and kinds[30][0] is Indexed and kinds[-1][0] is Direct
     tree.insert(b"\7\7", "whole")
     tree.insert(b"\7", "part")
-    assert tree.root.path == b"\7" and tree.root.held == "part" and next(tree.root.below()).held == "whole"
-    assert [n.path[0] for n in next(tree.root.below()).below()] == [b % 3 for b in range(256)]
+    part = next(tree.root.below())
+    whole = next(part.below())
+    assert (part.path, part.held, whole.path, whole.held) == (b"", "part", b"", "whole")
+    assert [n.path[0] for n in whole.below()] == [b % 3 for b in range(256)]
 
 
 @pytest.mark.parametrize("a, b, n", [(b"", b"x", 0), (b"ab", b"abc", 2), (b"abd", b"abc", 2), (b"x", b"y", 0), (b"abc", b"abc", 3)])
