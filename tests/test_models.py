@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from dockspan.operators import attribution, features, scaling
-from dockspan.operators.forest import NODE_SCHEMA, load_forest, score_forest
+from dockspan.operators.forest import Forest, NODE_SCHEMA, batch_margins, goes_to, load_forest, margins, masked_trees, score_forest
 from dockspan.plans.rescoring import best_poses, rescore
 
 NODES = [
@@ -138,3 +138,116 @@ def test_rescoring_in_one_plan(spark, forest):
     assert sorted(r["rank"] for r in renumbered.filter("target = 't1'").collect()) == [1, 2]
     with pytest.raises(ValueError):
         rescore(df, ["target", "compound_id"], {"ps": unit, "pb": unit}, {"ps": forest, "pb": forest}, (0.5, 0.6))
+
+
+def random_forest(trees, depth, count, seed, grown=1.0):
+    """A forest as arrays: ``grown`` is the chance that a node above ``depth`` is split."""
+    rng = np.random.default_rng(seed)
+    nodes = []
+
+    def make(depth, cover):
+        at = len(nodes)
+        nodes.append([-1, np.nan, -1, -1, -1, rng.normal(), cover])
+        if depth and rng.random() <= grown:
+            share = rng.uniform(0.2, 0.8)
+            yes, no = make(depth - 1, cover * share), make(depth - 1, cover * (1 - share))
+            nodes[at] = [rng.integers(count), rng.random(), yes, no, rng.choice([yes, no]), np.nan, cover]
+        return at
+
+    roots = [make(depth, 100.0) for _ in range(trees)]
+    feature, threshold, yes, no, missing, leaf, cover = (np.array(c) for c in zip(*nodes))
+    whole = [x.astype(np.int64) for x in (feature, yes, no, missing)]
+    names = [f"f{i:03d}" for i in range(count)]
+    return Forest(names, np.array(roots), whole[0], threshold.astype(np.float32), *whole[1:], leaf, cover)
+
+
+def random_rows(rows, count, seed, missing=0.2):
+    rng = np.random.default_rng(seed)
+    matrix = rng.random((rows, count), dtype=np.float32)
+    matrix[rng.random(matrix.shape) < missing] = np.nan
+    return matrix
+
+
+def brute_shapley(forest, matrix):
+    """Sum over all sets of known features, leaf by leaf."""
+    out = np.zeros(matrix.shape)
+    for leaf, path in attribution.leaf_paths(forest):
+        size = len(path)
+        follows = [
+            np.logical_and.reduce([goes_to(forest, np.full(len(matrix), n), matrix[:, forest.feature[n]]) == c for n, c in steps])
+            for _, steps, _ in path
+        ]
+        for i, (feature, _, share) in enumerate(path):
+            rest = [j for j in range(size) if j != i]
+            for k in range(size):
+                weight = math.factorial(k) * math.factorial(size - k - 1) / math.factorial(size)
+                for known in itertools.combinations(rest, k):
+                    value = np.full(len(matrix), weight * leaf)
+                    for j in rest:
+                        value = value * (follows[j] if j in known else path[j][2])
+                    out[:, feature] += value * (follows[i] - share)
+    return out
+
+
+@pytest.mark.parametrize("depth, count, grown", [(4, 4, 1.0), (5, 20, 0.8), (3, 2, 1.0), (1, 3, 1.0), (0, 1, 1.0)])
+@pytest.mark.parametrize("subtree, leaf, values", [(7, 10, 1 << 25), (2, 3, 100), (0, 1, 1), (7, 2, 1 << 25)])
+def test_pattern_tables_give_shapley_values(monkeypatch, depth, count, grown, subtree, leaf, values):
+    monkeypatch.setattr(attribution, "SUBTREE_BITS", subtree)
+    monkeypatch.setattr(attribution, "LEAF_BITS", leaf)
+    forest, matrix = random_forest(4, depth, count, depth, grown), random_rows(37, count, 1)
+    plans = list(attribution.PlanBuilder(forest, values).plans())
+    got = attribution.shapley_values(plans, matrix)
+    assert np.allclose(got, brute_shapley(forest, matrix), atol=1e-12)
+    assert np.allclose(got.sum(axis=1) + attribution.expected_margin(forest), margins(forest, matrix, 0.0))
+
+
+def test_tables_follow_the_leaves_and_not_the_features():
+    sizes = []
+    for count in (50, 500):
+        plans = list(attribution.PlanBuilder(random_forest(40, 6, count, 3)).plans())
+        sizes.append(sum(t.nbytes for p in plans for t in p.tables.values()))
+    assert sizes[1] < 1.2 * sizes[0] and sizes[1] < 2500 * 40 * 64
+
+
+@pytest.mark.parametrize(
+    "trees, depth, count, grown", [(1000, 4, 30, 0.9), (30, 7, 5, 1.0), (3, 11, 8, 1.0), (5, 3, 200, 1.0), (4, 0, 1, 1.0), (90, 6, 2, 1.0)]
+)
+def test_masks_reach_the_same_leaves(trees, depth, count, grown):
+    forest, matrix = random_forest(trees, depth, count, 5, grown), random_rows(300, count, 2)
+    matrix[:40] = np.where(np.arange(count) % 2, np.nan, matrix[:40])
+    # Values that equal a limit belong to the no side.
+    inner = np.flatnonzero(forest.feature >= 0)[:200]
+    matrix[np.arange(len(inner)), forest.feature[inner]] = forest.threshold[inner]
+    groups, walked = masked_trees(forest, 20_000)
+    assert (len(walked) > 0) == (depth > 10) and (walked or len(groups) > (trees > 900))
+    assert np.allclose(batch_margins(forest, groups, walked, matrix), margins(forest, matrix, 0.0))
+
+
+def test_a_third_way_for_missing_values_is_walked():
+    forest = random_forest(2, 2, 3, 1)
+    forest.missing[forest.roots[0]] = forest.yes[forest.yes[forest.roots[0]]]
+    matrix = random_rows(50, 3, 3)
+    groups, walked = masked_trees(forest)
+    assert walked == [forest.roots[0]]
+    assert np.allclose(batch_margins(forest, groups, walked, matrix), margins(forest, matrix, 0.0))
+
+
+def test_parts_and_plans_add_up(spark, rows):
+    nodes = spark.createDataFrame([(t, *n[1:]) for t in range(7) for n in NODES if n[0] == 0], NODE_SCHEMA)
+    one = attribution.row_attributions(rows, nodes, ["id"]).collect()
+    many = attribution.row_attributions(rows, nodes, ["id"], part_nodes=10, table_values=1).collect()
+    got = {r.id: [(v.feature, pytest.approx(v.value)) for v in r["values"]] for r in one}
+    assert {r.id: [(v.feature, v.value) for v in r["values"]] for r in many} == got
+    assert attribution.row_attributions(rows.limit(0), nodes, ["id"]).collect() == []
+
+
+def test_a_forest_of_leaves_has_no_attributions(spark, rows):
+    nodes = spark.createDataFrame([n for n in NODES if n[0] == 1], NODE_SCHEMA)
+    assert [r["values"] for r in attribution.row_attributions(rows, nodes, ["id"]).limit(2).collect()] == [[], []]
+    scored = score_forest(rows, nodes, "p", logistic=False, max_expression_nodes=0)
+    assert {r.p for r in scored.collect()} == {0.25}
+
+
+def test_missing_child_is_an_error(spark):
+    with pytest.raises(ValueError):
+        load_forest(spark.createDataFrame([NODES[0], NODES[3]], NODE_SCHEMA))
