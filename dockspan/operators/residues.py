@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from dockspan.functions import vectors as V
@@ -23,6 +26,9 @@ from dockspan.operators.spatial import distance_join, prefixed
 SUPPORT_REACH = 6.0
 # Longest run that is too short, by class.
 SHORT_RUNS = {"ALPHA": 4, "BETA": 2}
+KINDS = {name: number for number, name in enumerate(SHORT_RUNS, 1)}
+# Rows and supporting pairs of a group that one task settles; some 200 MB.
+GROUP_ROWS, GROUP_PAIRS = 200_000, 4_000_000
 
 
 def number_runs(
@@ -129,16 +135,14 @@ def residue_classes(residues: DataFrame, pairs: DataFrame, keys: Sequence[str])
 
 
 def _supports(carbons: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Pairs of alpha carbons that can support each other, by class."""
-    narrow = carbons.select(*keys, "position", "resid", "chain", "x", "y", "z")
-    near = distance_join(narrow, prefixed(narrow, "r_", keys), SUPPORT_REACH, keys)
+    """Pairs of alpha carbons of one class that support each other."""
+    classed = carbons.filter("class <> 'OTHER'").select(*keys, "position", "resid", "chain", "class", "x", "y", "z")
+    near = distance_join(classed, prefixed(classed, "r_", keys), SUPPORT_REACH, keys)
     apart = F.abs(F.col("resid") - F.col("r_resid"))
-    helix = near.filter(apart == 3).withColumn("class", F.lit("ALPHA"))
-    sheet = near.filter((apart > 2) & (F.col("chain") == F.col("r_chain"))).withColumn(
-        "class", F.lit("BETA")
-    )
-    columns = [*keys, "position", F.col("r_position").alias("other"), "class"]
-    return helix.select(*columns).unionByName(sheet.select(*columns))
+    helix = (F.col("class") == "ALPHA") & (apart == 3)
+    sheet = (F.col("class") == "BETA") & (apart > 2) & (F.col("chain") == F.col("r_chain"))
+    held = near.filter((F.col("class") == F.col("r_class")) & (helix | sheet))
+    return held.select(*keys, "position", F.col("r_position").alias("other"), "class")
 
 
 def _in_frames(carbons: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -176,20 +180,139 @@ def _too_short(window, kind: str) -> Column:
     return (F.col("class") == kind) & (run <= limit) & (F.col("stretch_length") >= limit + 2)
 
 
-def prune_runs(carbons: DataFrame, keys: Sequence[str]) -> DataFrame:
+class Pruning:
+    """The removals of one group by a worklist.
+
+    ``counts`` holds how many supporting partners every row has left. A wave takes
+    the support of its partners away and looks again only at these and at rows
+    near the fallen ones, so all waves together look at every pair once.
+    """
+
+    def __init__(self, kinds: np.ndarray, stretch: np.ndarray, length: np.ndarray, residue: np.ndarray):
+        self.kinds, self.stretch, self.length, self.residue = kinds, stretch, length, residue
+        self.by_residue = np.argsort(residue, kind="stable")
+        self.residues = residue[self.by_residue]
+
+    def too_short(self, rows: np.ndarray, kind: int, limit: int) -> np.ndarray:
+        """Which of ``rows`` are in a run of at most ``limit`` rows of ``kind`` between two other rows."""
+        size = len(self.kinds)
+
+        def gap(side: int) -> np.ndarray:
+            steps = np.full(len(rows), -size)
+            for k in range(limit, 0, -1):
+                there = rows + side * k
+                inside = (there >= 0) & (there < size)
+                at = np.where(inside, there, 0)
+                inside &= self.stretch[at] == self.stretch[rows]
+                ends = inside & (self.kinds[at] != kind)
+                steps = np.where(ends, k, np.where(inside, steps, -size))
+            return steps
+
+        back, ahead = gap(-1), gap(1)
+        held = (self.kinds[rows] == kind) & (self.length[rows] >= limit + 2)
+        return held & (back > 0) & (ahead > 0) & (back + ahead - 1 <= limit)
+
+    def run(self, position: np.ndarray, other: np.ndarray) -> int:
+        """Remove classes until all that are left may stay; returns the number of waves."""
+        size = len(self.kinds)
+        counts = np.bincount(position, minlength=size)
+        order = np.argsort(other, kind="stable")
+        partners, edges = position[order], np.searchsorted(other[order], np.arange(size + 1))
+        reach = np.arange(-max(SHORT_RUNS.values()) - 1, max(SHORT_RUNS.values()) + 2)
+        look, waves = np.flatnonzero(self.kinds), 0
+        while len(look):
+            fall = counts[look] == 0
+            for number, limit in enumerate(SHORT_RUNS.values(), 1):
+                fall |= self.too_short(look, number, limit)
+            # All carbons of one residue change together.
+            touched = np.unique(self.residue[look[fall]])
+            first, end = (np.searchsorted(self.residues, touched, side) for side in ("left", "right"))
+            gone = self.by_residue[_ranges(first, end)]
+            gone = gone[self.kinds[gone] > 0]
+            if not len(gone):
+                break
+            waves += 1
+            self.kinds[gone] = 0
+            lost = partners[_ranges(edges[gone], edges[gone + 1])]
+            np.subtract.at(counts, lost, 1)
+            near = (gone[:, None] + reach).ravel()
+            look = np.unique(np.concatenate([lost, near[(near >= 0) & (near < size)]]))
+            look = look[self.kinds[look] > 0]
+        return waves
+
+
+def _ranges(first: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Numbers from every ``first`` to before its ``end``."""
+    lengths = end - first
+    total = np.cumsum(lengths)
+    return np.arange(total[-1] if len(total) else 0) + np.repeat(first - total + lengths, lengths)
+
+
+def _settle_groups(state: DataFrame, support: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Pruned rows of groups that each fit one task."""
+
+    def settle(rows: pa.Table, pairs: pa.Table) -> pa.Table:
+        rows = rows.sort_by("position")
+        names = rows.column("class").to_pylist()
+        kinds = np.array([KINDS.get(name, 0) for name in names], np.int64)
+        places = rows.column("position").to_numpy()
+        residues = [rows.column(c).combine_chunks().dictionary_encode("encode").indices.to_numpy() for c in ("chain", "resid")]
+        residue = np.unique(np.stack(residues), axis=1, return_inverse=True)[1].ravel()
+        group = Pruning(kinds, rows.column("stretch").to_numpy(), rows.column("stretch_length").to_numpy(), residue)
+        before = kinds.copy()
+        # A side without rows of the group comes without columns.
+        held = [pairs.column(c).to_numpy() if c in pairs.column_names else places[:0] for c in ("_from", "_to")]
+        group.run(*(np.searchsorted(places, side) for side in held))
+        fallen = pa.array(group.kinds != before)
+        kept = pc.if_else(fallen, "OTHER", rows.column("class"))
+        return rows.set_column(rows.schema.get_field_index("class"), "class", kept)
+
+    # New names keep the two sides apart where they come from one table.
+    named = [F.col(k).alias(f"_key{i}") for i, k in enumerate(keys)]
+    pairs = support.select(*named, F.col("position").alias("_from"), F.col("other").alias("_to"))
+    both = state.groupBy(*keys).cogroup(pairs.groupBy(*[f"_key{i}" for i in range(len(keys))]))
+    return both.applyInArrow(settle, state.schema)
+
+
+def prune_runs(
+    carbons: DataFrame,
+    keys: Sequence[str],
+    max_group_rows: int = GROUP_ROWS,
+    max_group_pairs: int = GROUP_PAIRS,
+) -> DataFrame:
     """Remove unsupported and too short helices and strands until none is left.
 
     ``carbons`` has one alpha carbon per row: ``keys``, dense ``position`` in
     load order, ``chain, resid, x, y, z`` and ``class``. A class without a
     supporting partner of the same class, or in a too short run, becomes OTHER.
-    Removals only make more removals possible, so all rows are judged at once
-    in each pass and the result does not depend on the order. Every pass but the
-    last removes a class, so the passes end; groups that a pass leaves as they
-    are have their result and take no part in the next one.
+    Removals only make more removals possible, so the result does not depend on
+    their order. A group of bounded rows and pairs is settled by one task with a
+    worklist; larger ones take passes over all of their rows, and a group that a
+    pass leaves as it is takes no part in the next one.
     """
-    spark = carbons.sparkSession
-    support = durable(_supports(carbons, keys))
-    state = durable(_in_frames(carbons, keys))
+    whole = list(keys) or ["_group"]
+    rows = carbons if keys else carbons.withColumn("_group", F.lit(0))
+    support = durable(_supports(rows, whole))
+    state = durable(_in_frames(rows, whole))
+    counts = state.select(*whole, F.lit(1).alias("_rows"), F.lit(0).alias("_pairs")).union(
+        support.select(*whole, F.lit(0), F.lit(1))
+    )
+    sums = counts.groupBy(*whole).agg(F.sum("_rows").alias("_rows"), F.sum("_pairs").alias("_pairs"))
+    large = durable(
+        sums.filter((F.col("_rows") > max_group_rows) | (F.col("_pairs") > max_group_pairs)).select(*whole)
+    )
+    if large.isEmpty():
+        pruned = _settle_groups(state, support, whole)
+    else:
+        small = [join_same(df, large, whole, "left_anti") for df in (state, support)]
+        big = [join_same(df, large, whole, "left_semi") for df in (state, support)]
+        pruned = _settle_groups(*small, whole).unionByName(_settle_in_passes(*big, whole))
+    return pruned.select(*carbons.columns)
+
+
+def _settle_in_passes(state: DataFrame, support: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Pruned rows of groups of any size; every pass but the last removes a class."""
+    spark = state.sparkSession
     columns = state.columns
     settled = scratch_table(spark, "settled")
     while True:
@@ -219,12 +342,12 @@ def prune_runs(carbons: DataFrame, keys: Sequence[str]) -> DataFrame:
             marked.withColumn("class", F.when(F.col("_gone"), "OTHER").otherwise(F.col("class")))
             .select(*columns, "_gone")
         )
-        moving = durable(state.filter("_gone").select(*keys).distinct()) if keys else state.filter("_gone")
+        moving = durable(state.filter("_gone").select(*keys).distinct())
         state = state.select(*columns)
         if moving.isEmpty():
             break
-        if keys:
-            join_same(state, moving, keys, "left_anti").write.mode("append").parquet(settled)
-            state = join_same(state, moving, keys, "left_semi")
+        join_same(state, moving, keys, "left_anti").write.mode("append").parquet(settled)
+        state = join_same(state, moving, keys, "left_semi")
+        support = join_same(support, moving, keys, "left_semi")
     state.write.mode("append").parquet(settled)
-    return spark.read.parquet(settled).drop("stretch", "stretch_length")
+    return spark.read.parquet(settled)

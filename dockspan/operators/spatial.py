@@ -8,6 +8,7 @@ from itertools import product
 from pyspark.sql import DataFrame, functions as F
 
 from dockspan.functions import vectors as V
+from dockspan.operators.joins import join_same
 from dockspan.operators.sizing import BROADCAST_ROWS, fits_broadcast
 
 # Cells are two radii wide, so what is near a point lies in two cells per axis.
@@ -41,6 +42,7 @@ def distance_join(
 ) -> DataFrame:
     """All pairs of equal ``keys`` closer than ``radius`` (or at it, if ``inclusive``).
 
+    A NULL key equals a NULL key, as in a grouping.
     Both sides are put on a grid and one side looks into the eight cells that
     its surroundings touch, so that the join is an equi-join on ``(keys, cell)``
     followed by the exact test. Pass the smaller side right. While it fits a
@@ -64,7 +66,7 @@ def distance_join(
     gap = V.distance(V.vec(left_prefix), V.vec(right_prefix))
     near = gap <= radius if inclusive else gap < radius
     kept = [*left.columns, *[c for c in right.columns if c not in keys]]
-    return near_left.join(near_right, on).filter(near).select(*kept, gap.alias(name))
+    return join_same(near_left, near_right, on).filter(near).select(*kept, gap.alias(name))
 
 
 def _gridded(df: DataFrame, prefix: str, radius: float, around: bool = False) -> DataFrame:
@@ -95,8 +97,10 @@ def _may_be_crowded(left, right, on, max_cell_pairs) -> bool:
 
 
 def _cut_crowded_cells(left, right, on, max_cell_pairs):
-    load = left.groupBy(*on).agg(F.count(F.lit(1)).alias("_l")).join(
-        right.groupBy(*on).agg(F.count(F.lit(1)).alias("_r")), on
+    load = join_same(
+        left.groupBy(*on).agg(F.count(F.lit(1)).alias("_l")),
+        right.groupBy(*on).agg(F.count(F.lit(1)).alias("_r")),
+        on,
     )
     # Parts of this many rows on both sides give max_cell_pairs; a side shorter than that stays
     # whole and the other one is cut the finer.
@@ -118,7 +122,7 @@ def _cut_crowded_cells(left, right, on, max_cell_pairs):
         parts = F.coalesce(own_parts, F.lit(1))
         place = F.pmod(F.xxhash64(*[F.col(c) for c in df.columns]), parts).cast("int")
         copies = F.explode(F.sequence(F.lit(0), F.coalesce(other_parts, F.lit(1)) - 1))
-        return df.join(crowded, on, "left").select(*df.columns, place.alias(own), copies.alias(other))
+        return join_same(df, crowded, on, "left").select(*df.columns, place.alias(own), copies.alias(other))
 
     return (
         dealt(left, "_lpart", "_lparts", "_rpart", "_rparts"),

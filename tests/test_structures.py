@@ -177,11 +177,27 @@ def test_pruning_equals_sequential_rules(spark):
     df = spark.createDataFrame(
         rows, "g int, position long, resid int, chain string, x double, y double, z double, class string"
     )
-    got = {}
-    for r in residues.prune_runs(df, ["g"]).orderBy("g", "position").collect():
-        got.setdefault(r.g, []).append(r["class"])
-    assert got == want
+    # One task a group, passes over all groups, and both side by side.
+    for limits in ((200_000, 4_000_000), (0, 0), (28, 20)):
+        got = {}
+        for r in residues.prune_runs(df, ["g"], *limits).orderBy("g", "position").collect():
+            got.setdefault(r.g, []).append(r["class"])
+        assert got == want
     assert any("ALPHA" in v for v in want.values())
+    alone = df.filter("g = 3").drop("g")
+    assert [r["class"] for r in residues.prune_runs(alone, []).orderBy("position").collect()] == want[3]
+
+
+def test_a_wave_looks_at_the_neighbours_of_what_fell():
+    """A chain of supports falls from its end, one row a wave; every pair is taken away once."""
+    size = 400
+    kinds, apart = np.ones(size, np.int64), np.arange(size)
+    group = residues.Pruning(kinds, apart, np.ones(size, np.int64), apart)
+    looked = []
+    plain = group.too_short
+    group.too_short = lambda rows, kind, limit: (looked.append(len(rows)), plain(rows, kind, limit))[1]
+    assert group.run(np.arange(size - 1), np.arange(1, size)) == size
+    assert not group.kinds.any() and max(looked[2:]) < 20
 
 
 def test_torsions_of_two_residues(spark):
