@@ -3,16 +3,24 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from math import isqrt
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
+from dockspan.functions.columns import present
+from dockspan.operators.durable import durable
 from dockspan.operators.joins import join_same
-from dockspan.operators.ordering import WINDOW_ROWS, largest_group, ranked, running
+from dockspan.operators.ordering import WINDOW_ROWS, largest_group, ranked
 
-# log2 of the number of rows whose order one task compares directly.
-BLOCK_BITS = 16
+# Rows whose order one task compares directly.
+BLOCK_ROWS = 65_536
+
+
+def complete_pairs(rows: DataFrame, x: str, y: str) -> DataFrame:
+    """Rows that have both values; NULL and NaN are missing alike."""
+    return rows.filter(present(F.col(x).cast("double")).isNotNull() & present(F.col(y).cast("double")).isNotNull())
 
 
 def with_mid_rank(
@@ -23,17 +31,57 @@ def with_mid_rank(
     max_group_rows: int = WINDOW_ROWS,
     largest: int | None = None,
 ) -> DataFrame:
-    """Ascending rank where equal values share the mean of their places."""
-    levels = rows.groupBy(*group, value).agg(F.count(F.lit(1)).alias("_n"))
-    places = running(
-        levels,
-        group,
-        [F.col(value)],
-        {"_upto": F.col("_n")},
-        max_group_rows=max_group_rows,
-        largest=largest,
-    ).select(*group, value, (F.col("_upto") - (F.col("_n") - 1) / 2.0).alias(name))
-    return join_same(rows, places, [*group, value])
+    """Ascending rank where equal values share the mean of their places.
+
+    Small groups take plain windows. Otherwise rows are dealt by range of
+    ``(group, value)`` and row number, so that a very frequent value spreads over many
+    slices too; a slice ranks its own rows, and runs of equal values that go on
+    over its border get their places from a table of at most two runs a slice.
+    """
+    if largest is None:
+        largest = largest_group(rows, group)
+    if group and largest <= max_group_rows:
+        before = F.rank().over(Window.partitionBy(*group).orderBy(value))
+        same = F.count(F.lit(1)).over(Window.partitionBy(*group, value))
+        return rows.withColumn(name, before + (same - 1) / 2.0)
+    keys = [F.col(c) for c in group]
+    dealt = rows.withColumn("_row", F.monotonically_increasing_id())
+    sliced = durable(
+        dealt.repartitionByRange(*keys, F.col(value), F.col("_row")).drop("_row").withColumn("_slice", F.spark_partition_id())
+    )
+    parts = sliced.groupBy(*group, "_slice").agg(
+        F.count(F.lit(1)).alias("_rows"), F.min(value).alias("_low"), F.max(value).alias("_high")
+    )
+    by_slice = Window.partitionBy(*group).orderBy("_slice")
+    parts = parts.select(
+        "*",
+        F.coalesce(F.sum("_rows").over(by_slice.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"),
+        F.count(F.lit(1)).over(Window.partitionBy(*group)).alias("_slices"),
+    )
+    # Groups of several slices have at most two parts a slice.
+    parts = durable(parts.filter("_slices > 1").drop("_slices"))
+    at_borders = join_same(sliced.select(*group, "_slice", value), F.broadcast(parts), [*group, "_slice"]).filter(
+        (F.col(value) == F.col("_low")) | (F.col(value) == F.col("_high"))
+    )
+    runs = at_borders.groupBy(*group, value, "_slice").agg(
+        F.count(F.lit(1)).alias("_n"),
+        F.first(F.col("_before") + F.when(F.col(value) == F.col("_low"), 0)).alias("_first"),
+        F.first(F.col("_before") + F.col("_rows")).alias("_end"),
+    )
+    # Only the first of several slices can have other values before the run.
+    first = F.min(F.coalesce("_first", F.col("_end") - F.col("_n")))
+    joined = runs.groupBy(*group, value).agg(
+        F.count(F.lit(1)).alias("_parts"), (first + (F.sum("_n") + 1) / 2.0).alias("_mean")
+    )
+    joined = durable(joined.filter("_parts > 1").drop("_parts"))
+    local = Window.partitionBy(*group, "_slice")
+    places = F.rank().over(local.orderBy(value)) + (F.count(F.lit(1)).over(Window.partitionBy(*group, "_slice", value)) - 1) / 2.0
+    placed = join_same(
+        sliced.withColumn("_place", places), F.broadcast(parts.select(*group, "_slice", "_before")), [*group, "_slice"], "left"
+    )
+    placed = join_same(placed, F.broadcast(joined), [*group, value], "left")
+    mean = F.coalesce("_mean", F.col("_place") + F.coalesce("_before", F.lit(0)))
+    return placed.select(*rows.columns, mean.alias(name))
 
 
 def linear_correlations(
@@ -44,9 +92,9 @@ def linear_correlations(
     max_group_rows: int = WINDOW_ROWS,
     largest: int | None = None,
 ) -> DataFrame:
-    """Pearson on the values and Spearman on their mid-ranks."""
+    """Pearson on the values and Spearman on their mid-ranks; incomplete pairs are left out."""
     limits = {"max_group_rows": max_group_rows, "largest": largest}
-    narrow = rows.select(*group, x, y)
+    narrow = complete_pairs(rows.select(*group, x, y), x, y)
     if largest is None:
         limits["largest"] = largest_group(narrow, group)
     placed = with_mid_rank(narrow, group, x, "_rank_x", **limits)
@@ -85,51 +133,49 @@ def count_inversions(order: np.ndarray) -> int:
     return total
 
 
-def _inversions(
-    places: DataFrame, group: Sequence[str], block_bits: int, levels: int, max_group_rows: int
-) -> DataFrame:
+def _inversions(places: DataFrame, group: Sequence[str], block: int, several: bool) -> DataFrame:
     """Pairs with rising ``_px`` and falling ``_py`` per group; both are 1..n.
 
-    Rows are cut into blocks of 2^block_bits places in x. Pairs within a block
-    are counted block by block. Pairs across blocks first differ in some
-    higher bit of the block number: for each of its ``levels`` bits, a row with
-    bit 1 counts the rows with bit 0 and the same higher bits that come later
-    in y.
+    Places are cut into blocks of ``block`` in x and in y. Pairs of one x-block are
+    counted by one task, pairs of one y-block and different x-blocks by another;
+    all other pairs follow from the counts of the grid of blocks alone.
     """
-    blocks = places.withColumn("_b", F.shiftright(F.col("_px") - 1, block_bits))
-    fields = ", ".join(f"{places.schema[c].name} {places.schema[c].dataType.simpleString()}" for c in group)
-
-    def within(keys: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        found = count_inversions(pdf.sort_values("_px")["_py"].to_numpy())
-        return pd.DataFrame([[*keys[:-1], found]], columns=[*group, "inversions"])
-
-    inside = (
-        blocks.groupBy(*group, "_b")
-        .applyInPandas(within, f"{fields}, inversions bigint")
-        .groupBy(*group)
-        .agg(F.sum("inversions").alias("inversions"))
-    )
-    if levels == 0:
-        return inside
-    by_bit = blocks.withColumn("_bit", F.explode(F.sequence(F.lit(0), F.lit(levels - 1))))
-    halves = by_bit.select(
+    blocks = places.select(
         *group,
-        "_bit",
-        F.expr("shiftright(_b, _bit + 1)").alias("_node"),
-        F.expr("shiftright(_b, _bit) % 2").alias("_upper"),
+        "_px",
         "_py",
+        ((F.col("_px") - 1) / block).cast("bigint").alias("_bx"),
+        ((F.col("_py") - 1) / block).cast("bigint").alias("_by"),
     )
-    counted = running(
-        halves,
-        [*group, "_bit", "_node"],
-        [F.col("_py").desc()],
-        {"_lower": 1 - F.col("_upper")},
-        max_group_rows=max_group_rows,
-    )
-    across = counted.groupBy(*group).agg(
-        F.sum(F.col("_upper") * F.col("_lower")).alias("inversions")
-    )
-    return inside.unionByName(across).groupBy(*group).agg(F.sum("inversions").alias("inversions"))
+    fields = ", ".join(f"`{c}` {places.schema[c].dataType.simpleString()}" for c in group)
+    fields = f"{fields}, inversions bigint" if group else "inversions bigint"
+
+    def counted(by: str, order: list[str]) -> DataFrame:
+        def within(keys: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+            found = count_inversions(pdf.sort_values(order)["_py"].to_numpy())
+            return pd.DataFrame([[*keys[:-1], found]], columns=[*group, "inversions"])
+
+        return blocks.groupBy(*group, by).applyInPandas(within, fields)
+
+    # In order of (x-block, y), rows of one x-block show no inversion among themselves.
+    found = counted("_bx", ["_px"])
+    if several:
+        found = found.unionByName(counted("_by", ["_bx", "_py"])).unionByName(_grid_inversions(blocks, group))
+    return found.groupBy(*group).agg(F.sum("inversions").alias("inversions"))
+
+
+def _grid_inversions(blocks: DataFrame, group: Sequence[str]) -> DataFrame:
+    """Inversions between rows whose x-blocks and y-blocks both differ, from counts by cell and two prefix sums."""
+    cells = durable(blocks.groupBy(*group, "_bx", "_by").agg(F.count(F.lit(1)).alias("_n")))
+    sides = cells.groupBy(*group).agg(F.max("_bx").alias("_last"))
+    every = F.sequence(F.lit(0).cast("bigint"), F.col("_last"))
+    grid = sides.select(*group, F.explode(every).alias("_bx"), "_last").select(*group, "_bx", F.explode(every).alias("_by"))
+    full = join_same(grid, cells, [*group, "_bx", "_by"], "left").fillna(0, ["_n"])
+    row = Window.partitionBy(*group, "_bx").orderBy(F.desc("_by")).rowsBetween(Window.unboundedPreceding, -1)
+    later_y = full.withColumn("_above", F.coalesce(F.sum("_n").over(row), F.lit(0)))
+    column = Window.partitionBy(*group, "_by").orderBy("_bx").rowsBetween(Window.unboundedPreceding, -1)
+    before = later_y.withColumn("_ahead", F.coalesce(F.sum("_above").over(column), F.lit(0)))
+    return before.groupBy(*group).agg(F.sum(F.col("_n") * F.col("_ahead")).alias("inversions"))
 
 
 def kendall_tau(
@@ -138,28 +184,27 @@ def kendall_tau(
     x: str,
     y: str,
     ties: Sequence[str],
-    block_bits: int = BLOCK_BITS,
+    block_rows: int = BLOCK_ROWS,
     max_group_rows: int = WINDOW_ROWS,
     largest: int | None = None,
 ) -> DataFrame:
-    """Tau-b per group without forming pairs.
+    """Tau-b per group without forming pairs; incomplete pairs are left out.
 
     Discordant pairs are the inversions of y after sorting by (x, y); the
-    concordant ones follow from the numbers of tied pairs.
+    concordant ones follow from the numbers of tied pairs. Blocks grow with the
+    root of the largest group, so that the grid of blocks stays far below its rows.
     """
     extra = [F.col(t) for t in ties]
-    narrow = rows.select(*group, x, y, *ties)
+    narrow = complete_pairs(rows.select(*group, x, y, *ties), x, y)
     largest = largest_group(narrow, group) if largest is None else largest
     limits = {"max_group_rows": max_group_rows, "largest": largest}
     places = ranked(narrow, group, [F.col(x), F.col(y), *extra], "_px", **limits)
     places = ranked(places, group, [F.col(y), F.col(x), *extra], "_py", **limits)
-    levels = (max(largest - 1, 0) >> block_bits).bit_length()
-    swaps = _inversions(
-        places.select(*group, "_px", "_py"), group, block_bits, levels, max_group_rows
-    )
-    tied_x = _tied_pairs(rows, group, [x], "_tx")
-    tied_y = _tied_pairs(rows, group, [y], "_ty").drop("_ty_rows")
-    tied_xy = _tied_pairs(rows, group, [x, y], "_txy").drop("_txy_rows")
+    block = max(block_rows, 4 * isqrt(largest))
+    swaps = _inversions(places.select(*group, "_px", "_py"), group, block, largest > block)
+    tied_x = _tied_pairs(narrow, group, [x], "_tx")
+    tied_y = _tied_pairs(narrow, group, [y], "_ty").drop("_ty_rows")
+    tied_xy = _tied_pairs(narrow, group, [x, y], "_txy").drop("_txy_rows")
     keys = list(group)
     joined = tied_x
     for part in (tied_y, tied_xy, swaps):
@@ -185,10 +230,11 @@ def ranking_metrics(
     ties: Sequence[str],
     max_group_rows: int = WINDOW_ROWS,
 ) -> DataFrame:
-    """Pearson, Spearman and Kendall per group."""
-    limits = {"max_group_rows": max_group_rows, "largest": largest_group(rows, group)}
-    tau = kendall_tau(rows, group, x, y, ties, **limits).drop("n")
-    return join_same(linear_correlations(rows, group, x, y, **limits), tau, group)
+    """Pearson, Spearman and Kendall per group; a group without a complete pair has no row."""
+    complete = complete_pairs(rows, x, y)
+    limits = {"max_group_rows": max_group_rows, "largest": largest_group(complete, group)}
+    tau = kendall_tau(complete, group, x, y, ties, **limits).drop("n")
+    return join_same(linear_correlations(complete, group, x, y, **limits), tau, group)
 
 
 def join_experiment(

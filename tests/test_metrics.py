@@ -3,6 +3,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from dockspan.operators import correlation, metrics
 from dockspan.plans.evaluation import evaluate_screening
@@ -98,21 +99,21 @@ def tau_b(x, y):
     return s / math.sqrt(tx * ty) if tx * ty else None
 
 
-@pytest.mark.parametrize("block_bits", [16, 3, 0])
+@pytest.mark.parametrize("block_rows", [65_536, 8])
 @pytest.mark.parametrize("limits", LIMITS, ids=["window", "sliced"])
-def test_rank_correlations(spark, block_bits, limits):
+def test_rank_correlations(spark, block_rows, limits):
     rng = random.Random(11)
     rows = [
         (rng.choice(["a", "b", "b", "b"]), i, float(rng.randint(0, 15)), float(rng.randint(0, 9)))
         for i in range(120)
     ]
     df = spark.createDataFrame(rows, "target string, id int, x double, y double")
-    tau = correlation.kendall_tau(df, ["target"], "x", "y", ["id"], block_bits=block_bits, **limits)
+    tau = correlation.kendall_tau(df, ["target"], "x", "y", ["id"], block_rows=block_rows, **limits)
     for row in tau.collect():
         mine = [r for r in rows if r[0] == row.target]
         assert row.kendall == pytest.approx(tau_b([r[2] for r in mine], [r[3] for r in mine]))
     self_tau = correlation.kendall_tau(
-        df.withColumn("same", df.x), ["target"], "x", "same", ["id"], block_bits=block_bits
+        df.withColumn("same", df.x), ["target"], "x", "same", ["id"], block_rows=block_rows
     )
     assert all(r.kendall == pytest.approx(1.0) for r in self_tau.collect())
 
@@ -123,3 +124,52 @@ def test_linear_correlations(spark):
     got = correlation.linear_correlations(df, ["target"], "x", "y", max_group_rows=0).first()
     assert got.pearson == pytest.approx(np.corrcoef([1, 1, 3, 4], [2, 4, 4, 9])[0, 1])
     assert got.spearman == pytest.approx(np.corrcoef([1.5, 1.5, 3, 4], [1, 2.5, 2.5, 4])[0, 1])
+
+
+@pytest.mark.parametrize("block", [1, 3, 8, 40])
+def test_blocks_and_their_grid_count_every_inversion_once(spark, block):
+    rng = np.random.default_rng(block)
+    orders = {"a": rng.permutation(45), None: rng.permutation(38), "c": np.arange(30)[::-1], "d": np.array([0])}
+    rows = [(g, x + 1, int(y) + 1) for g, order in orders.items() for x, y in enumerate(order)]
+    df = spark.createDataFrame(rows, "g string, _px long, _py long")
+    got = {r.g: r.inversions for r in correlation._inversions(df, ["g"], block, True).collect()}
+    assert got == {g: correlation.count_inversions(order) for g, order in orders.items()}
+
+
+def mid_ranks(values):
+    return {v: sum(w < v for w in values) + (sum(w == v for w in values) + 1) / 2 for v in values}
+
+
+@pytest.mark.parametrize("limits", LIMITS, ids=["window", "sliced"])
+def test_mid_ranks_over_slices(spark, limits):
+    rng = random.Random(2)
+    # One value holds half of all rows of one large group.
+    rows = [("hot", 5.0 if rng.random() < 0.5 else float(rng.randint(0, 12))) for _ in range(3000)]
+    rows += [(rng.choice(["a", None]), float(rng.randint(0, 3))) for _ in range(60)] + [("one", 1.0)]
+    df = spark.createDataFrame(rows, "g string, v double").repartition(5)
+    want = {g: mid_ranks([v for h, v in rows if h == g]) for g in {g for g, _ in rows}}
+    got = correlation.with_mid_rank(df, ["g"], "v", "rank", **limits).collect()
+    assert len(got) == len(rows) and all(r["rank"] == want[r.g][r.v] for r in got)
+    whole = correlation.with_mid_rank(df.select("v"), [], "v", "rank", **limits).collect()
+    all_of = mid_ranks([v for _, v in rows])
+    assert len(whole) == len(rows) and all(r["rank"] == all_of[r.v] for r in whole)
+
+
+def test_slices_of_a_frequent_value_are_even(spark):
+    df = spark.range(40_000).selectExpr("0 AS g", "CASE WHEN id % 2 = 0 THEN 7.0 ELSE id * 1.0 END AS v")
+    df = df.withColumn("_row", F.monotonically_increasing_id()).repartitionByRange(16, "g", "v", "_row")
+    sizes = [r["count"] for r in df.groupBy(F.spark_partition_id()).count().collect()]
+    assert max(sizes) < 2 * sorted(sizes)[len(sizes) // 2]
+
+
+@pytest.mark.parametrize("limits", LIMITS, ids=["window", "sliced"])
+def test_incomplete_pairs_are_left_out(spark, limits):
+    nan = float("nan")
+    whole = [("t", 1, 1.0, 2.0), ("t", 2, 2.0, 1.0), ("t", 3, 3.0, 4.0), ("t", 4, 4.0, 3.0)]
+    odd = [("t", 5, None, 9.0), ("t", 6, 9.0, nan), ("t", 7, nan, None), ("u", 1, None, 1.0)]
+    schema = "target string, id int, x double, y double"
+    for rows in (whole, whole + odd):
+        got = correlation.ranking_metrics(spark.createDataFrame(rows, schema), ["target"], "x", "y", ["id"], **limits).collect()
+        assert [(r.target, r.n, round(r.pearson, 9), round(r.spearman, 9), round(r.kendall, 9)) for r in got] == [
+            ("t", 4, 0.6, 0.6, round(1 / 3, 9))
+        ]
