@@ -96,26 +96,28 @@ def top_scores(
 
 
 def result_summary(results: DataFrame, score: str = "score", poses: str = "total_poses") -> DataFrame:
-    """One row: mean, sample deviation, range and multi-pose counts."""
+    """One row: mean, sample deviation, range and multi-pose counts; missing scores are left out of the first three."""
+    value = present(F.col(score).cast("double"))
     several = F.col(poses) > 1
     return results.agg(
         F.count(F.lit(1)).alias("n_compounds"),
-        F.avg(score).alias("mean_score"),
-        F.stddev_samp(score).alias("std_score"),
-        F.min(score).alias("min_score"),
-        F.max(score).alias("max_score"),
+        F.avg(value).alias("mean_score"),
+        F.stddev_samp(value).alias("std_score"),
+        F.min(value).alias("min_score"),
+        F.max(value).alias("max_score"),
         F.count_if(several).alias("multi_pose_compounds"),
         F.avg(F.when(several, F.col(poses))).alias("mean_poses_multi"),
     )
 
 
 def prediction_stats(scores: DataFrame, score: str, group: Sequence[str] = ()) -> DataFrame:
-    """Range, mean and population deviation; scores within [0, 1] are probabilities."""
-    within = (F.min(score) >= 0.0) & (F.max(score) <= 1.0)
+    """Range, mean and population deviation; scores within [0, 1] are probabilities. Missing scores are left out."""
+    value = present(F.col(score).cast("double"))
+    within = (F.min(value) >= 0.0) & (F.max(value) <= 1.0)
     return scores.groupBy(*group).agg(
-        F.min(score).alias("min_score"),
-        F.max(score).alias("max_score"),
-        F.avg(score).alias("mean_score"),
-        F.stddev_pop(score).alias("std_score"),
+        F.min(value).alias("min_score"),
+        F.max(value).alias("max_score"),
+        F.avg(value).alias("mean_score"),
+        F.stddev_pop(value).alias("std_score"),
         F.when(within, "probability").otherwise("raw").alias("output_kind"),
     )

@@ -60,10 +60,11 @@ def to_wide(
 ) -> DataFrame:
     """One row per key with the listed features as columns.
 
-    Every key keeps its row, also one without any listed feature. The pivot
-    places values by their feature's number, in one array per row.
+    Every key keeps its row, also one without any listed feature. Values of one
+    feature are added up, whatever families give them; the pivot then places the
+    sums by their feature's number, in one array per row.
     """
-    rows = long.groupBy(*keys).pivot("feature", list(listed)).agg(F.max("value"))
+    rows = long.groupBy(*keys).pivot("feature", list(listed)).agg(F.sum("value"))
     value = [column(c) for c in listed]
     if fill is not None:
         value = [F.coalesce(v, F.lit(fill)) for v in value]

@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
+from dockspan.functions.columns import present
 from dockspan.operators.consensus import best_first
 from dockspan.operators.joins import join_same
 from dockspan.operators.ordering import WINDOW_ROWS, largest_group, ranked, running
@@ -24,9 +25,9 @@ def collapse_poses(
     label: str,
     first: Sequence[str],
 ) -> DataFrame:
-    """Best score per base name, with the label of its first row."""
+    """Best score per base name, with the label of its first row; missing scores only where there is no other."""
     return rows.groupBy(*group, base).agg(
-        F.max(score).alias(score),
+        F.max(present(F.col(score).cast("double"))).alias(score),
         F.min_by(label, F.struct(*first)).alias(label),
     )
 
@@ -107,16 +108,18 @@ def ranking_areas(
     """ROC area and average precision per group; NULL when undefined.
 
     Rows are first reduced to one per distinct score, so ties need no
-    tie-break and many equal scores cost nothing after the first shuffle.
+    tie-break and many equal scores cost nothing after the first shuffle. Missing
+    scores are one level below all others.
     """
     hit = F.col(label).cast("bigint")
-    levels = rows.groupBy(*group, score).agg(
+    level = present(F.col(score).cast("double")).alias("_level")
+    levels = rows.groupBy(*group, level).agg(
         F.count(F.lit(1)).alias("_n"), F.sum(hit).alias("_hits")
     )
     curve = running(
         levels,
         group,
-        [F.col(score).desc()],
+        [F.col("_level").isNull(), F.col("_level").desc()],
         {"_cum_n": F.col("_n"), "_cum_hits": F.col("_hits")},
         max_group_rows=max_group_rows,
         largest=largest,

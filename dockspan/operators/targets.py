@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from dockspan.functions.fixed_values import LOWER_CASE_LISTS, TARGET_LISTS
 from dockspan.functions.ids import target_of_file
+from dockspan.operators.joins import join_same
 from dockspan.operators.sizing import small
 
 
@@ -53,22 +54,17 @@ def require_compound(
 
 
 def not_done(found: DataFrame, done: DataFrame, key: str = "target") -> DataFrame:
-    """Found items without a result yet."""
-    return found.join(done.select(key), key, "left_anti")
+    """Found items without a result yet; a NULL item is done where a NULL one is."""
+    return join_same(found, done.select(key), [key], "left_anti")
 
 
 def coverage(found: DataFrame, processed: DataFrame, key: str = "target") -> DataFrame:
     """Each found target with the number of its processed rows."""
     counts = processed.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
-    return (
-        found.select(key)
-        .distinct()
-        .join(counts, key, "left")
-        .select(
-            key,
-            F.coalesce("n", F.lit(0)).cast("bigint").alias("n_rows"),
-            F.col("n").isNotNull().alias("processed"),
-        )
+    return join_same(found.select(key).distinct(), counts, [key], "left").select(
+        key,
+        F.coalesce("n", F.lit(0)).cast("bigint").alias("n_rows"),
+        F.col("n").isNotNull().alias("processed"),
     )
 
 

@@ -14,7 +14,7 @@ GROUP = ["target"]
 
 EARLY = """
 , placed AS (SELECT target, label,
-    row_number() OVER (PARTITION BY target ORDER BY score DESC, id) AS place,
+    row_number() OVER (PARTITION BY target ORDER BY CASE WHEN NOT isnan(score) THEN score END DESC NULLS LAST, id) AS place,
     count(*) OVER (PARTITION BY target) AS n,
     sum(label) OVER (PARTITION BY target) AS hits FROM screen),
 early AS (SELECT target, CAST(max(n) AS BIGINT) AS n_rows, CAST(max(hits) AS BIGINT) AS n_hits,
@@ -35,9 +35,10 @@ bed AS (SELECT *, (1 - exp(-a * ra)) / (ra * (1 - exp(-a))) AS hi,
     (1 - exp(a * ra)) / (ra * (1 - exp(a))) AS lo FROM rie)
 """
 AREAS = """
-, levels AS (SELECT target, score, count(*) AS n, sum(label) AS p FROM screen GROUP BY 1, 2),
+, levels AS (SELECT target, CASE WHEN NOT isnan(score) THEN score END AS score, count(*) AS n, sum(label) AS p
+    FROM screen GROUP BY 1, 2),
 curve AS (SELECT *, sum(n) OVER w AS cn, sum(p) OVER w AS cp FROM levels
-    WINDOW w AS (PARTITION BY target ORDER BY score DESC)),
+    WINDOW w AS (PARTITION BY target ORDER BY score DESC NULLS LAST)),
 areas AS (SELECT target, CAST(sum(p) AS BIGINT) AS n_hits,
     sum((n - p) * (cp - p / 2::DOUBLE)) / (sum(p) * sum(n - p)) AS auc_roc,
     sum(CAST(p AS DOUBLE) * cp / cn) / sum(p) AS auc_pr FROM curve GROUP BY target)
@@ -116,7 +117,7 @@ def metric_summary(spark, sf_dir):
     return rounded(metrics.summarize(per_target, ["ef_1", "bedroc", "auc_roc", "auc_pr"]))
 
 
-PAIRS_SQL = f"WITH pairs AS ({PAIRS})"
+PAIRS_SQL = f"WITH pairs AS (SELECT * FROM ({PAIRS}) WHERE NOT isnan(pred))"
 LINEAR = """
 , places AS (SELECT *,
     rank() OVER (PARTITION BY target ORDER BY pred)

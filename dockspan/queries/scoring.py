@@ -21,7 +21,7 @@ from dockspan.operators.targets import (
     override_ids,
 )
 from dockspan.queries.registry import query, rounded
-from dockspan.queries.views import POSE_KEY, POSE_SCORES, bound_view, pose_scores, table
+from dockspan.queries.views import POSE_KEY, POSE_SCORES, SOME_MISSING, bound_view, pose_scores, table
 
 SCORED = f"""
 WITH pose_scores AS ({POSE_SCORES}),
@@ -111,27 +111,31 @@ def top_compounds(spark, sf_dir):
     "result_summary",
     SCORED
     + BEST
+    + f""", given AS (SELECT * REPLACE (nullif({SOME_MISSING.format('score')}, 'NaN'::DOUBLE) AS score) FROM best)"""
     + """SELECT count(*) AS n_compounds, round(avg(score), 6) AS mean_score,
       round(stddev_samp(score), 6) AS std_score, round(min(score), 6) AS min_score,
       round(max(score), 6) AS max_score,
       count(*) FILTER (WHERE total_poses > 1) AS multi_pose_compounds,
       round(avg(total_poses) FILTER (WHERE total_poses > 1), 6) AS mean_poses_multi
-    FROM best""",
+    FROM given""",
 )
 def result_summary(spark, sf_dir):
-    return rounded(consensus.result_summary(best(spark, sf_dir)))
+    rows = best(spark, sf_dir).withColumn("score", F.expr(SOME_MISSING.format("score")))
+    return rounded(consensus.result_summary(rows))
 
 
 @query(
     "prediction_stats",
     SCORED
+    + f""", given AS (SELECT target, nullif({SOME_MISSING.format('pb')}, 'NaN'::DOUBLE) AS pb FROM scored)"""
     + """SELECT target, round(min(pb), 6) AS min_score, round(max(pb), 6) AS max_score,
       round(avg(pb), 6) AS mean_score, round(stddev_pop(pb), 6) AS std_score,
       CASE WHEN min(pb) >= 0 AND max(pb) <= 1 THEN 'probability' ELSE 'raw' END AS output_kind
-    FROM scored GROUP BY target""",
+    FROM given GROUP BY target""",
 )
 def prediction_stats(spark, sf_dir):
-    return rounded(consensus.prediction_stats(scored(spark, sf_dir), "pb", ["target"]))
+    rows = scored(spark, sf_dir).withColumn("pb", F.expr(SOME_MISSING.format("pb")))
+    return rounded(consensus.prediction_stats(rows, "pb", ["target"]))
 
 
 @query(
@@ -281,13 +285,15 @@ def override_ids_query(spark, sf_dir):
     SCORED
     + f""", based AS (SELECT *, regexp_replace(lib_id, '_[^_]*$', '') AS base_name,
       CASE WHEN contains(lib_id, 'active') THEN 1 ELSE 0 END AS label FROM scored)
-    SELECT target, base_name, round(max(score), 6) AS score,
+    SELECT target, base_name, round(max(nullif({SOME_MISSING.format('score')}, 'NaN'::DOUBLE)), 6) AS score,
       first(label ORDER BY {KEY_SQL}) AS label
     FROM based GROUP BY target, base_name""",
 )
 def vs_aggregate(spark, sf_dir):
     rows = scored(spark, sf_dir).select(
-        "*",
+        *[c for c in POSE_KEY if c != "score"],
+        "target",
+        F.expr(SOME_MISSING.format("score")).alias("score"),
         base_library_name(F.col("lib_id")).alias("base_name"),
         label_from_id(F.col("lib_id")).alias("label"),
     )

@@ -27,16 +27,23 @@ SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice,
        CASE WHEN l_linenumber = 1 THEN NULL ELSE l_discount END AS f_discount, l_tax AS f_tax
 FROM lineitem
 """
+# Scores of which some are missing, by the row's part.
+SOME_MISSING = """CASE l_partkey % 50 WHEN 5 THEN NULL WHEN 7 THEN CAST('NaN' AS DOUBLE) ELSE {0} END"""
+
 FEATURE_KEY = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]
 
 SCREEN = """
 SELECT o_orderpriority AS target, o_orderkey AS id,
-       CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END AS label, o_totalprice AS score
+       CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END AS label,
+       CASE o_orderkey % 89 WHEN 5 THEN NULL WHEN 7 THEN CAST('NaN' AS DOUBLE)
+         ELSE CAST(o_totalprice AS DOUBLE) END AS score
 FROM orders
 """
 
 PAIRS = """
-SELECT n_name AS target, c_custkey AS id, c_acctbal AS pred,
+SELECT n_name AS target, c_custkey AS id,
+       CASE c_custkey % 41 WHEN 5 THEN NULL WHEN 7 THEN CAST('NaN' AS DOUBLE)
+         ELSE CAST(c_acctbal AS DOUBLE) END AS pred,
        round(CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE), 2) AS measured
 FROM customer JOIN orders ON c_custkey = o_custkey JOIN nation ON c_nationkey = n_nationkey
 GROUP BY n_name, c_custkey, c_acctbal
