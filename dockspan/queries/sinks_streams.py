@@ -75,7 +75,7 @@ def stream_ingest(spark, sf_dir):
     + """SELECT target, base_compound, compound_id, round(score, 6) AS score, total_poses FROM best""",
 )
 def stream_best_pose(spark, sf_dir):
-    output, state = scratch_table(spark, "updates"), scratch_table(spark, "state")
+    kept = ingest.LatestRows(scratch_table(spark, "updates"), ["target", "base_compound"], every=2)
     updates = ingest.running_best(streamed_scores(spark, sf_dir), first=POSE_KEY)
-    ingest.write_updates(updates, output, state).awaitTermination()
-    return rounded(ingest.latest(spark, output, ["target", "base_compound"]))
+    ingest.write_updates(updates, kept, scratch_table(spark, "state")).awaitTermination()
+    return rounded(kept.rows(spark))

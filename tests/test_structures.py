@@ -243,10 +243,11 @@ def test_stream_takes_each_file_once(spark, tmp_path):
     spark.createDataFrame(first, schema).write.mode("append").parquet(source)
     rows = ingest.read_stream(spark, source, spark.createDataFrame([], schema).schema)
     updates = ingest.running_best(rows)
-    ingest.write_updates(updates, output, state).awaitTermination()
+    kept = ingest.LatestRows(output, ["target", "base_compound"])
+    ingest.write_updates(updates, kept, state).awaitTermination()
     spark.createDataFrame([("t", "a_pose3", 0.95)], schema).write.mode("append").parquet(source)
     for _ in range(2):
-        ingest.write_updates(updates, output, state).awaitTermination()
-    latest = ingest.latest(spark, output, ["target", "base_compound"])
+        ingest.write_updates(updates, kept, state).awaitTermination()
+    latest = kept.rows(spark)
     got = {r.base_compound: (r.compound_id, r.score, r.total_poses) for r in latest.collect()}
     assert got == {"a": ("a_pose3", 0.95, 3), "b": ("b", 0.5, 1)}
