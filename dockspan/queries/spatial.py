@@ -310,6 +310,67 @@ def pose_features(spark, sf_dir):
     return features.to_wide(long, POSE, PIVOT)
 
 
+def listed_features(count: int = 492) -> list[str]:
+    """Names of contact, energy, category, hydrogen-bond, type and typed-pair features, by their rules."""
+    types = sorted(("C", "A", "N", "OA", "HD", "SA", "NA", "CL"))
+    pairs = [f"({a}, {b})" for i, a in enumerate(types) for b in types[i:]]
+    places = [f"{s} {c}" for s in ("ALPHA", "BETA", "OTHER") for c in ("BACKBONE", "SIDECHAIN")]
+    names = [f"{head} {pair}" for head in ("2.5", "4.0", "ElSum") for pair in pairs]
+    names += [f"{head} {place}" for head in ("BPF", "HC") for place in places]
+    names += [f"HB {place} {donor}" for place in places for donor in ("LIGAND", "RECEPTOR")]
+    names += ["LA N", "LA HD"]
+    typed_names = [f"{p}-{q}".replace(";", "") for p in PROTEIN_TYPE_KEYS for q in COUNTED_LIGAND_TYPES]
+    return names + typed_names[: count - len(names)]
+
+
+FULL_LONG = f"""
+, long AS (
+  SELECT target, pose, concat(CASE WHEN dist < 2.5 THEN '2.5 (' ELSE '4.0 (' END, replace(pair, '_', ', '), ')') AS feature,
+    CAST(1 AS DOUBLE) AS value FROM pairs WHERE dist < 4
+  UNION ALL SELECT target, pose, concat('ElSum (', replace(pair, '_', ', '), ')'),
+    charge * r_charge / nullif(dist, 0) * 1389423.8460104697::DOUBLE FROM pairs WHERE dist < 4
+  UNION ALL SELECT target, pose, concat_ws(' ', 'BPF', structure, chain_side), 1 FROM pairs WHERE dist < 4
+  UNION ALL SELECT target, pose, concat_ws(' ', 'HC', structure, chain_side), 1 FROM pairs
+    WHERE dist < 4 AND element = 'C' AND r_element = 'C'
+  UNION ALL SELECT target, pose, feature, 1 FROM typed
+  UNION ALL SELECT target, pose, feature, value FROM ({ORACLES['bond_features']})
+  UNION ALL SELECT target, pose, concat('LA ', t), CAST(max(CASE WHEN atom_type = t THEN 1 ELSE 0 END) AS DOUBLE)
+    FROM atoms, (VALUES ('N'), ('HD')) k(t) WHERE side = 'ligand' GROUP BY target, pose, t),
+poses AS (SELECT DISTINCT target, pose FROM atoms WHERE side = 'ligand')
+"""
+
+
+def _full_column(name: str) -> str:
+    return f"""round(coalesce(sum(value) FILTER (WHERE feature = '{name}'), 0), 3) AS "{name}\""""
+
+
+@query(
+    "feature_row_full",
+    ATOMS_SQL
+    + pairs_sql(6.0, "<=")
+    + TYPED
+    + FULL_LONG
+    + f"""SELECT p.target, p.pose, {", ".join(map(_full_column, listed_features()))}
+    FROM poses p LEFT JOIN long l ON l.target = p.target AND l.pose = p.pose GROUP BY p.target, p.pose""",
+)
+def feature_row_full(spark, sf_dir):
+    """Every listed feature of all families that come from atom pairs, one row per pose."""
+    ligands, receptors = sides(spark, sf_dir, stored=True)
+    keys = literal_table(spark, ATOM_KEYS, "pdb_atom string, type_key string")
+    known = F.col("ligand_type").isin(COUNTED_LIGAND_TYPES)
+    counted = ligands.withColumn("type_key", F.when(known, F.col("ligand_type")))
+    bonds = contacts.hydrogen_bonds(ligands, receptors, POSE, **HB)
+    long = extraction.union_features(
+        [
+            extraction.interaction_features(counted, typed.with_receptor_types(receptors, keys)),
+            extraction.bond_features(bonds, POSE),
+        ]
+    )
+    listed = listed_features()
+    wide = extraction.feature_row(ligands, long, POSE, listed)
+    return wide.select(*POSE, *[F.round(column(c), 3).alias(c) for c in listed])
+
+
 @query(
     "unknown_types",
     ATOMS_SQL
