@@ -60,12 +60,76 @@ class RankBpe:
             lines = [line.split() for line in file]
         self.ranks = {base64.b64decode(x[0]): int(x[1]) for x in lines if x}
         self.pattern = regex.compile(pattern)
-        self.units = UnitTable(lambda units: (self.merge(u.encode()) for u in units), UNITS_HELD)
+        self.units = UnitTable(self.merge_all, UNITS_HELD)
         spelled = [b""] * (max(self.ranks.values()) + 1)
         for text, rank in self.ranks.items():
             spelled[rank] = text
         self.bytes = Spelling(spelled)
         self.decimals = Spelling([b" %d" % i for i in range(len(spelled))])
+        self.bytes_alone = np.array([self.ranks[bytes([b])] for b in range(256)], np.int64)
+        # The rank of a pair of ids is that of their joined bytes, however the merged token came about.
+        pairs = {
+            self.ranks[text[:at]] << 32 | self.ranks[text[at:]]: rank
+            for text, rank in self.ranks.items()
+            for at in range(1, len(text))
+            if text[:at] in self.ranks and text[at:] in self.ranks
+        }
+        self.pairs = np.array(sorted(pairs), np.int64)
+        self.pair_ranks = np.array([pairs[x] for x in self.pairs.tolist()], np.int64)
+
+    def pair_rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Ranks of pairs of ids, ``NEVER`` where they don't merge."""
+        asked = left << 32 | right
+        at = np.minimum(np.searchsorted(self.pairs, asked), len(self.pairs) - 1)
+        return np.where(self.pairs[at] == asked, self.pair_ranks[at], NEVER)
+
+    def merge_all(self, units: list[str]) -> Iterator[list[int]]:
+        """Ids of many pre-tokens: short ones that are no token merge side by side, one pair each a round."""
+        words = [u.encode() for u in units]
+        some = [i for i, w in enumerate(words) if w not in self.ranks and len(w) <= LONG_WORD]
+        merged = dict(zip(some, self._merge_short([words[i] for i in some]), strict=True)) if some else {}
+        for i, word in enumerate(words):
+            yield merged[i] if i in merged else self.merge(word)
+
+    def _merge_short(self, words: list[bytes]) -> list[list[int]]:
+        ids = self.bytes_alone[np.frombuffer(b"".join(words), np.uint8)]
+        lengths = np.array([len(w) for w in words], np.int64)
+        number = np.arange(len(words))
+        rank = np.full(len(ids), NEVER)
+        rank[:-1] = self.pair_rank(ids[:-1], ids[1:])
+        rank[np.cumsum(lengths) - 1] = NEVER
+        done = []
+        while len(number):
+            starts = np.cumsum(lengths) - lengths
+            least = np.minimum.reduceat(rank, starts)
+            over = least == NEVER
+            if over.any():
+                own = np.repeat(over, lengths)
+                done.append((number[over], ids[own], lengths[over]))
+                ids, rank, lengths, number, least = ids[~own], rank[~own], lengths[~over], number[~over], least[~over]
+                if not len(number):
+                    break
+                starts = np.cumsum(lengths) - lengths
+            equal = np.flatnonzero(rank == np.repeat(least, lengths))
+            at = equal[np.searchsorted(equal, starts)]
+            ids[at] = least
+            # What follows the merged pair now follows the new token.
+            ends = starts + lengths
+            after = np.flatnonzero(at + 2 < ends)
+            rank[at] = NEVER
+            rank[at[after]] = self.pair_rank(least[after], ids[at[after] + 2])
+            before = np.flatnonzero(at > starts)
+            rank[at[before] - 1] = self.pair_rank(ids[at[before] - 1], least[before])
+            kept = np.ones(len(ids), bool)
+            kept[at + 1] = False
+            ids, rank, lengths = ids[kept], rank[kept], lengths - 1
+        out: list[list[int]] = [[]] * len(words)
+        for own, flat, sizes in done:
+            ends = np.cumsum(sizes).tolist()
+            flat = flat.tolist()
+            for i, start, end in zip(own.tolist(), [0, *ends], ends, strict=False):
+                out[i] = flat[start:end]
+        return out
 
     def merge(self, word: bytes) -> list[int]:
         """Ids of one pre-token: of all neighbours the pair of least rank merges first, the leftmost of equals."""
@@ -117,7 +181,11 @@ class RankBpe:
 
     def ids(self, texts: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of lists of pre-tokens one after the other, and where each list's ids start."""
-        starts, lengths = self.units.look_up([u for units in texts for u in units])
+        flat = [u for units in texts for u in units]
+        places = {u: i for i, u in enumerate(dict.fromkeys(flat))}
+        codes = np.fromiter(map(places.__getitem__, flat), np.int64, len(flat))
+        starts, lengths = self.units.look_up(list(places))
+        starts, lengths = starts[codes], lengths[codes]
         ids = self.units.flat[ragged(starts, lengths)]
         edges = np.concatenate([[0], np.cumsum([len(units) for units in texts])]).astype(np.int64)
         return ids, np.concatenate([[0], np.cumsum(lengths)])[edges]

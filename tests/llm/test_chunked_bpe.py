@@ -52,6 +52,17 @@ def test_odd_texts(library):
         assert ids.tolist() == library.encode_ordinary(text) and edges.tolist() == [0, len(ids)]
 
 
+def test_words_merge_side_by_side_as_alone(library):
+    bpe = RankBpe(PATH, PATTERN)
+    rng = random.Random(8)
+    words = ["".join(rng.choice(" aeinorst'é日.\x00") for _ in range(rng.randint(1, 60))) for _ in range(2000)]
+    found = list(bpe.merge_all(words + words[:5] + ["a", " the"]))
+    assert found == [bpe.merge(w.encode()) for w in words + words[:5] + ["a", " the"]]
+    for split in ([w] for w in words[:300]):
+        assert next(bpe.merge_all(split)) == bpe.merge(split[0].encode())
+    assert list(bpe.merge_all([])) == []
+
+
 def test_long_words(library):
     bpe = RankBpe(PATH, PATTERN)
     rng = random.Random(9)
