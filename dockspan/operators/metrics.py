@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from dockspan.functions.columns import present
 from dockspan.operators.consensus import best_first
+from dockspan.operators.durable import durable
 from dockspan.operators.joins import join_same
 from dockspan.operators.ordering import WINDOW_ROWS, largest_group, ranked, running
 from dockspan.operators.sizing import attach
@@ -15,6 +16,8 @@ from dockspan.operators.sizing import attach
 # Early-recognition fractions and the BEDROC exponent.
 FRACTIONS = {"ef_0_5": 0.005, "ef_1": 0.01, "ef_2": 0.02, "ef_5": 0.05}
 ALPHA = 80.5
+# Rows for each hit from which on a histogram pays, and its bins a group.
+FEW_HITS, BINS = 10, 65_536
 
 
 def collapse_poses(
@@ -47,6 +50,36 @@ def _ranked_hits(rows, group, score, label, ties, max_group_rows, largest):
     return placed.filter(F.col(label) == 1).select(*group, "_rank")
 
 
+def _binned(rows: DataFrame, group: Sequence[str], score: str, bins: int) -> DataFrame:
+    """Add ``_bin``, which falls as the score rises: finite scores by their range in the group, missing ones last."""
+    value = present(F.col(score).cast("double"))
+    endless = value.isin(float("inf"), float("-inf"))
+    finite = F.when(~endless, value)
+    ranges = rows.groupBy(*group).agg(F.min(finite).alias("_low"), F.max(finite).alias("_high"))
+    share = (F.col("_high") - value) / F.nullif(F.col("_high") - F.col("_low"), F.lit(0.0))
+    inner = F.least(F.floor(F.coalesce(share, F.lit(0.0)) * bins), F.lit(bins - 1))
+    place = F.when(value.isNull(), bins + 1).when(endless, F.when(value > 0, -1).otherwise(bins)).otherwise(inner)
+    return attach(rows, ranges, group).withColumn("_bin", place.cast("int")).drop("_low", "_high")
+
+
+def _ranked_few_hits(rows, group, score, label, ties, max_group_rows, bins=BINS):
+    """The same ranks without a sort of all rows: a histogram counts the rows of better bins.
+
+    Only rows that share a bin with a hit are put in order.
+    """
+    narrow = _binned(rows.select(*group, score, label, *ties), group, score, bins)
+    counts = durable(
+        narrow.groupBy(*group, "_bin").agg(F.count(F.lit(1)).alias("_n"), F.max(F.col(label)).alias("_hit"))
+    )
+    better = Window.partitionBy(*group).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
+    held = counts.withColumn("_ahead", F.coalesce(F.sum("_n").over(better), F.lit(0))).filter(F.col("_hit") == 1)
+    near = attach(narrow, held.select(*group, "_bin", "_ahead"), [*group, "_bin"])
+    order = [*best_first(score), *[F.col(t) for t in ties]]
+    fullest = counts.filter(F.col("_hit") == 1).agg(F.coalesce(F.max("_n"), F.lit(0)).alias("n")).first()["n"]
+    placed = ranked(near, [*group, "_bin"], order, "_place", max_group_rows, fullest)
+    return placed.filter(F.col(label) == 1).select(*group, (F.col("_ahead") + F.col("_place")).alias("_rank"))
+
+
 def early_recognition(
     rows: DataFrame,
     group: Sequence[str],
@@ -60,14 +93,20 @@ def early_recognition(
 ) -> DataFrame:
     """Enrichment factors and BEDROC per group in one pass over the ranked hits.
 
+    Where at most one row in ``FEW_HITS`` is a hit, a histogram of the scores
+    leaves only the rows near hits to be sorted; the ranks are the same.
     Enrichment at f is the hit rate among the first ceil(N f) rows divided by
     the overall hit rate. Groups without hits get 0.
     """
     fractions = FRACTIONS if fractions is None else fractions
-    sizes = _group_sizes(rows, group, label)
-    hits = attach(
-        _ranked_hits(rows, group, score, label, ties, max_group_rows, largest), sizes, group
-    )
+    sizes = durable(_group_sizes(rows, group, label))
+    counts = sizes.agg(F.max("n_rows").alias("most"), F.sum("n_rows").alias("rows"), F.sum("n_hits").alias("hits")).first()
+    if (counts["hits"] or 0) * FEW_HITS <= (counts["rows"] or 0):
+        ranks = _ranked_few_hits(rows, group, score, label, ties, max_group_rows)
+    else:
+        most = counts["most"] if largest is None else largest
+        ranks = _ranked_hits(rows, group, score, label, ties, max_group_rows, most)
+    hits = attach(ranks, sizes, group)
     cut = {n: F.ceil(F.col("n_rows") * f) for n, f in fractions.items()}
     found = hits.groupBy(*group).agg(
         F.sum(F.exp(-alpha * F.col("_rank") / F.col("n_rows"))).alias("_weight"),

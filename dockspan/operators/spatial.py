@@ -8,6 +8,7 @@ from itertools import product
 from pyspark.sql import DataFrame, functions as F
 
 from dockspan.functions import vectors as V
+from dockspan.operators.durable import durable
 from dockspan.operators.joins import join_same
 from dockspan.operators.sizing import BROADCAST_ROWS, fits_broadcast
 
@@ -59,10 +60,9 @@ def distance_join(
     else:
         near_left = _gridded(left, left_prefix, radius)
         near_right = _gridded(right, right_prefix, radius, around=True)
-        if _may_be_crowded(near_left, _gridded(right, right_prefix, radius), on, max_cell_pairs):
-            near_left, near_right, on = _cut_crowded_cells(
-                near_left, near_right, on, max_cell_pairs
-            )
+        crowded = _crowded_cells(near_left, near_right, on, max_cell_pairs)
+        if not crowded.isEmpty():
+            near_left, near_right, on = _cut_crowded_cells(near_left, near_right, on, crowded, max_cell_pairs)
     gap = V.distance(V.vec(left_prefix), V.vec(right_prefix))
     near = gap <= radius if inclusive else gap < radius
     kept = [*left.columns, *[c for c in right.columns if c not in keys]]
@@ -84,24 +84,17 @@ def _gridded(df: DataFrame, prefix: str, radius: float, around: bool = False) ->
     return at.select(*df.columns, cells.alias("_cell"))
 
 
-def _may_be_crowded(left, right, on, max_cell_pairs) -> bool:
-    """Whether the fullest cells could give more candidate pairs than allowed."""
-    fullest = [
-        side.groupBy(*on).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n").alias("n"))
-        for side in (left, right)
+def _crowded_cells(left, right, on, max_cell_pairs) -> DataFrame:
+    """Cells with more candidate pairs than one task should test, from one histogram of both sides."""
+    sides = [
+        side.select(*on, F.lit(own).alias("_l"), F.lit(1 - own).alias("_r")) for side, own in ((left, 1), (right, 0))
     ]
-    most = fullest[0].unionAll(fullest[1]).agg(
-        F.coalesce(F.product(F.coalesce("n", F.lit(0))), F.lit(0.0))
-    )
-    return len(MOVES) * most.first()[0] > max_cell_pairs
+    load = sides[0].unionAll(sides[1]).groupBy(*on).agg(F.sum("_l").alias("_l"), F.sum("_r").alias("_r"))
+    # At most (all candidate pairs / max_cell_pairs) rows are stored.
+    return durable(load.filter(F.col("_l").cast("double") * F.col("_r") > max_cell_pairs))
 
 
-def _cut_crowded_cells(left, right, on, max_cell_pairs):
-    load = join_same(
-        left.groupBy(*on).agg(F.count(F.lit(1)).alias("_l")),
-        right.groupBy(*on).agg(F.count(F.lit(1)).alias("_r")),
-        on,
-    )
+def _cut_crowded_cells(left, right, on, load, max_cell_pairs):
     # Parts of this many rows on both sides give max_cell_pairs; a side shorter than that stays
     # whole and the other one is cut the finer.
     side = float(max_cell_pairs) ** 0.5
@@ -109,8 +102,7 @@ def _cut_crowded_cells(left, right, on, max_cell_pairs):
     few_parts = F.ceil(few / side)
     many_parts = F.ceil(many * F.ceil(few / few_parts) / max_cell_pairs)
     left_few = F.col("_l") <= F.col("_r")
-    # At most (all candidate pairs / max_cell_pairs) rows.
-    crowded = load.filter(F.col("_l") * F.col("_r") > max_cell_pairs).select(
+    crowded = load.select(
         *on,
         F.when(left_few, few_parts).otherwise(many_parts).cast("int").alias("_lparts"),
         F.when(left_few, many_parts).otherwise(few_parts).cast("int").alias("_rparts"),

@@ -8,7 +8,7 @@ from dockspan.operators import correlation, metrics
 from dockspan.plans.evaluation import evaluate_ranking, evaluate_screening
 from dockspan.queries.registry import query, rounded
 from dockspan.queries.scoring import SCORED, scored
-from dockspan.queries.views import PAIRS, POSE_KEY, SCREEN, pairs, screen
+from dockspan.queries.views import PAIRS, POSE_KEY, SCREEN, pairs, screen, view
 
 GROUP = ["target"]
 
@@ -64,6 +64,19 @@ def bedroc(spark, sf_dir):
     return rounded(early.select("target", "n_hits", "bedroc"))
 
 
+# A screen where few rows are hits, as in practice.
+FEW_SCREEN = SCREEN.replace("WHEN o_orderstatus = 'F' THEN", "WHEN o_orderkey % 31 = 3 THEN")
+
+
+@query(
+    "early_recognition_few_hits",
+    f"WITH screen AS ({FEW_SCREEN})" + EARLY + f"SELECT target, n_rows, n_hits, {EF}, {BEDROC} FROM bed",
+)
+def early_recognition_few_hits(spark, sf_dir):
+    rows = view(spark, sf_dir, FEW_SCREEN, "orders")
+    return rounded(metrics.early_recognition(rows, GROUP, "score", "label", ["id"]))
+
+
 @query(
     "auc_roc", SCREEN_SQL + AREAS + "SELECT target, n_hits, round(auc_roc, 6) AS auc_roc FROM areas"
 )

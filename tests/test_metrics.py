@@ -173,3 +173,30 @@ def test_incomplete_pairs_are_left_out(spark, limits):
         assert [(r.target, r.n, round(r.pearson, 9), round(r.spearman, 9), round(r.kendall, 9)) for r in got] == [
             ("t", 4, 0.6, 0.6, round(1 / 3, 9))
         ]
+
+
+@pytest.mark.parametrize("bins", [65_536, 3])
+@pytest.mark.parametrize("limits", [2_000_000, 0])
+def test_few_hits_have_the_ranks_of_a_sort(spark, bins, limits):
+    rng = random.Random(6)
+    odd = [float("nan"), None, float("inf"), float("-inf"), 1e300, -1e300]
+
+    def score():
+        return rng.choice(odd) if rng.random() < 0.1 else round(rng.gauss(0, 1), rng.choice([1, 6]))
+
+    rows = [(rng.choice(["a", "b", "b", None]), i, int(rng.random() < 0.04), score()) for i in range(1500)]
+    rows += [("flat", 2000 + i, int(i % 20 == 0), 0.5) for i in range(60)] + [("none", 3000, 0, 0.1), ("lost", 3001, 1, None)]
+    df = spark.createDataFrame(rows, "target string, id int, label int, score double").repartition(3)
+    few = metrics._ranked_few_hits(df, ["target"], "score", "label", ["id"], limits, bins)
+    all_of = metrics._ranked_hits(df, ["target"], "score", "label", ["id"], limits, None)
+    key = lambda r: (r[0] is None, r[0], r[1])
+    assert sorted(map(tuple, few.collect()), key=key) == sorted(map(tuple, all_of.collect()), key=key)
+
+
+def test_rows_far_from_hits_are_not_sorted(spark, monkeypatch):
+    seen = []
+    plain = metrics.ranked
+    monkeypatch.setattr(metrics, "ranked", lambda rows, *args: (seen.append(rows.count()), plain(rows, *args))[1])
+    df = spark.range(20_000).selectExpr("'t' AS target", "id", "CAST(id % 1000 = 7 AS INT) AS label", "id * 1.0 AS score")
+    got = metrics.early_recognition(df, ["target"], "score", "label", ["id"]).first()
+    assert (got.n_rows, got.n_hits) == (20_000, 20) and seen[0] < 100
