@@ -63,19 +63,23 @@ WITH l AS (
   SELECT doc_id, pos, list_filter(regexp_split_to_array(line, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS raw
   FROM l WHERE regexp_matches(line, '[^\x20\x09-\x0D]')
 ), m AS (
-  SELECT doc_id, pos, len(raw) AS n,
+  SELECT doc_id, pos, raw, len(raw) AS n,
          list_transform(raw, lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '<*>' ELSE x END) AS words FROM w
 ), k AS (SELECT *, n || ' ' || array_to_string(words[1:3], ' ') AS leaf FROM m),
 busy AS (SELECT leaf FROM k GROUP BY leaf HAVING count(DISTINCT doc_id) >= 10),
 p AS (
-  SELECT doc_id, pos, leaf, n, unnest(words) AS word, generate_subscripts(words, 1) AS place FROM k JOIN busy USING (leaf)
+  SELECT doc_id, pos, leaf, n, unnest(raw) AS word, generate_subscripts(raw, 1) AS place FROM k JOIN busy USING (leaf)
 ), c AS (
-  SELECT leaf, place, word FROM p WHERE word <> '<*>' GROUP BY ALL HAVING count(*) >= 10
+  SELECT leaf, place, word, regexp_matches(word, '[0-9]') AS digit FROM p GROUP BY ALL HAVING count(*) >= 10
 ), t AS (
-  SELECT p.doc_id, p.pos, p.leaf, count(c.word) AS constants, any_value(p.n) AS n,
-         string_agg(coalesce(c.word, '<*>'), ' ' ORDER BY p.place) AS template
+  SELECT p.doc_id, p.pos, p.leaf, any_value(p.n) AS n, count(c.word) AS held, count(c.word) FILTER (NOT c.digit) AS constants,
+         string_agg(CASE WHEN NOT c.digit THEN c.word ELSE '<*>' END, ' ' ORDER BY p.place) AS template,
+         string_agg(coalesce(c.word, '<*>'), ' ' ORDER BY p.place) AS numbered
   FROM p LEFT JOIN c ON p.leaf = c.leaf AND p.place = c.place AND p.word = c.word GROUP BY p.doc_id, p.pos, p.leaf
-), g AS (SELECT doc_id, pos, leaf || '|' || template AS template FROM t WHERE constants >= 0.6 * n),
+), g AS (
+  SELECT doc_id, pos, leaf || CASE WHEN constants >= 0.6 * n THEN '|' || template ELSE '||' || numbered END AS template
+  FROM t WHERE held >= 0.6 * n
+),
 o AS (
   SELECT template, min(struct_pack(doc_id := doc_id, pos := pos)) AS first FROM g
   GROUP BY template HAVING count(DISTINCT doc_id) >= 10
