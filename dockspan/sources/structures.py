@@ -18,6 +18,8 @@ from dockspan.functions.atoms import (
     residue_name,
 )
 from dockspan.functions.fixed_values import PROTEIN_RESIDUES
+from dockspan.operators.durable import durable
+from dockspan.operators.joins import join_same
 from dockspan.operators.ordering import WINDOW_ROWS, ranked, running
 from dockspan.operators.sizing import attach
 
@@ -103,23 +105,26 @@ def split_poses(
     pieces = lines.select(
         *keys, "line_no", F.posexplode(F.split("line", "MODEL")).alias("part", "line")
     )
-    numbered = running(
-        pieces,
-        keys,
-        [F.col("line_no"), F.col("part")],
-        {"pose": (F.col("part") > 0).cast("bigint")},
-        max_group_rows=max_group_rows,
+    # Stored, since both the sizes of the poses and their lines come from the running count.
+    numbered = durable(
+        running(
+            pieces,
+            keys,
+            [F.col("line_no"), F.col("part")],
+            {"pose": (F.col("part") > 0).cast("bigint")},
+            max_group_rows=max_group_rows,
+        )
     )
     content = ~F.col("line").rlike(r"^\s*\d+\s*$") & ~F.contains("line", F.lit("ENDMDL"))
     kept = numbered.filter(content)
-    sizes = numbered.groupBy(*keys, "pose").agg(F.count_if(content).alias("n"))
+    sizes = durable(numbered.groupBy(*keys, "pose").agg(F.count_if(content).alias("n")))
     last = sizes.groupBy(*keys).agg(F.max("pose").alias("last"))
     whole = (
-        sizes.join(last, list(keys))
+        join_same(sizes, last, keys)
         .filter(F.col("n") + (F.col("pose") == F.col("last")).cast("int") >= min_lines)
         .select(*keys, "pose")
     )
-    return kept.join(whole, [*keys, "pose"], "left_semi").select(
+    return join_same(kept, whole, [*keys, "pose"], "left_semi").select(
         *keys, "pose", "line_no", "part", "line"
     )
 
