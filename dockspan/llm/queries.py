@@ -46,7 +46,9 @@ def op3_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op4_run_length_repeats")
 def op4_run_length_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), length=400)
-    return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    # The remaining bytes as text too; a character that a removal cuts in two becomes a replacement mark.
+    text = F.make_valid_utf8(F.col("kept").cast("string")).alias("kept_text")
+    return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), text)
 
 
 @query("op5_bk_tree_neighbours")
