@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
+from dockspan.llm.batches import tidy
 from dockspan.llm.units import Encoder, encoded_slices
 
 WINDOWS = 192
@@ -80,6 +81,9 @@ def cut(size: int, capacity: int, smallest: int) -> list[int]:
         rest -= half
     return pieces + [rest] * (rest > 0)
 
+# Bytes of text encoded at a time.
+ENCODE_BYTES = 2 << 20
+
 
 class Batch:
     """Pieces waiting for their windows."""
@@ -152,7 +156,7 @@ def pack_documents(
         following = (context.partitionId() if context else 0) << PARTITION_SHIFT
         waiting = Batch(capacity)
 
-        for part, ids, edges in encoded_slices(batches, fast_encoder(path, ranks_path, pattern)):
+        for part, ids, edges in encoded_slices(batches, fast_encoder(path, ranks_path, pattern), ENCODE_BYTES):
             names = part.column("doc_id").to_pylist()
             for doc_id, a, b in zip(names, edges[:-1].tolist(), edges[1:].tolist(), strict=True):
                 own = np.append(ids[a:b], end_id).astype("<u4")
@@ -175,7 +179,7 @@ def pack_documents(
             yield as_batch(placed)
 
     return docs.select("doc_id", "text").mapInArrow(
-        run, "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
+        tidy(run), "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
     )
 
 

@@ -22,7 +22,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from dockspan.llm.batches import binaries, ragged, slices, texts_of, words_of
+from dockspan.llm.batches import binaries, ragged, slices, texts_of, tidy, words_of
 from dockspan.llm.simhash import runs_of_key
 from dockspan.llm.tables import keyed, stored
 
@@ -231,7 +231,7 @@ def all_contexts(docs: DataFrame, length: int) -> DataFrame:
                 )
 
     return docs.select("__id", "__hash", "text").mapInArrow(
-        run, "__id long, __hash long, start int, windows int, offset int, anchor long, digest long"
+        tidy(run), "__id long, __hash long, start int, windows int, offset int, anchor long, digest long"
     )
 
 
@@ -281,7 +281,7 @@ def compared(open_contexts: DataFrame, length: int) -> DataFrame:
             yield indexed()
 
     dealt = open_contexts.select("anchor", "digest", "offset", "body").repartition("anchor")
-    return dealt.sortWithinPartitions("anchor").mapInArrow(run, "anchor long, digest long, spans binary")
+    return dealt.sortWithinPartitions("anchor").mapInArrow(tidy(run), "anchor long, digest long, spans binary")
 
 
 def as_marks(names: list[tuple[int, int]], held: list[np.ndarray]) -> pa.RecordBatch:
@@ -311,7 +311,7 @@ def counted(open_contexts: DataFrame, length: int) -> DataFrame:
                     names=["w0", "w1", "anchor", "digest", "at"],
                 )
 
-    windows = open_contexts.mapInArrow(run, "w0 long, w1 long, anchor long, digest long, at int")
+    windows = open_contexts.mapInArrow(tidy(run), "w0 long, w1 long, anchor long, digest long, at int")
     often = windows.groupBy("w0", "w1").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     found = windows.join(often, ["w0", "w1"]).groupBy("anchor", "digest").agg(F.sort_array(F.collect_set("at")).alias("at"))
 
@@ -327,7 +327,7 @@ def counted(open_contexts: DataFrame, length: int) -> DataFrame:
                 names=["anchor", "digest", "spans"],
             )
 
-    return found.mapInArrow(pack, "anchor long, digest long, spans binary")
+    return found.mapInArrow(tidy(pack), "anchor long, digest long, spans binary")
 
 
 def repeated_starts(docs: DataFrame, length: int, group_bytes: int = GROUP_BYTES) -> DataFrame:
@@ -373,7 +373,7 @@ def word_codes(rows: DataFrame) -> DataFrame:
                     [part.column("__id"), part.column("__hash"), body], names=["__id", "__hash", "text"]
                 )
 
-    return rows.select("__id", "__hash", "text").mapInArrow(run, "__id long, __hash long, text binary")
+    return rows.select("__id", "__hash", "text").mapInArrow(tidy(run), "__id long, __hash long, text binary")
 
 
 def passages_mask(text: bytes, spans: list[dict] | None, words: int) -> np.ndarray:
@@ -464,5 +464,5 @@ def remove_repeats(
 
     fields = ", ".join(f"`{name}` {kind}" for name, kind in rows.dtypes if name not in ("__spans", "__passages"))
     return rows.mapInArrow(
-        run, f"{fields}, kept binary, spans array<int>, n_bytes long, n_removed long, n_spans long"
+        tidy(run), f"{fields}, kept binary, spans array<int>, n_bytes long, n_removed long, n_spans long"
     )
