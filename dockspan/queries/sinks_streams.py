@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from dockspan.operators import consensus
 from dockspan.operators.durable import scratch_table
+from dockspan.operators.sizing import spread
 from dockspan.queries.registry import query, rounded
 from dockspan.queries.scoring import BEST, KEY_SQL, SCORED, best, scored
 from dockspan.queries.views import POSE_KEY, POSE_SCORES, bound_view, table
 from dockspan.sources import sinks
 from dockspan.streaming import ingest
 
+BATCHES = 3
+
 
 @query(
     "result_sink",
@@ -43,11 +46,12 @@ def run_metadata(spark, sf_dir):
 
 
 def streamed_scores(spark, sf_dir):
-    # The table as several files, one for each micro-batch.
-    source = table(spark, sf_dir, "lineitem")
+    # The table as files of one split each, a third of them for each micro-batch.
+    source = spread(table(spark, sf_dir, "lineitem"))
     path = scratch_table(spark, "incoming")
-    source.repartition(3).write.parquet(path)
-    rows = ingest.read_stream(spark, path, source.schema, pattern="*.parquet", max_files=1)
+    source.write.parquet(path)
+    files = len(spark.read.parquet(path).inputFiles())
+    rows = ingest.read_stream(spark, path, source.schema, pattern="*.parquet", max_files=max(1, -(-files // BATCHES)))
     poses = bound_view(spark, POSE_SCORES, lineitem=rows)
     return consensus.with_consensus(poses)
 
