@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from dockspan.functions.literals import literal_table
 from dockspan.operators import attribution, consensus, features as feature_ops, scaling
 from dockspan.operators.forest import Forest, load_forest, NODE_SCHEMA, score_forest
-from dockspan.operators.durable import scratch_table
+from dockspan.operators.durable import scratch_table, stored
 from dockspan.plans.rescoring import rescore, two_model_scores
 from dockspan.queries.registry import ORACLES, query, rounded
 from dockspan.queries.spatial import pose_features
@@ -390,7 +390,8 @@ def screen_structures(spark, sf_dir):
     }
     wide = pose_features(spark, sf_dir)
     scores = two_model_scores(wide, ["target", "pose"], FEATURE_SCALERS, forests)
-    near = scores.withColumn("score", F.round("score", 9))
+    # Ranking looks at the groups first, and then reads the scores again.
+    near = stored(scores.withColumn("score", F.round("score", 9)), "scores")
     return rounded(consensus.rank_by_score(near, ties=["pose"]), ["ps", "pb", "score"])
 
 

@@ -15,7 +15,7 @@ from dockspan.functions.fixed_values import (
 )
 from dockspan.functions.literals import literal_table
 from dockspan.operators import contacts, features, spatial, typed_pairs as typed
-from dockspan.operators.durable import durable, scratch_table
+from dockspan.operators.durable import scratch_table, stored as stored_table
 from dockspan.plans import extraction
 from dockspan.queries.registry import ORACLES, query, rounded
 from dockspan.queries.views import ATOMS, atoms
@@ -40,7 +40,7 @@ def pairs_sql(radius: float, test: str = "<", where: str = "TRUE") -> str:
 def sides(spark, sf_dir, stored=False):
     """Ligand and receptor atoms; stored first if a query reads them many times."""
     rows = atoms(spark, sf_dir)
-    rows = durable(rows) if stored else rows
+    rows = stored_table(rows, "atoms") if stored else rows
     ligands = rows.filter("side = 'ligand'").drop("side")
     receptors = rows.filter("side = 'receptor'").drop("side", "pose")
     return ligands, receptors
@@ -307,7 +307,8 @@ def pose_features(spark, sf_dir):
         ligands.withColumn("type_key", F.when(known, F.col("ligand_type"))),
         typed.with_receptor_types(receptors, keys),
     )
-    return features.to_wide(long, POSE, PIVOT)
+    # The type flags are listed, so that every pose keeps a row.
+    return features.to_wide(long.filter(F.col("feature").isin(PIVOT)), POSE, PIVOT)
 
 
 def listed_features(count: int = 492) -> list[str]:
