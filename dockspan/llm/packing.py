@@ -10,18 +10,23 @@ exceeds the capacity the batch gets one window more and is shared out anew.
 from __future__ import annotations
 
 import heapq
+import re
 from collections.abc import Iterator
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from dockspan.llm.batches import tidy
+from dockspan.llm.batches import SPACES, ragged, tidy
 from dockspan.llm.units import Encoder, encoded_slices
 
 WINDOWS = 192
 SMALLEST = 32
+# Tokens a window that a batch leaves free, so that its first sharing out mostly fits.
+ROOM = 28
 # Sequence numbers: partition, then the number within it.
 PARTITION_SHIFT = 36
 
@@ -44,7 +49,7 @@ def differencing(sizes: list[int], windows: int) -> np.ndarray:
         parent[facing_nodes] = nodes[low]
         sums = np.concatenate([sums[low] + facing_sums, sums[high], other_sums[high]])
         nodes = np.concatenate([nodes, other_nodes[high]])
-        order = np.argsort(sums, kind="stable")
+        order = sums.argsort(kind="stable")
         sums, nodes = sums[order], nodes[order]
         if len(sums) == windows:
             sums = sums - sums[0]
@@ -62,8 +67,12 @@ def differencing(sizes: list[int], windows: int) -> np.ndarray:
 
 
 def share_out(sizes: list[int], capacity: int) -> np.ndarray:
-    """Window of every piece; the window count rises until no window exceeds the capacity."""
-    windows = max(1, -(-sum(sizes) // capacity))
+    """Window of every piece; the window count rises until no window exceeds the capacity.
+
+    It starts where windows have room left, since nearly equal windows seldom all fit without.
+    """
+    total = sum(sizes)
+    windows = max(1, -(-total // capacity), round(total / (capacity - ROOM)) if capacity > 2 * ROOM else 1)
     while True:
         own = differencing(sizes, windows)
         if np.bincount(own, weights=sizes).max(initial=0) <= capacity:
@@ -108,6 +117,44 @@ class Batch:
         return out, first + len(filled)
 
 
+# White space beyond a plain space that sorts above it.
+WIDE = re.compile(f"[{SPACES[SPACES.index(' ') + 1 :]}]")
+
+
+class JoinedUnits:
+    """Ids of many units from one call over their joined text, cut where the units' bytes end.
+
+    Units that start with a space and have no other white space at either end are encoded alike
+    apart and together; the others are encoded one by one.
+    """
+
+    def __init__(self, encode, ranks: dict[bytes, int]):
+        self.encode = encode
+        self.sizes = np.zeros(max(ranks.values()) + 1, np.int64)
+        for text, rank in ranks.items():
+            self.sizes[rank] = len(text)
+
+    def __call__(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all units one after the other, and how many each has."""
+        # What isn't above a space is white space or a control; wider white space is looked for once.
+        joins = [u[:1] == " " and u[1:2] > " " and u[-1] > " " for u in units]
+        if WIDE.search("".join(units)):
+            joins = [own and not u[1].isspace() and not u[-1].isspace() for u, own in zip(units, joins, strict=True)]
+        some = units if all(joins) else list(compress(units, joins))
+        ids = np.array(self.encode("".join(some)), np.int32)
+        wanted = np.cumsum(pc.binary_length(pa.array(some, pa.string())).to_numpy(zero_copy_only=False))
+        edges = np.append(0, np.searchsorted(np.cumsum(self.sizes[ids]), wanted) + 1)
+        if some is units:
+            return ids, np.diff(edges)
+        own = np.array(joins, bool)
+        lists = [self.encode(units[i]) for i in np.flatnonzero(~own).tolist()]
+        starts, lengths = np.zeros(len(units), np.int64), np.zeros(len(units), np.int64)
+        starts[own], lengths[own] = edges[:-1], np.diff(edges)
+        lengths[~own] = [len(x) for x in lists]
+        starts[~own] = len(ids) + np.cumsum(lengths[~own]) - lengths[~own]
+        return np.concatenate([ids, *[np.array(x, np.int32) for x in lists]])[ragged(starts, lengths)], lengths
+
+
 _ENCODERS: dict[tuple[str, str], Encoder] = {}
 
 
@@ -125,9 +172,8 @@ def fast_encoder(path: str, ranks_path: str, pattern: str) -> Encoder:
         with open(path, encoding="utf-8") as file:
             special = {t["content"]: t["id"] for t in json.load(file)["added_tokens"]}
         own = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-        _ENCODERS[path, ranks_path] = Encoder(
-            regex.compile(pattern).findall, lambda units: map(own.encode_ordinary, units), special
-        )
+        units = JoinedUnits(own.encode_ordinary, ranks)
+        _ENCODERS[path, ranks_path] = Encoder(regex.compile(pattern).findall, units, special)
     return _ENCODERS[path, ranks_path]
 
 
@@ -168,7 +214,7 @@ def pack_documents(
                         full.append((row, following, 0))
                         following += 1
                         continue
-                    if waiting.tokens + length > capacity * windows:
+                    if waiting.tokens + length > (capacity - ROOM if capacity > 2 * ROOM else capacity) * windows:
                         placed, following = waiting.placed(following)
                         yield as_batch(placed)
                     waiting.add(row, length)
