@@ -123,7 +123,7 @@ def ligand_type_flags(spark, sf_dir):
     ATOMS_SQL
     + """, boxes AS (SELECT target, pose, min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1,
         min(z) AS z0, max(z) AS z1 FROM atoms
-        WHERE side = 'ligand' AND element = 'O' GROUP BY target, pose)
+        WHERE side = 'ligand' GROUP BY target, pose)
     SELECT b.target, b.pose, count(*) AS n_inside, round(min(a.x), 6) AS min_x,
       round(max(a.z), 6) AS max_z
     FROM boxes b JOIN atoms a ON a.target = b.target AND a.side = 'receptor'
@@ -133,7 +133,7 @@ def ligand_type_flags(spark, sf_dir):
 )
 def bbox_filter(spark, sf_dir):
     ligands, receptors = sides(spark, sf_dir)
-    boxes = spatial.bounding_box(ligands.filter("element = 'O'"), POSE)
+    boxes = spatial.bounding_box(ligands, POSE)
     inside = spatial.inside_box(receptors, boxes, ["target"], 4.0)
     return rounded(
         inside.groupBy(*POSE).agg(
